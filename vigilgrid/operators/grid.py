@@ -123,10 +123,29 @@ def resolve_header_by_labels(rows: DataFrame, wanted: DataFrame, search_rows: in
     return ranked.select("sheet_id", row.cast("bigint").alias("header_row"))
 
 
+def row_numbers(numbers: DataFrame, limit: int = 1000) -> list[int] | None:
+    """Distinct row numbers named by a small specification table; None where there are too many."""
+    found = numbers.distinct().limit(limit + 1).collect()
+    return [r[0] for r in found if r[0] is not None] if len(found) <= limit else None
+
+
+def rows_at(rows: DataFrame, numbers: DataFrame, top: int = 0) -> DataFrame:
+    """Rows that may be meant by ``numbers`` (one column) or are among the first ``top``.
+
+    The few distinct numbers become a filter that reaches the scan, so that only these rows, and not
+    whole sheets, take part in the join that follows. Too many numbers: no filter, same result.
+    """
+    wanted = row_numbers(numbers)
+    if wanted is None:
+        return rows
+    return rows.filter((F.col("row_idx") < top) | F.col("row_idx").isin(wanted))
+
+
 def apply_header_override(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     """Headers of the chosen row, renamed. ``overrides`` has ``sheet_id, header_row, renames``."""
+    near = rows_at(rows, overrides.select("header_row"))
     chosen = overrides.join(
-        rows.select("sheet_id", F.col("row_idx").alias("header_row"), "cells"), ["sheet_id", "header_row"], "left"
+        near.select("sheet_id", F.col("row_idx").alias("header_row"), "cells"), ["sheet_id", "header_row"], "left"
     )
     names = C.normalize_headers(F.coalesce(F.col("cells"), F.array().cast("array<string>")))
     renamed = F.transform(names, lambda h: F.coalesce(F.try_element_at("renames", h), h))

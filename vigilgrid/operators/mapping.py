@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
-from .grid import resolve_header_by_labels
+from .grid import LABEL_ROWS, resolve_header_by_labels, rows_at
 
 
 def enforce_type(value: Column, dtype: Column) -> Column:
@@ -148,7 +148,8 @@ def extract_metadata(rows: DataFrame, sheet_recipes: DataFrame, parsed: DataFram
     wanted = sheet_recipes.join(parsed.filter(F.col("kind") == "metadata"), "recipe_id", "inner").select(
         "sheet_id", "recipe_id", "ord", "target", F.col("row").cast("bigint").alias("row_idx"), "col", "data_type"
     )
-    located = wanted.join(rows, ["sheet_id", "row_idx"], "left")
+    near = rows_at(rows, parsed.filter(F.col("kind") == "metadata").select("row"))
+    located = wanted.join(near, ["sheet_id", "row_idx"], "left")
     empty = F.array().cast("array<string>")
     return located.select(
         "sheet_id",
@@ -181,7 +182,8 @@ def apply_recipe(rows: DataFrame, sheet_recipes: DataFrame, recipes: DataFrame,
         F.filter(F.transform("_columns", lambda c: c["column_name"]), lambda n: n.isNotNull()).alias("labels"),
     )
     header_rows = resolve_header_by_labels(rows, wanted)
-    header_cells = rows.select(
+    near = rows_at(rows, recipes.select(F.col("header_row").try_cast("int")), top=LABEL_ROWS)
+    header_cells = near.select(
         "sheet_id", F.col("row_idx").alias("header_row"), F.transform("cells", C.normalize_label).alias("_labels")
     )
     located = header_rows.join(header_cells, ["sheet_id", "header_row"], "left").select(
@@ -356,6 +358,9 @@ def combine_long(outputs: DataFrame) -> DataFrame:
 
     ``outputs``: ``sheet_id, row_idx, headers, cells``.
     """
+    pairs = F.arrays_zip(F.col("headers").alias("name"), F.col("cells").alias("value"))
+    # Of equal names the first one is kept; a map must not hold a key twice.
+    unique = F.filter(pairs, lambda p, i: F.array_position("headers", p["name"]) == i + 1)
     return outputs.select(
-        F.col("sheet_id").alias("source_run_id"), "row_idx", F.map_from_arrays("headers", "cells").alias("record")
+        F.col("sheet_id").alias("source_run_id"), "row_idx", F.map_from_entries(unique).alias("record")
     )
