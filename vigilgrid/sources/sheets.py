@@ -50,24 +50,34 @@ def scan_sheets_csv(spark: SparkSession, path: str, pattern: str = "*.csv") -> D
     return files.mapInPandas(decode, SHEET_ROWS)
 
 
-def scan_large_csv(spark: SparkSession, path: str, columns: int, pattern: str = "*.csv") -> DataFrame:
-    """CSV files that are too large for one task, with lines as records.
+def csv_cells(line: Column) -> Column:
+    """Cells of one CSV line: quoted cells may hold commas and doubled quotes."""
+    quoted = '"[^"]*(?:""[^"]*)*"[^,]*'
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(f",({quoted}|[^,]*)"), F.lit(1))
+
+    def unquote(cell: Column) -> Column:
+        inner = F.regexp_replace(cell, r'^"([^"]*(?:""[^"]*)*)"(.*)$', "$1$2")
+        return F.when(cell.startswith('"'), F.regexp_replace(inner, '""', '"')).otherwise(cell)
+
+    empty = F.array().cast("array<string>")
+    return F.when(F.length(line) == 0, empty).otherwise(F.transform(raw, unquote))
+
+
+def scan_large_csv(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """CSV files that are too large for one task, with lines as records; blank lines count as rows.
 
     Files are split by block. Rows are numbered inside their block and shifted by the line counts of
-    the blocks before it, so no task sees a whole file. Blank lines are not counted by this reader.
+    the blocks before it, so no task sees a whole file.
     """
-    schema = ", ".join(f"c{i} string" for i in range(columns)) + ", _line string"
     lines = (
-        spark.read.schema(schema)
-        .options(header="false", mode="PERMISSIVE", columnNameOfCorruptRecord="_line")
-        .option("pathGlobFilter", pattern)
+        spark.read.option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
-        .csv(path)
+        .text(path)
         .select(
             key_below(F.col("_metadata.file_path"), path).alias("sheet_id"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_seq"),
-            _filled_cells(columns).alias("cells"),
+            csv_cells(F.col("value")).alias("cells"),
         )
     )
     block = Window.partitionBy("sheet_id", "_block").orderBy("_seq")
@@ -79,13 +89,6 @@ def scan_large_csv(spark: SparkSession, path: str, columns: int, pattern: str =
     return local.join(offsets, ["sheet_id", "_block"]).select("sheet_id", row_idx.alias("row_idx"), "cells")
 
 
-def _filled_cells(columns: int) -> Column:
-    """Cells up to the last one the line has; inner empty cells are empty text, not null."""
-    every = F.array(*[F.col(f"c{i}") for i in range(columns)])
-    last = F.array_max(F.transform(every, lambda v, i: F.when(v.isNotNull(), i + 1).otherwise(0)))
-    return F.transform(F.slice(every, 1, last), lambda v: F.coalesce(v, F.lit("")))
-
-
 # Names of the parts and tags of an Office Open XML workbook.
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
