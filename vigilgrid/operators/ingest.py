@@ -94,16 +94,15 @@ def admission_counters(admitted: DataFrame) -> DataFrame:
     return admitted.groupBy("run_id", reason.alias("outcome")).agg(F.count(F.lit(1)).alias("keys"))
 
 
-def explode_events(snapshots: DataFrame) -> DataFrame:
-    """Nested snapshot documents to one row per event, in snapshot order.
+def rank_snapshots(snapshots: DataFrame) -> DataFrame:
+    """Order of the snapshots of a host: newest window first, a missing end newest of all."""
+    order = [F.col("window_end").desc_nulls_first(), F.col("key").asc()]
+    rank = F.row_number().over(Window.partitionBy(*HOST).orderBy(*order)) - 1
+    return snapshots.withColumn("snap_rank", rank)
 
-    ``snap_rank`` orders the snapshots of a host: newest window first, as they are selected.
-    """
-    if "snap_rank" not in snapshots.columns:
-        order = [F.col("window_end").desc_nulls_last(), F.col("key").asc()]
-        snapshots = snapshots.withColumn(
-            "snap_rank", F.row_number().over(Window.partitionBy(*HOST).orderBy(*order)) - 1
-        )
+
+def explode_events(snapshots: DataFrame) -> DataFrame:
+    """Nested snapshot documents to one row per event, in snapshot order (``snap_rank``, ``pos``)."""
     rows = snapshots.select(*HOST, "snap_rank", F.posexplode("events").alias("pos", "event"))
     return rows.select(
         *HOST,

@@ -215,23 +215,26 @@ def dedup_events(events: DataFrame) -> DataFrame:
     return first_per_group(keyed, [*HOST, "_digest"], order).drop("_digest")
 
 
-def matched_events(events: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
+def matched_events(
+    events: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, deduplicated: bool = False
+) -> DataFrame:
     """One row per (event, matching rule) over deduplicated events.
 
     Rules are evaluated before the dedup exchange: events without a match cross it as a digest and
-    a position only, because their copy may still come before one that matches.
+    a position only, because their copy may still come before one that matches. Events that are
+    ``deduplicated`` already need no exchange at all.
     """
     payload = F.struct("provider", "event_id", "record_id", "level", "source", "message")
     slim = events.withColumn("_rules", rule_matches(rules)).select(
         *HOST,
         "snap_rank",
         "pos",
-        dedup_digest().alias("_digest"),
+        (F.lit(None) if deduplicated else dedup_digest()).alias("_digest"),
         "_rules",
         F.when(F.size("_rules") > 0, F.struct("ts", "ts_raw", payload.alias("body"))).alias("_event"),
     )
     order = [F.col("snap_rank").asc(), F.col("pos").asc()]
-    first = first_per_group(slim, [*HOST, "_digest"], order)
+    first = slim if deduplicated else first_per_group(slim, [*HOST, "_digest"], order)
     return first.filter(F.size("_rules") > 0).select(
         *HOST,
         F.explode("_rules").alias("rule_no"),
@@ -249,14 +252,16 @@ def detect_incidents(
     rules: Sequence[Rule] = DEFAULT_RULES,
     redaction: str = "balanced",
     path_patterns: str = "legacy",
+    deduplicated: bool = False,
 ) -> DataFrame:
     """Incidents of every host of every run, one row per host and rule that fires.
 
     Counts and first events are combined on the map side, so no task holds the events of a host.
-    Redaction and signatures are computed once per incident, on its first event.
+    Redaction and signatures are computed once per incident, on its first event. For events whose
+    messages are redacted already pass ``redaction='off'``.
     """
     per_rule = (
-        matched_events(events, rules)
+        matched_events(events, rules, deduplicated)
         .groupBy(*HOST, "rule_no")
         .agg(
             F.count(F.lit(1)).alias("event_count"),
@@ -307,13 +312,14 @@ def incident_evidence(
     rules: Sequence[Rule] = DEFAULT_RULES,
     redaction: str = "balanced",
     limit: int | None = None,
+    deduplicated: bool = False,
 ) -> DataFrame:
     """Evidence rows of every incident, ranked in event order.
 
     With ``limit`` only the first rows per incident are kept. Without it all are ranked; the ranks
     are built from ranges of one minute, so a host with very many matches is not sorted by one task.
     """
-    matches = matched_events(events, rules)
+    matches = matched_events(events, rules, deduplicated)
     keys = [*HOST, "rule_no"]
     needed = rule_field(F.col("rule_no"), rules, "min_events", "bigint")
     if limit is None:

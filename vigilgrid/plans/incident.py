@@ -26,14 +26,22 @@ class FleetView:
 
 
 def incident_table(
-    events: DataFrame, snapshots: DataFrame, as_of: Column | None = None, redaction: str = "balanced",
+    events: DataFrame,
+    snapshots: DataFrame,
+    as_of: Column | None = None,
+    redaction: str = "balanced",
     rule_set: Sequence[rules.Rule] = rules.DEFAULT_RULES,
+    prepared: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Host windows and incidents, staged because every later step reads them several times."""
+    """Host windows and incidents, staged because every later step reads them several times.
+
+    ``prepared`` events are deduplicated and redacted already.
+    """
     windows = timeline.host_windows(snapshots, events, as_of)
     windows = stage(windows.withColumn("user_id", hash_user(F.col("user_id"), redaction)), "windows")
-    incidents = stage(rules.detect_incidents(events, windows, rule_set, redaction), "incidents")
-    return windows, incidents
+    mode = "off" if prepared else redaction
+    found = rules.detect_incidents(events, windows, rule_set, mode, deduplicated=prepared)
+    return windows, stage(found, "incidents")
 
 
 def fleet_view(windows: DataFrame, incidents: DataFrame, runs: DataFrame) -> FleetView:
@@ -62,14 +70,13 @@ def run_incident_flow(
     """
     admitted = ingest.admit_snapshots(snapshots, as_of, window_hours)
     selected = ingest.select_snapshots(ingest.accepted(admitted), as_of, mode, max_hosts)
-    events = stage(ingest.explode_events(selected), "events")
-    heads = selected.drop("events").withColumn("snap_rank", F.lit(0))
-    windows, incidents = incident_table(events, heads, as_of, redaction)
+    selected = ingest.rank_snapshots(selected)
+    host_events = stage(timeline.host_events(ingest.explode_events(selected), redaction), "host-events")
+    windows, incidents = incident_table(host_events, selected, as_of, redaction, prepared=True)
     known_runs = windows.select("run_id").distinct()
     ledger_runs = known_runs if runs is None else runs.select("run_id").union(known_runs).distinct()
     view = fleet_view(windows, incidents, ledger_runs)
-    host_events = stage(timeline.host_events(events, redaction), "host-events")
-    evidence = rules.incident_evidence(events, redaction=redaction, limit=3)
+    evidence = rules.incident_evidence(host_events, redaction="off", limit=3, deduplicated=True)
     line = timeline.host_timeline(windows, host_events, incidents)
     first = evidence.filter(F.col("evidence_rank") == 1)
     paths = {

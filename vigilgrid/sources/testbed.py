@@ -60,6 +60,7 @@ def event_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     even = (k.cast("int") % 2) == 0
     text = F.lit
+    channel = F.when(F.col("kind") == "info", "Application").otherwise("System")
     return base.select(
         *HOST,
         "user_no",
@@ -96,9 +97,8 @@ def event_views(spark: SparkSession, sf_dir: str) -> DataFrame:
             {"bsod": text("Error"), "svc": text("Error"), "upd": text("Error"), "info": text("Information")},
             text("Warning"),
         ).alias("level"),
-        F.when(F.col("kind") == "info", "WindowsEventLog:Application")
-        .otherwise("WindowsEventLog:System")
-        .alias("source"),
+        F.concat(F.lit("WindowsEventLog:"), channel).alias("source"),
+        channel.alias("channel"),
         _pick(
             F.col("kind"),
             {
