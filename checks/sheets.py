@@ -19,23 +19,31 @@ from vigilgrid.sources import testbed as tb
 from .catalog import joined, query
 from .ctes import CTES
 
-STRIP = f"regexp_replace({{0}}, '^{SPACE}+|{SPACE}+$', '', 'g')"
-LABEL = f"lower(regexp_replace({STRIP}, '{SPACE}+', ' ', 'g'))"
-NUMERIC = r"regexp_full_match({0}, '\p{{Nd}}+\.?\p{{Nd}}*|\.\p{{Nd}}+')"
+
+def strip_sql(value: str) -> str:
+    return f"regexp_replace({value}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+def label_sql(value: str) -> str:
+    return f"lower(regexp_replace({strip_sql(value)}, '{SPACE}+', ' ', 'g'))"
+
+
+def numeric_sql(value: str) -> str:
+    return f"regexp_full_match({value}, '\\p{{Nd}}+\\.?\\p{{Nd}}*|\\.\\p{{Nd}}+')"
 
 
 def _header_sql(value: str, index: str) -> str:
-    return f"CASE WHEN {STRIP.format(value)} = '' THEN 'unnamed_' || ({index}) ELSE replace(lower({STRIP.format(value)}), ' ', '_') END"
+    return f"CASE WHEN {strip_sql(value)} = '' THEN 'unnamed_' || ({index}) ELSE replace(lower({strip_sql(value)}), ' ', '_') END"
 
 
 CTES["hc_row"] = f"""
 SELECT sheet_id, row_idx, cells, max(len(cells)) OVER (PARTITION BY sheet_id) AS width,
-       len(list_filter(cells, lambda v: {STRIP.format('v')} <> '')) AS filled,
+       len(list_filter(cells, lambda v: {strip_sql('v')} <> '')) AS filled,
        list_transform(cells, lambda v, i: {_header_sql('v', 'i - 1')}) AS headers
 FROM sr WHERE row_idx < 5
 """
 CTES["hc_data"] = f"""
-SELECT *, len(headers) = 0 OR len(list_filter(headers, lambda h: {NUMERIC.format('h')})) >= greatest(1, len(headers) // 2) AS looks
+SELECT *, len(headers) = 0 OR len(list_filter(headers, lambda h: {numeric_sql('h')})) >= greatest(1, len(headers) // 2) AS looks
 FROM hc_row
 """
 CTES["hc"] = """
@@ -45,7 +53,7 @@ FROM hc_data
 """
 CTES["bh"] = "SELECT * FROM hc QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY confidence DESC, row_idx) = 1"
 CTES["shash"] = f"""
-SELECT sheet_id, sha256(string_agg(array_to_string(list_transform(cells, lambda v: {LABEL.format('v')}), '|'), chr(10) ORDER BY row_idx)) AS structural_hash
+SELECT sheet_id, sha256(string_agg(array_to_string(list_transform(cells, lambda v: {label_sql('v')}), '|'), chr(10) ORDER BY row_idx)) AS structural_hash
 FROM sr WHERE row_idx < 5 GROUP BY sheet_id
 """
 CTES["lc"] = """
@@ -55,10 +63,10 @@ FROM (SELECT sheet_id, row_idx, cells, unnest(range(1, len(cells) + 1)) AS i FRO
 CTES["hd1"] = f"SELECT sheet_id, col_idx, {_header_sql('value', 'col_idx')} AS name FROM lc WHERE row_idx = 1"
 CTES["cf"] = f"""
 SELECT h.sheet_id, h.col_idx, h.name, n.data_rows,
-       count(*) FILTER (WHERE {STRIP.format('l.value')} <> '') AS filled,
-       coalesce(bool_and({NUMERIC.format(STRIP.format('l.value'))}) FILTER (WHERE {STRIP.format('l.value')} <> ''), false) AS numeric,
-       coalesce(bool_and(try_strptime({STRIP.format('l.value')}, ['%Y-%m-%d', '%Y/%m/%d', '%m/%d/%Y', '%d-%b-%Y', '%Y%m%d']) IS NOT NULL)
-         FILTER (WHERE {STRIP.format('l.value')} <> ''), false) AS dates
+       count(*) FILTER (WHERE {strip_sql('l.value')} <> '') AS filled,
+       coalesce(bool_and({numeric_sql(strip_sql('l.value'))}) FILTER (WHERE {strip_sql('l.value')} <> ''), false) AS numeric,
+       coalesce(bool_and(try_strptime({strip_sql('l.value')}, ['%Y-%m-%d', '%Y/%m/%d', '%m/%d/%Y', '%d-%b-%Y', '%Y%m%d']) IS NOT NULL)
+         FILTER (WHERE {strip_sql('l.value')} <> ''), false) AS dates
 FROM hd1 h JOIN (SELECT sheet_id, count(*) FILTER (WHERE row_idx > 1) AS data_rows FROM sr GROUP BY sheet_id) n ON n.sheet_id = h.sheet_id
 LEFT JOIN lc l ON l.sheet_id = h.sheet_id AND l.col_idx = h.col_idx AND l.row_idx > 1
 GROUP BY h.sheet_id, h.col_idx, h.name, n.data_rows
@@ -130,7 +138,7 @@ def header_decision(spark, sf):
     f"""
     SELECT sheet_id, coalesce(min(row_idx) FILTER (WHERE dense AND nxt), 0) AS suggested_header FROM (
       SELECT *, lead(dense) OVER (PARTITION BY sheet_id ORDER BY row_idx) AS nxt FROM (
-        SELECT sheet_id, row_idx, len(list_filter(cells, lambda v: {STRIP.format('v')} <> ''))
+        SELECT sheet_id, row_idx, len(list_filter(cells, lambda v: {strip_sql('v')} <> ''))
                > max(len(cells)) OVER (PARTITION BY sheet_id) * 0.5 AS dense FROM sr WHERE row_idx < 100))
     GROUP BY sheet_id
     """,
@@ -151,7 +159,7 @@ def _wanted(spark: SparkSession, sf: str) -> DataFrame:
     f"""
     SELECT sheet_id, CASE CAST(substr(sheet_id, 7) AS BIGINT) % 9 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE row_idx END AS header_row
     FROM (SELECT sheet_id, row_idx, len(list_intersect(['order key', 'total price', 'nothing'],
-                 list_transform(cells, lambda v: {LABEL.format('v')}))) AS hits FROM sr WHERE row_idx < 50)
+                 list_transform(cells, lambda v: {label_sql('v')}))) AS hits FROM sr WHERE row_idx < 50)
     QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY hits DESC, row_idx) = 1
     """,
 )
@@ -231,8 +239,8 @@ def table_region(spark, sf):
 @query(
     "column_inventory",
     f"""
-    SELECT h.sheet_id, h.col_idx, CASE WHEN {STRIP.format('h.value')} = '' OR contains(h.value, 'Unnamed') THEN '(Empty Header)'
-           ELSE {STRIP.format('h.value')} END AS original_name, coalesce(d.value, '') AS sample_value
+    SELECT h.sheet_id, h.col_idx, CASE WHEN {strip_sql('h.value')} = '' OR contains(h.value, 'Unnamed') THEN '(Empty Header)'
+           ELSE {strip_sql('h.value')} END AS original_name, coalesce(d.value, '') AS sample_value
     FROM lc h JOIN (SELECT DISTINCT sheet_id FROM sr WHERE row_idx = 2) s ON s.sheet_id = h.sheet_id
     LEFT JOIN lc d ON d.sheet_id = h.sheet_id AND d.col_idx = h.col_idx AND d.row_idx = 2 WHERE h.row_idx = 1
     """,
@@ -245,7 +253,7 @@ def column_inventory(spark, sf):
 @query(
     "column_samples",
     f"""
-    SELECT c.sheet_id, c.col_idx, coalesce(CASE WHEN {STRIP.format('h.value')} <> '' THEN h.value END, 'col_' || c.col_idx) AS name,
+    SELECT c.sheet_id, c.col_idx, coalesce(CASE WHEN {strip_sql('h.value')} <> '' THEN h.value END, 'col_' || c.col_idx) AS name,
            coalesce(string_agg(d.value, ', ' ORDER BY d.row_idx), '') AS samples
     FROM (SELECT DISTINCT sheet_id, col_idx FROM lc WHERE row_idx BETWEEN 1 AND 4) c
     LEFT JOIN lc h ON h.sheet_id = c.sheet_id AND h.col_idx = c.col_idx AND h.row_idx = 1
@@ -425,7 +433,7 @@ def adapter_schema(spark, sf):
     """,
 )
 def enforce_types(spark, sf):
-    price = F.format_string("USD %,.2f", F.col("o_totalprice").cast("decimal(18,2)"))
+    price = F.concat(F.lit("USD "), F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2))
     day = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
     )
@@ -533,7 +541,8 @@ def _sheet_recipes(spark: SparkSession, sf: str) -> DataFrame:
     "apply_recipe",
     """
     SELECT sheet_id, row_idx,
-      CASE WHEN n % 4 = 2 AND NOT m IN (1, 5) THEN '' WHEN m IN (6, 7) THEN NULL ELSE cells[2] END AS first,
+      CASE WHEN m = 6 THEN CASE WHEN n % 5 = 1 THEN strftime(title, '%Y-%m-%d') END
+           WHEN m = 7 THEN NULL WHEN n % 4 = 2 THEN '' ELSE cells[2] END AS first,
       CASE WHEN n % 4 = 2 THEN NULL ELSE CAST(substr(cells[3], 5) AS DOUBLE) END AS price,
       CASE WHEN n % 5 IN (0, 1) THEN strftime(title, '%Y-%m-%d') END AS report_date,
       CASE WHEN n % 5 = 0 THEN '' END AS unknown

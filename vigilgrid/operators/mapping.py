@@ -64,13 +64,10 @@ def apply_adapter(data: DataFrame, sheet_specs: DataFrame, fields: DataFrame) ->
         index = F.when(F.array_contains(source_names, c["source"]), last)
         return enforce_type(C.cell(source_cells, index.cast("int")), c["dtype"])
 
-    return joined.select(
-        "sheet_id",
-        "row_idx",
-        "spec_id",
-        F.transform("_columns", lambda c: c["canonical"]).alias("headers"),
-        F.transform("_columns", value).alias("cells"),
-    )
+    # Two steps: inside a lambda, ``headers`` would otherwise mean the new column of that name.
+    mapped = joined.select("sheet_id", "row_idx", "spec_id", "_columns", F.transform("_columns", value).alias("_values"))
+    names = F.transform("_columns", lambda c: c["canonical"])
+    return mapped.select("sheet_id", "row_idx", "spec_id", names.alias("headers"), F.col("_values").alias("cells"))
 
 
 def parse_recipe_fields(fields: DataFrame) -> DataFrame:
