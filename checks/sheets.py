@@ -200,8 +200,10 @@ def flatten_headers(spark, sf):
     return grid.flatten_headers(_rows(spark, sf), 0, 1).select("sheet_id", joined("headers").alias("headers"))
 
 
-def _headers(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.headers_at(_rows(spark, sf), F.lit(1))
+def _grid_and_headers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The derived grid as a stored table, as in use, and the headers of its second row."""
+    rows = stage(_rows(spark, sf), "sheet-rows")
+    return rows, grid.headers_at(rows, F.lit(1))
 
 
 def _regions(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,7 +234,7 @@ WHERE d.row_idx > 1 AND (n % 3 <> 0 OR d.row_idx >= 4) AND (n % 2 <> 0 OR d.row_
     "SELECT sheet_id, row_idx, array_to_string(headers, '|') AS headers, array_to_string(cells, '|') AS cells FROM tr",
 )
 def table_region(spark, sf):
-    inside = grid.table_region(_rows(spark, sf), _headers(spark, sf), _regions(spark, sf))
+    inside = grid.table_region(*_grid_and_headers(spark, sf), _regions(spark, sf))
     return inside.select("sheet_id", "row_idx", joined("headers").alias("headers"), joined("cells").alias("cells"))
 
 
@@ -274,7 +276,7 @@ def column_samples(spark, sf):
     """,
 )
 def rows_to_table(spark, sf):
-    long = grid.rows_to_table(_rows(spark, sf), _headers(spark, sf))
+    long = grid.rows_to_table(*_grid_and_headers(spark, sf))
     return long.withColumn("col_idx", F.col("col_idx").cast("bigint"))
 
 
@@ -325,12 +327,15 @@ def missing_required_pct(spark, sf):
 
 @query("output_row_counts", "SELECT sheet_id, count(*) AS rows_written FROM tr GROUP BY sheet_id")
 def output_row_counts(spark, sf):
-    return profile.output_row_counts(grid.table_region(_rows(spark, sf), _headers(spark, sf), _regions(spark, sf)))
+    return profile.output_row_counts(grid.table_region(*_grid_and_headers(spark, sf), _regions(spark, sf)))
 
 
-def _field_types(spark: SparkSession) -> DataFrame:
-    rows = [("unnamed_0", "string", True), ("order_key", "number", True), ("total_price", "date", False), ("order_date", "date", True)]
-    return spark.createDataFrame(rows, "name string, dtype string, required boolean")
+FIELD_TYPES = (
+    ("unnamed_0", "string", True),
+    ("order_key", "number", True),
+    ("total_price", "date", False),
+    ("order_date", "date", True),
+)
 
 
 _LONG = "(SELECT sr.sheet_id, h.name, coalesce(sr.cells[h.col_idx + 1], '') AS value FROM sr JOIN hd1 h ON h.sheet_id = sr.sheet_id WHERE sr.row_idx > 1)"
@@ -345,8 +350,8 @@ _LONG = "(SELECT sr.sheet_id, h.name, coalesce(sr.cells[h.col_idx + 1], '') AS v
     """,
 )
 def transform_report(spark, sf):
-    long = grid.rows_to_table(_rows(spark, sf), _headers(spark, sf))
-    return profile.transform_report(long, _field_types(spark))
+    long = grid.rows_to_table(*_grid_and_headers(spark, sf))
+    return profile.transform_report(long, FIELD_TYPES)
 
 
 @query(
@@ -362,8 +367,8 @@ def transform_report(spark, sf):
     """,
 )
 def validation_gate(spark, sf):
-    rows = _rows(spark, sf)
-    long = grid.rows_to_table(rows, _headers(spark, sf))
+    rows, headers = _grid_and_headers(spark, sf)
+    long = grid.rows_to_table(rows, headers)
     facts = long.groupBy("sheet_id", "name").agg(
         F.count(F.lit(1)).alias("cells"), F.count_if(C.blank(F.col("value"))).alias("missing")
     )
@@ -404,8 +409,8 @@ def _sheet_specs(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def apply_adapter(spark, sf):
-    data = grid.table_region(_rows(spark, sf), _headers(spark, sf))
-    out = mapping.apply_adapter(data, _sheet_specs(spark, sf), _adapters(spark))
+    rows, headers = _grid_and_headers(spark, sf)
+    out = mapping.apply_adapter(rows, headers, _sheet_specs(spark, sf), _adapters(spark))
     return out.select("sheet_id", "row_idx", joined("headers").alias("headers"), joined("cells").alias("cells"))
 
 
@@ -554,7 +559,7 @@ def _sheet_recipes(spark: SparkSession, sf: str) -> DataFrame:
 )
 def apply_recipe(spark, sf):
     values = mapping.apply_recipe(
-        _rows(spark, sf), _sheet_recipes(spark, sf), _recipes(spark, sf), _recipe_fields(spark, sf)
+        stage(_rows(spark, sf), "sheet-rows"), _sheet_recipes(spark, sf), _recipes(spark, sf), _recipe_fields(spark, sf)
     )
     wide = mapping.wide(values, [("first", "string"), ("price", "number"), ("report_date", "date"), ("unknown", "string")])
     return wide.withColumn("report_date", F.date_format("report_date", "yyyy-MM-dd"))
@@ -588,7 +593,7 @@ def extract_metadata(spark, sf):
     """,
 )
 def attach_metadata(spark, sf):
-    rows = _rows(spark, sf)
+    rows = stage(_rows(spark, sf), "sheet-rows")
     metadata = rows.filter("row_idx = 0").select(
         "sheet_id", F.lit("report_date").alias("target"), F.lit("date").alias("data_type"), F.get("cells", F.lit(1)).alias("value")
     )
@@ -726,7 +731,7 @@ def combine_outputs(spark, sf):
     "SELECT tr.sheet_id AS source_run_id, row_idx, cells[list_position(headers, 'order_key')] AS order_key, cells[list_position(headers, 'total_price')] AS total_price FROM tr",
 )
 def combine_long(spark, sf):
-    inside = grid.table_region(_rows(spark, sf), _headers(spark, sf), _regions(spark, sf))
+    inside = grid.table_region(*_grid_and_headers(spark, sf), _regions(spark, sf))
     long = mapping.combine_long(inside)
     pick = lambda name: F.try_element_at("record", F.lit(name)).alias(name)
     return long.select("source_run_id", "row_idx", pick("order_key"), pick("total_price"))
@@ -786,6 +791,30 @@ def scan_large_csv(spark, sf):
     return found.select(F.url_decode(F.regexp_replace(name, r"\+", "%2B")).alias("priority"), "row_idx", joined("cells", "#").alias("cells"))
 
 
+@query(
+    "scan_sheets_csv",
+    """
+    SELECT 'part=' || (c_custkey // 500) AS sheet_id, row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) - 1 AS row_idx,
+           c_name || '#' || 'say "' || c_mktsegment || '", ok' || '#' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'x' END AS cells
+    FROM customer
+    """,
+)
+def scan_sheets_csv(spark, sf):
+    """Customers as CSV files of at most 500 rows each, read back one sheet per file."""
+    path = _scratch(spark, "small-csv")
+    cells = F.array(
+        F.col("c_name"),
+        F.concat(F.lit('say "'), "c_mktsegment", F.lit('", ok')),
+        F.when(F.col("c_custkey") % 2 == 0, "").otherwise("x"),
+    )
+    part = F.floor(F.col("c_custkey") / 500)
+    rows = tb.table(spark, sf, "customer").select(part.alias("part"), "c_custkey", cells.alias("cells"))
+    lines = rows.repartition("part").sortWithinPartitions("part", "c_custkey")
+    lines.select("part", _csv_line().alias("value")).write.partitionBy("part").text(path)
+    found = files.scan_sheets_csv(spark, path, pattern="*.txt")
+    return found.select(F.regexp_extract("sheet_id", "^[^/]+", 0).alias("sheet_id"), "row_idx", joined("cells", "#").alias("cells"))
+
+
 @query(
     "write_clean_table",
     "SELECT sheet_id, count(*) AS rows_written, CAST(sum(CAST(cells[2] AS BIGINT)) AS BIGINT) AS key_sum FROM sr WHERE row_idx > 1 GROUP BY sheet_id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -64,9 +65,18 @@ def clean_number(value: Column) -> Column:
     return F.when(kept.rlike(CASTABLE_PATTERN), kept.try_cast("double"))
 
 
+def _shape(layout: str) -> str:
+    """Pattern of the texts a date layout can fit."""
+    digits = {"yyyy": "[0-9]{4}", "MMM": "[A-Za-z]{3}"}
+    plain = layout.replace("'", "")
+    return "^" + re.sub("yyyy|MMM|MM|dd|HH|mm|ss", lambda m: digits.get(m.group(), "[0-9]{2}"), plain) + "$"
+
+
 def parse_date(value: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """Date in the first layout that fits; a cheap pattern keeps the parser off all other texts."""
     text = strip(value)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats]).cast("date")
+    tried = [F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats]
+    return F.coalesce(*tried).cast("date")
 
 
 def clean_date(value: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:

@@ -62,3 +62,22 @@ def salted_join(
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+BLOCK_ROWS = 1 << 16
+
+
+def block_join(
+    rows: DataFrame, per_key: DataFrame, key: str, position: str, block: int = BLOCK_ROWS
+) -> DataFrame:
+    """Inner join of rows with the one row per key they need, however long a key is.
+
+    Rows are joined in blocks of consecutive positions, so no task gets more than ``block`` rows of
+    one key; the other side is repeated once per block of its key. How many blocks a key has comes
+    from a narrow aggregation with map-side combine.
+    """
+    number = F.floor(F.col(position) / F.lit(block))
+    extents = rows.groupBy(key).agg(F.max(number).alias("_last"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last")))
+    right = per_key.join(extents, key, "inner").withColumn("_block", blocks).drop("_last")
+    return rows.withColumn("_block", number).join(right, [key, "_block"], "inner").drop("_block")

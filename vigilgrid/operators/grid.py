@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..functions.relational import block_join
 from ..functions.text import strip
 
 PREVIEW_ROWS = 5
@@ -184,13 +185,11 @@ def headers_at(rows: DataFrame, header_row: Column) -> DataFrame:
     )
 
 
-def table_region(rows: DataFrame, headers: DataFrame, regions: DataFrame | None = None) -> DataFrame:
-    """Data rows and columns inside the region of each sheet.
+def region_plan(headers: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """Per sheet: first and last data row (absolute, inclusive) and the columns to keep.
 
     ``headers``: ``sheet_id, header_row, headers``. ``regions``: ``sheet_id, start_row, end_row``
-    (absolute, end inclusive, null = open), ``include_columns``, ``exclude_columns``; included
-    columns win over excluded ones. Rows of a very large sheet stay spread: the join of rows with
-    their sheet is left to adaptive execution, which broadcasts or splits it by measured size.
+    (null = open), ``include_columns``, ``exclude_columns``; included columns win over excluded ones.
     """
     spec = headers
     if regions is not None:
@@ -208,23 +207,29 @@ def table_region(rows: DataFrame, headers: DataFrame, regions: DataFrame | None
         .when(excluded, ~F.array_contains("exclude_columns", c["name"]))
         .otherwise(True),
     )
-    plan = spec.select(
+    return spec.select(
         "sheet_id",
-        F.greatest(F.col("header_row") + 1, F.coalesce("start_row", F.lit(0))).alias("_from"),
-        F.col("end_row").alias("_to"),
-        kept.alias("_kept"),
+        F.greatest(F.col("header_row") + 1, F.coalesce("start_row", F.lit(0))).alias("first_row"),
+        F.col("end_row").alias("last_row"),
+        kept.alias("columns"),
     )
-    inside = (F.col("row_idx") >= F.col("_from")) & F.coalesce(F.col("row_idx") <= F.col("_to"), F.lit(True))
+
+
+def inside_region() -> Column:
+    return (F.col("row_idx") >= F.col("first_row")) & F.coalesce(
+        F.col("row_idx") <= F.col("last_row"), F.lit(True)
+    )
+
+
+def table_region(rows: DataFrame, headers: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """Data rows and columns inside the region of each sheet; short rows are filled up."""
     source = F.col("cells")
-    return (
-        rows.join(plan, "sheet_id", "inner")
-        .filter(inside)
-        .select(
-            "sheet_id",
-            "row_idx",
-            F.transform("_kept", lambda c: c["name"]).alias("headers"),
-            F.transform("_kept", lambda c: C.cell(source, c["i"])).alias("cells"),
-        )
+    joined = block_join(rows, region_plan(headers, regions), "sheet_id", "row_idx").filter(inside_region())
+    return joined.select(
+        "sheet_id",
+        "row_idx",
+        F.transform("columns", lambda c: c["name"]).alias("headers"),
+        F.transform("columns", lambda c: C.cell(source, c["i"])).alias("cells"),
     )
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
-from .grid import LABEL_ROWS, resolve_header_by_labels, rows_at
+from ..functions.relational import block_join
+from .grid import LABEL_ROWS, inside_region, region_plan, resolve_header_by_labels, rows_at
 
 
 def enforce_type(value: Column, dtype: Column) -> Column:
@@ -45,29 +46,46 @@ def adapter_output(fields: DataFrame) -> DataFrame:
     )
 
 
-def apply_adapter(data: DataFrame, sheet_specs: DataFrame, fields: DataFrame) -> DataFrame:
+def apply_adapter(
+    rows: DataFrame,
+    headers: DataFrame,
+    sheet_specs: DataFrame,
+    fields: DataFrame,
+    regions: DataFrame | None = None,
+) -> DataFrame:
     """Rows of each sheet as the output columns of its adapter.
 
-    ``data``: ``sheet_id, row_idx, headers, cells`` (see ``table_region``); ``sheet_specs``:
-    ``sheet_id, spec_id``. Many adapters run in one job: the columns of an adapter travel as one
-    array, so the join is by sheet and no row is repeated.
+    ``headers``: ``sheet_id, header_row, headers``; ``sheet_specs``: ``sheet_id, spec_id``. Many
+    adapters run in one job: where a column comes from is settled once per sheet, and the rows then
+    meet this plan in a single join.
     """
     column = F.struct("out_idx", "canonical", "source", "dtype")
-    specs = adapter_output(fields).groupBy("spec_id").agg(F.sort_array(F.collect_list(column)).alias("_columns"))
-    plan = sheet_specs.join(specs, "spec_id", "inner").select("sheet_id", "spec_id", "_columns")
-    joined = data.join(plan, "sheet_id", "inner")
-    source_cells, source_names = F.col("cells"), F.col("headers")
+    specs = adapter_output(fields).groupBy("spec_id").agg(F.sort_array(F.collect_list(column)).alias("_outputs"))
 
-    def value(c: Column) -> Column:
+    def located(c: Column) -> Column:
         # The last of equal headers is the one that counts.
-        last = F.size(source_names) - F.array_position(F.reverse(source_names), c["source"])
-        index = F.when(F.array_contains(source_names, c["source"]), last)
-        return enforce_type(C.cell(source_cells, index.cast("int")), c["dtype"])
+        same = F.filter("columns", lambda k: k["name"] == c["source"])
+        return F.struct(
+            c["canonical"].alias("canonical"),
+            c["dtype"].alias("dtype"),
+            F.try_element_at(same, F.lit(-1))["i"].alias("i"),
+        )
 
-    # Two steps: inside a lambda, ``headers`` would otherwise mean the new column of that name.
-    mapped = joined.select("sheet_id", "row_idx", "spec_id", "_columns", F.transform("_columns", value).alias("_values"))
-    names = F.transform("_columns", lambda c: c["canonical"])
-    return mapped.select("sheet_id", "row_idx", "spec_id", names.alias("headers"), F.col("_values").alias("cells"))
+    plan = (
+        region_plan(headers, regions)
+        .join(sheet_specs, "sheet_id", "inner")
+        .join(specs, "spec_id", "inner")
+        .select("sheet_id", "spec_id", "first_row", "last_row", F.transform("_outputs", located).alias("_outputs"))
+    )
+    source = F.col("cells")
+    joined = block_join(rows, plan, "sheet_id", "row_idx").filter(inside_region())
+    return joined.select(
+        "sheet_id",
+        "row_idx",
+        "spec_id",
+        F.transform("_outputs", lambda c: c["canonical"]).alias("headers"),
+        F.transform("_outputs", lambda c: enforce_type(C.cell(source, c["i"]), c["dtype"])).alias("cells"),
+    )
 
 
 def parse_recipe_fields(fields: DataFrame) -> DataFrame:
@@ -226,7 +244,7 @@ def apply_recipe(rows: DataFrame, sheet_recipes: DataFrame, recipes: DataFrame,
             v["date"].alias("date"), v["text"].alias("text"),
         )
 
-    data = rows.join(plan, "sheet_id", "inner").filter(F.col("row_idx") > F.col("_header_row"))
+    data = block_join(rows, plan, "sheet_id", "row_idx").filter(F.col("row_idx") > F.col("_header_row"))
     return data.select(
         "sheet_id", "row_idx", "recipe_id", F.concat(F.transform("_plan", output), F.col("_merged")).alias("values")
     )
@@ -269,16 +287,17 @@ def wide(values: DataFrame, targets: Sequence[tuple[str, str]]) -> DataFrame:
 def attach_metadata(data: DataFrame, metadata: DataFrame, merge_fields: Sequence[str]) -> DataFrame:
     """Metadata values of a sheet on each of its rows, as text columns in merge order.
 
-    ``metadata``: ``sheet_id, target, data_type, value``.
+    ``data`` has ``sheet_id, row_idx`` and more; ``metadata``: ``sheet_id, target, data_type, value``.
     """
     typed = _typed(F.col("value"), F.col("data_type"))
     as_text = F.coalesce(
         typed["text"], F.date_format(typed["date"], "yyyy-MM-dd"), typed["number"].cast("string"), F.lit("")
     )
-    per_sheet = metadata.groupBy("sheet_id").agg(
-        *[F.max(F.when(F.col("target") == name, as_text)).alias(name) for name in merge_fields]
-    )
-    joined = data.join(per_sheet, "sheet_id", "left")
+    values = [F.max(F.when(F.col("target") == name, as_text)).alias(name) for name in merge_fields]
+    # Every sheet takes part, also one without metadata.
+    sheets = data.select("sheet_id").distinct()
+    per_sheet = sheets.join(metadata, "sheet_id", "left").groupBy("sheet_id").agg(*values)
+    joined = block_join(data, per_sheet, "sheet_id", "row_idx")
     return joined.select(
         *data.columns, *[F.coalesce(F.col(name), F.lit("")).alias(name) for name in merge_fields]
     )

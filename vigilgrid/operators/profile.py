@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,28 +11,34 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 
 
-def _column_facts(rows: DataFrame, header_row: Column) -> DataFrame:
+def _cell_facts(rows: DataFrame, header_row: Column) -> DataFrame:
     """One row per sheet and column from a single pass over all cells.
 
     Every row also counts under column -1, which gives the number of data rows without a second
     scan. All aggregates combine on the map side, so a sheet of any length is fine.
     """
-    marked = rows.withColumn("_data", F.col("row_idx") > header_row).filter(F.col("row_idx") >= header_row)
     numbered = F.transform("cells", lambda v, i: F.struct(i.alias("i"), v.alias("v")))
     row_mark = F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("v")))
-    long = marked.select(
-        "sheet_id", "_data", F.inline(F.concat(row_mark, numbered)).alias("col_idx", "value")
+    listed = F.when(F.col("row_idx") >= header_row, F.concat(row_mark, numbered)).otherwise(row_mark)
+    long = rows.select(
+        "sheet_id", (F.col("row_idx") > header_row).alias("_data"), F.inline(listed).alias("col_idx", "value")
     )
     data = F.col("_data")
     value = F.col("value")
     present = data & ~C.blank(value)
-    facts = long.groupBy("sheet_id", "col_idx").agg(
-        F.max(F.when(~data, C.normalize_header(value, F.col("col_idx")))).alias("name"),
+    named = ~data & (F.col("col_idx") >= 0)
+    return long.groupBy("sheet_id", "col_idx").agg(
+        F.max(F.when(named, C.normalize_header(value, F.col("col_idx")))).alias("name"),
         F.count_if(data).alias("cells"),
         F.count_if(present).alias("filled"),
         F.bool_and(F.when(present, C.numeric_like(value))).alias("numeric"),
         F.bool_and(F.when(present, C.parse_date(value).isNotNull())).alias("dates"),
     )
+
+
+def _column_facts(rows: DataFrame, header_row: Column) -> DataFrame:
+    """Facts of the columns that have a header, with the number of data rows of their sheet."""
+    facts = _cell_facts(rows, header_row)
     sheet = Window.partitionBy("sheet_id")
     total = F.max(F.when(F.col("col_idx") == -1, F.col("cells"))).over(sheet)
     return facts.withColumn("data_rows", total).filter((F.col("col_idx") >= 0) & F.col("name").isNotNull())
@@ -78,21 +85,18 @@ def canonical_schema(rows: DataFrame, header_row: int) -> DataFrame:
 
 def missing_required_pct(rows: DataFrame, header_row: Column, required: Sequence[str]) -> DataFrame:
     """Percentage of blank cells among the required columns, found by their header."""
-    facts = _column_facts(rows, header_row).filter(F.col("name").isin(list(required)))
-    first = facts.groupBy("sheet_id", "name").agg(
-        F.min_by("filled", "col_idx").alias("filled"), F.max("data_rows").alias("data_rows")
+    names = list(dict.fromkeys(required))
+    # The first column of a name counts; a required column that a sheet lacks is blank in every row.
+    filled = [
+        F.coalesce(F.min_by("filled", F.when(F.col("name") == n, F.col("col_idx"))), F.lit(0)) for n in names
+    ]
+    per_sheet = _cell_facts(rows, header_row).groupBy("sheet_id").agg(
+        F.max(F.when(F.col("col_idx") == -1, F.col("cells"))).alias("rows"),
+        reduce(lambda a, b: a + b, filled, F.lit(0)).alias("filled"),
     )
-    # A required column without a header in the sheet is blank in every row.
-    wanted = len(set(required))
-    per_sheet = first.groupBy("sheet_id").agg(
-        F.sum("filled").alias("filled"), F.max("data_rows").alias("data_rows")
-    )
-    sheets = rows.groupBy("sheet_id").agg(F.count_if(F.col("row_idx") > header_row).alias("rows"))
-    joined = sheets.join(per_sheet, "sheet_id", "left")
-    cells = F.col("rows") * F.lit(wanted)
-    missing = cells - F.coalesce("filled", F.lit(0))
-    pct = F.when(cells > 0, F.round(F.lit(100.0) * missing / cells, 1)).otherwise(F.lit(0.0))
-    return joined.select("sheet_id", pct.alias("missing_required_pct"))
+    cells = F.col("rows") * F.lit(len(names))
+    share = F.round(F.lit(100.0) * (cells - F.col("filled")) / F.greatest(cells, F.lit(1)), 1)
+    return per_sheet.select("sheet_id", F.when(cells > 0, share).otherwise(0.0).alias("missing_required_pct"))
 
 
 def output_row_counts(output: DataFrame, key: str = "sheet_id") -> DataFrame:
@@ -100,22 +104,30 @@ def output_row_counts(output: DataFrame, key: str = "sheet_id") -> DataFrame:
     return output.groupBy(key).agg(F.count(F.lit(1)).alias("rows_written"))
 
 
-def transform_report(long: DataFrame, types: DataFrame) -> DataFrame:
+def transform_report(long: DataFrame, types: Sequence[tuple[str, str, bool]]) -> DataFrame:
     """Per sheet and field: casts that failed and required values that are missing.
 
-    ``long`` has one row per cell (``sheet_id, name, value``), ``types`` the target type per field
-    (``name, dtype, required``).
+    ``long`` has one row per cell (``sheet_id, name, value``); ``types`` lists the target type of each
+    field and whether it is required, and is part of the plan, so no join is needed.
     """
-    joined = long.join(types, "name", "inner")
-    value = F.col("value")
+    name, value = F.col("name"), F.col("value")
+
+    def fields(keep) -> list[str]:
+        return [t[0] for t in types if keep(t)]
+
     failed = ~C.blank(value) & (
-        ((F.col("dtype") == "number") & C.clean_number(value).isNull())
-        | ((F.col("dtype") == "date") & C.parse_date(value).isNull())
+        (name.isin(fields(lambda t: t[1] == "number")) & C.clean_number(value).isNull())
+        | (name.isin(fields(lambda t: t[1] == "date")) & C.parse_date(value).isNull())
     )
-    return joined.groupBy("sheet_id", "name").agg(
-        F.count(F.lit(1)).alias("cells"),
-        F.count_if(failed).alias("casts_failed"),
-        F.count_if(F.col("required") & C.blank(value)).alias("missing_required"),
+    needed = name.isin(fields(lambda t: t[2]))
+    return (
+        long.filter(name.isin(fields(lambda t: True)))
+        .groupBy("sheet_id", "name")
+        .agg(
+            F.count(F.lit(1)).alias("cells"),
+            F.count_if(failed).alias("casts_failed"),
+            F.count_if(needed & C.blank(value)).alias("missing_required"),
+        )
     )
 
 

@@ -323,7 +323,10 @@ def incident_evidence(
     keys = [*HOST, "rule_no"]
     needed = rule_field(F.col("rule_no"), rules, "min_events", "bigint")
     if limit is None:
-        matches = stage(matches, "matched-events")
+        # Redacted first: what is staged must not hold more than what is published.
+        clean = text.redact_message(F.col("body.message"), redaction)
+        matches = stage(matches.withColumn("body", F.col("body").withField("message", clean)), "matched-events")
+        redaction = "off"
         fired = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= needed)
         ranked = split_position(matches, keys, event_order(), minute_range(), "evidence_rank", start=1)
         kept = ranked.join(fired.drop("_n"), keys, "left_semi")
