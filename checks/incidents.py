@@ -68,6 +68,7 @@ def snapshot_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.sort_array(F.collect_list(event)).alias("_events")
     )
     heads = tb.snapshots(spark, sf)
+    part_of = F.concat(F.lit("/snapshots/part-"), F.col("part").cast("string"), F.lit("/"))
     window = F.struct(F.col("window_start_raw").alias("start"), F.col("window_end_raw").alias("end"))
     return nested.join(heads, [*HOST, "snap_rank"]).select(
         "run_id",
@@ -78,7 +79,7 @@ def snapshot_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce("window_end_raw", F.lit(tb.AS_OF)).alias("generated_at"),
         window.alias("window"),
         F.transform("_events", lambda p: p["e"]).alias("events"),
-        "key",
+        F.replace("key", F.lit("/snapshots/"), part_of).alias("key"),
     )
 
 
@@ -95,9 +96,9 @@ def _run_of(key: str = "key"):
 @query(
     "scan_snapshots",
     """
-    SELECT sn.key, sn.host_id, strftime(sn.window_start, '%Y-%m-%d %H:%M:%S.%f') AS window_start,
+    SELECT replace(sn.key, '/snapshots/', '/snapshots/part-' || p.part || '/') AS key, sn.host_id, strftime(sn.window_start, '%Y-%m-%d %H:%M:%S.%f') AS window_start,
            strftime(sn.window_end, '%Y-%m-%d %H:%M:%S.%f') AS window_end, p.n_events, false AS load_error
-    FROM sn JOIN (SELECT run_id, host_id, snap_rank, count(*) AS n_events FROM ee
+    FROM sn JOIN (SELECT run_id, host_id, snap_rank, record_id // 4096 AS part, count(*) AS n_events FROM ee
                   GROUP BY run_id, host_id, snap_rank, record_id // 4096) p
     ON p.run_id = sn.run_id AND p.host_id = sn.host_id AND p.snap_rank = sn.snap_rank
     """,
@@ -1062,8 +1063,8 @@ def stream_detect(spark, sf):
 def run_incident_flow(spark, sf):
     scanned = docs.scan_snapshots(spark, _landed(spark, sf), layout="lines").withColumn("run_id", _run_of())
     root = _scratch(spark, "flow")
-    paths = flow.run_incident_flow(scanned, root, as_of(), window_hours=24 * 60, mode="all")
-    back = spark.read.parquet(paths["fleet_summary"])
+    flow.run_incident_flow(scanned, root, as_of(), window_hours=24 * 60, mode="all")
+    back = sinks.read_published(spark, root, "fleet_summary")
     return back.select("run_id", "host_count", "incident_count", "cluster_count", "overall_risk_score")
 
 

@@ -144,9 +144,12 @@ def clip_message(message: Column) -> Column:
 
 
 def row_digest(*columns: Column) -> Column:
-    """Digest of several nullable values; each part carries its length, nulls are their own value."""
+    """Digest (32 bytes) of several nullable values.
+
+    Each part carries its length and nulls are their own value, so different rows differ as text.
+    """
     parts = []
     for column in columns:
         text = column.cast("string")
         parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    return F.unhex(F.sha2(F.concat_ws("|", *parts), 256))

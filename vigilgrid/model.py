@@ -82,6 +82,14 @@ SHEET_ROWS = T.StructType(
     ]
 )
 
+RUN_LEDGER = T.StructType(
+    [
+        *_text("run_id", "attempt", "status"),
+        T.StructField("at", T.TimestampType()),
+        T.StructField("violations", T.LongType()),
+    ]
+)
+
 # Enumerations of the document formats.
 LEVELS = ("Critical", "Error", "Warning", "Information", "Verbose")
 COLLECTOR_METHODS = ("local_script", "winrm", "intune_export", "edr_api", "simulated", "other")

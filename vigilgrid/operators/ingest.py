@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -95,10 +95,12 @@ def admission_counters(admitted: DataFrame) -> DataFrame:
 
 
 def rank_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Order of the snapshots of a host: newest window first, a missing end newest of all."""
-    order = [F.col("window_end").desc_nulls_first(), F.col("key").asc()]
-    rank = F.row_number().over(Window.partitionBy(*HOST).orderBy(*order)) - 1
-    return snapshots.withColumn("snap_rank", rank)
+    """Order of the snapshots of a host: newest window first, a missing end newest of all.
+
+    The rank is a value to sort by, made from the snapshot itself, so no snapshot has to be moved.
+    """
+    newest = F.coalesce(-F.unix_micros("window_end"), F.lit(-(2**62)))
+    return snapshots.withColumn("snap_rank", F.struct(newest.alias("newest"), F.col("key")))
 
 
 def explode_events(snapshots: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,13 +65,17 @@ def run_incident_flow(
     max_hosts: int | None = None,
     redaction: str = "balanced",
     export_json: bool = False,
-) -> dict[str, str]:
-    """Process scanned snapshot documents (with ``run_id``) and write all result tables.
-
-    Everything is written to the partitions of its run first. Then the document rules are checked,
-    and only after that the ledger row appears that makes the run visible.
+    attempt: str | None = None,
+) -> str:
+    """Process scanned snapshot documents (with ``run_id``), write all result tables, publish them.
+
+    Everything is written under a new attempt first. Then the document rules are checked, and only
+    after that the ledger row appears that makes the attempt of a run visible to
+    ``sinks.read_published``. Documents are parsed once, into the staging folder. Returns the attempt;
+    a given one must sort after those before it.
     """
-    admitted = ingest.admit_snapshots(snapshots, as_of, window_hours)
+    attempt = attempt or f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    admitted = stage(ingest.admit_snapshots(snapshots, as_of, window_hours), "admitted")
     selected = ingest.select_snapshots(ingest.accepted(admitted), as_of, mode, max_hosts)
     selected = ingest.rank_snapshots(selected)
     host_events = stage(timeline.host_events(ingest.explode_events(selected), redaction), "host-events")
@@ -76,68 +83,60 @@ def run_incident_flow(
     known_runs = windows.select("run_id").distinct()
     ledger_runs = known_runs if runs is None else runs.select("run_id").union(known_runs).distinct()
     view = fleet_view(windows, incidents, ledger_runs)
-    evidence = rules.incident_evidence(host_events, redaction="off", limit=3, deduplicated=True)
+    evidence = stage(rules.incident_evidence(host_events, redaction="off", deduplicated=True), "evidence")
     line = timeline.host_timeline(windows, host_events, incidents)
     first = evidence.filter(F.col("evidence_rank") == 1)
-    paths = {
-        "admission": sinks.write_run_table(ingest.admission_report(admitted), root, "admission"),
-        "host_events": sinks.write_run_table(host_events, root, "host_events"),
-        "incidents": sinks.write_run_table(incidents, root, "incidents"),
-        "incident_evidence": sinks.write_run_table(evidence, root, "incident_evidence"),
-        "host_timeline": sinks.write_run_table(line, root, "host_timeline"),
-        "host_reports": sinks.write_run_table(
-            ledger.host_report(windows, incidents, first, view.top), root, "host_reports"
-        ),
-        "clusters": sinks.write_run_table(view.clusters, root, "clusters"),
-        "top_hosts": sinks.write_run_table(view.top, root, "top_hosts"),
-        "fleet_summary": sinks.write_run_table(
-            view.summary.withColumn("generated_at", iso_text(as_of)), root, "fleet_summary"
-        ),
+    summary = stage(view.summary.withColumn("generated_at", iso_text(as_of)), "summary")
+    violations = stage(run_violations(view, host_events, evidence, summary), "violations")
+    tables = {
+        "admission": ingest.admission_report(admitted),
+        "host_events": host_events,
+        "incidents": incidents,
+        "incident_evidence": evidence,
+        "host_timeline": line,
+        "host_reports": ledger.host_report(windows, incidents, first, view.top),
+        "clusters": view.clusters,
+        "top_hosts": view.top,
+        "fleet_summary": summary,
+        "violations": violations,
     }
     if tickets is not None:
-        attached = timeline.attach_tickets(windows, ingest.tickets_by_host(tickets))
-        paths["host_tickets"] = sinks.write_run_table(attached, root, "host_tickets")
+        tables["host_tickets"] = timeline.attach_tickets(windows, ingest.tickets_by_host(tickets))
+    for name, table in tables.items():
+        sinks.write_run_table(table, root, name, attempt)
     if export_json:
-        paths["json"] = sinks.write_host_timelines(sinks.host_documents(line, incidents, evidence), root)
-        sinks.write_fleet(view.summary, root)
-    violations = run_violations(view, host_events)
-    paths["violations"] = sinks.write_run_table(violations, root, "violations")
-    stored = violations.sparkSession.read.schema(violations.schema).parquet(paths["violations"])
-    gate = quality.dq_gate(known_runs, stored)
-    entries = gate.select(
+        sinks.write_host_timelines(sinks.host_documents(line, incidents, evidence), root)
+        sinks.write_fleet(summary, root)
+    entries = quality.dq_gate(known_runs, violations).select(
         "run_id",
+        F.lit(attempt).alias("attempt"),
         F.when(F.col("passed"), "success").otherwise("failure").alias("status"),
         as_of.alias("at"),
         "violations",
     )
     entries.write.mode("append").parquet(f"{root.rstrip('/')}/runs")
-    paths["runs"] = f"{root.rstrip('/')}/runs"
-    return paths
-
-
-def run_violations(view: FleetView, host_events: DataFrame) -> DataFrame:
-    """Violations of the event, incident, cluster and host rules, one row each."""
-    parts = [
-        quality.dq_violations(
-            host_events, "event", ["run_id", F.col("host_id").alias("key")], quality.event_checks()
-        ),
-        quality.dq_violations(
-            view.incidents.withColumn("recommended_actions", rules.recommended_actions(F.col("type"))),
-            "incident",
-            ["run_id", F.col("incident_id").alias("key")],
-            quality.incident_checks(),
-        ),
-        quality.dq_violations(
-            view.clusters, "cluster", ["run_id", F.col("signature_hash").alias("key")], quality.cluster_checks()
-        ),
-        quality.dq_violations(
-            view.top, "top_host", ["run_id", F.col("host_id").alias("key")], quality.top_host_checks()
-        ),
+    return attempt
+
+
+def run_violations(
+    view: FleetView, host_events: DataFrame, evidence: DataFrame | None = None, summary: DataFrame | None = None
+) -> DataFrame:
+    """Violations of the rules of all result documents, one row each."""
+    advised = view.incidents.withColumn("recommended_actions", rules.recommended_actions(F.col("type")))
+    host, incident = F.col("host_id").alias("key"), F.col("incident_id").alias("key")
+    cluster, run = F.col("signature_hash").alias("key"), F.col("run_id").alias("key")
+    checked = [
+        (host_events, "event", host, quality.event_checks()),
+        (advised, "incident", incident, quality.incident_checks()),
+        (view.clusters, "cluster", cluster, quality.cluster_checks()),
+        (view.top, "top_host", host, quality.top_host_checks()),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if evidence is not None:
+        checked.append((evidence, "evidence", host, quality.evidence_checks()))
+    if summary is not None:
+        checked.append((summary, "fleet", run, quality.fleet_checks()))
+    parts = [quality.dq_violations(df, entity, ["run_id", key], checks) for df, entity, key, checks in checked]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def validate_runs(
