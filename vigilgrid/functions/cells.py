@@ -8,10 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import DIGIT, SPACE, strip
+from .text import DIGIT, collapse_space, strip
 
 NUMERIC_PATTERN = rf"^({DIGIT}+\.?{DIGIT}*|\.{DIGIT}+)$"
-CASTABLE_PATTERN = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 
 # Date layouts tried in order; the first that fits the whole text wins.
 DATE_FORMATS = (
@@ -40,8 +39,7 @@ def normalize_headers(cells: Column) -> Column:
 
 
 def normalize_label(value: Column) -> Column:
-    text = strip(F.coalesce(value, F.lit("")))
-    return F.lower(F.regexp_replace(text, f"{SPACE}+", " "))
+    return F.lower(collapse_space(strip(F.coalesce(value, F.lit("")))))
 
 
 def numeric_like(value: Column) -> Column:
@@ -61,8 +59,8 @@ def clean_number_text(value: Column) -> Column:
 
 
 def clean_number(value: Column) -> Column:
-    kept = F.regexp_replace(value, r"[^\p{Nd}.\-]", "")
-    return F.when(kept.rlike(CASTABLE_PATTERN), kept.try_cast("double"))
+    """Number from the digits, dots and minus signs of a text; null where they form none."""
+    return F.regexp_replace(value, r"[^\p{Nd}.\-]", "").try_cast("double")
 
 
 def _shape(layout: str) -> str:

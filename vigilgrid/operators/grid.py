@@ -108,14 +108,18 @@ def resolve_header_by_labels(rows: DataFrame, wanted: DataFrame, search_rows: in
     ``wanted`` has ``sheet_id, header_row`` (text, null = search) and ``labels`` (array).
     An explicit row that is not a number means row 0.
     """
-    top = preview_rows(rows, search_rows)
-    labels = F.array_distinct(F.filter(F.transform("labels", C.normalize_label), lambda v: v != ""))
-    matches = F.size(F.array_intersect(labels, F.transform("cells", C.normalize_label)))
+    # Labels are normalised on both sides before the join: once per sheet, and once per row.
+    usable = F.array_distinct(F.filter(F.transform("labels", C.normalize_label), lambda v: v != ""))
+    specs = wanted.select("sheet_id", "header_row", usable.alias("_wanted"))
+    top = preview_rows(rows, search_rows).select(
+        "sheet_id", "row_idx", F.transform("cells", C.normalize_label).alias("_labels")
+    )
+    matches = F.size(F.array_intersect("_wanted", "_labels"))
     ranked = (
-        wanted.join(top, "sheet_id", "left")
+        specs.join(top, "sheet_id", "left")
         .groupBy("sheet_id")
         .agg(
-            F.first("header_row").alias("_given"),
+            F.max("header_row").alias("_given"),
             F.min_by("row_idx", F.struct(-matches, F.col("row_idx"))).alias("_found"),
         )
     )
