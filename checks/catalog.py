@@ -58,3 +58,9 @@ def ts_text(ts: str | Column) -> Column:
 
 def joined(column: str | Column, separator: str = "|") -> Column:
     return F.array_join(column, separator)
+
+
+def shown(column: str | Column) -> Column:
+    """Nullable whole number as text, empty where null, so that engines cannot differ in its type."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.coalesce(value.cast("string"), F.lit(""))

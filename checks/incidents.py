@@ -18,7 +18,7 @@ from vigilgrid.sources import snapshots as docs
 from vigilgrid.sources import testbed as tb
 from vigilgrid.streaming import detect as stream
 
-from .catalog import joined, query, ts_text
+from .catalog import joined, query, shown, ts_text
 
 
 def as_of():
@@ -468,11 +468,11 @@ def rank_clusters(spark, sf):
 
 @query(
     "cluster_status",
-    "SELECT run_id, signature_hash, affected_hosts, status, delta_affected_hosts FROM cs",
+    "SELECT run_id, signature_hash, affected_hosts, status, coalesce(CAST(delta_affected_hosts AS VARCHAR), '') AS delta_affected_hosts FROM cs",
 )
 def cluster_status(spark, sf):
     return _statuses(spark, sf, _incidents(spark, sf)).select(
-        "run_id", "signature_hash", "affected_hosts", "status", "delta_affected_hosts"
+        "run_id", "signature_hash", "affected_hosts", "status", shown("delta_affected_hosts").alias("delta_affected_hosts")
     )
 
 
@@ -495,10 +495,18 @@ def top_hosts(spark, sf):
     )
 
 
-@query("host_deltas", "SELECT run_id, host_id, score, prev_score, delta_score FROM hd")
+@query(
+    "host_deltas",
+    """
+    SELECT run_id, host_id, score, coalesce(CAST(prev_score AS VARCHAR), '') AS prev_score,
+           coalesce(CAST(delta_score AS VARCHAR), '') AS delta_score FROM hd
+    """,
+)
 def host_deltas(spark, sf):
     top = fleet.top_hosts(*_tables(spark, sf))
-    return fleet.host_deltas(top, tb.runs(spark, sf)).select(*HOST, "score", "prev_score", "delta_score")
+    return fleet.host_deltas(top, tb.runs(spark, sf)).select(
+        *HOST, "score", shown("prev_score").alias("prev_score"), shown("delta_score").alias("delta_score")
+    )
 
 
 @query("host_cluster_flags", "SELECT run_id, host_id, has_spiking, has_new FROM fl")
@@ -507,9 +515,12 @@ def host_cluster_flags(spark, sf):
     return fleet.host_cluster_flags(incidents, _statuses(spark, sf, incidents))
 
 
-@query("host_action", "SELECT run_id, host_id, score, delta_score, action, action_reason FROM ha")
+@query(
+    "host_action",
+    "SELECT run_id, host_id, score, coalesce(CAST(delta_score AS VARCHAR), '') AS delta_score, action, action_reason FROM ha",
+)
 def host_action(spark, sf):
-    return _view(spark, sf).top.select(*HOST, "score", "delta_score", "action", "action_reason")
+    return _view(spark, sf).top.select(*HOST, "score", shown("delta_score").alias("delta_score"), "action", "action_reason")
 
 
 @query(
@@ -1071,9 +1082,9 @@ def run_incident_flow(spark, sf):
 @query(
     "parse_ts",
     """
-    SELECT event_id, CASE event_id % 6 WHEN 3 THEN NULL WHEN 4 THEN NULL
-        WHEN 1 THEN epoch_us(ts) - 7200000000 WHEN 2 THEN epoch_us(date_trunc('second', ts))
-        ELSE epoch_us(ts) END AS micros FROM events
+    SELECT event_id, CASE event_id % 6 WHEN 3 THEN '' WHEN 4 THEN ''
+        WHEN 1 THEN CAST(epoch_us(ts) - 7200000000 AS VARCHAR) WHEN 2 THEN CAST(epoch_us(date_trunc('second', ts)) AS VARCHAR)
+        ELSE CAST(epoch_us(ts) AS VARCHAR) END AS micros FROM events
     """,
 )
 def parse_ts_query(spark, sf):
@@ -1088,4 +1099,4 @@ def parse_ts_query(spark, sf):
         .when(group == 4, "not a time")
         .otherwise(F.concat(full, F.lit("7+00:00")))
     )
-    return tb.table(spark, sf, "events").select("event_id", F.unix_micros(parse_ts(raw)).alias("micros"))
+    return tb.table(spark, sf, "events").select("event_id", shown(F.unix_micros(parse_ts(raw))).alias("micros"))

@@ -16,7 +16,7 @@ from vigilgrid.sources import sheets as files
 from vigilgrid.sources import sinks
 from vigilgrid.sources import testbed as tb
 
-from .catalog import joined, query
+from .catalog import joined, query, shown
 from .ctes import CTES
 
 
@@ -494,24 +494,25 @@ def _recipe_fields(spark: SparkSession, sf: str) -> DataFrame:
     """
     SELECT 'recipe-' || c_custkey AS recipe_id, f.* REPLACE (
         CASE WHEN f.ord <> 0 THEN f.kind WHEN m = 7 THEN NULL WHEN m = 6 THEN 'metadata' ELSE 'column' END AS kind,
-        CASE WHEN f.ord <> 0 THEN f.row WHEN m = 6 THEN 0 END AS row,
-        CASE WHEN f.ord <> 0 THEN f.col WHEN m = 6 THEN 1 END AS col,
+        CASE WHEN f.ord <> 0 THEN f.row WHEN m = 6 THEN '0' ELSE '' END AS row,
+        CASE WHEN f.ord <> 0 THEN f.col WHEN m = 6 THEN '1' ELSE '' END AS col,
         CASE WHEN f.ord <> 0 THEN f.column_name WHEN m IN (0, 2, 3, 4) THEN 'Order Key' END AS column_name,
-        CASE WHEN f.ord <> 0 THEN f.column_index WHEN m IN (1, 5) THEN 1 END AS column_index,
+        CASE WHEN f.ord <> 0 THEN f.column_index WHEN m IN (1, 5) THEN '1' ELSE '' END AS column_index,
         CASE WHEN f.ord <> 0 THEN f.warning WHEN m = 7 THEN 'missing_source_pointer:first' END AS warning)
     FROM (SELECT c_custkey, c_custkey % 8 AS m FROM customer), (VALUES
-      (0, 'first', NULL, NULL::INT, NULL::INT, NULL, NULL::INT, 'string', NULL),
-      (1, 'report_date', 'metadata', 0, 1, NULL, NULL, 'date', NULL),
-      (2, 'price', 'column', NULL, NULL, 'Total Price', NULL, 'number', NULL),
-      (3, NULL, NULL, NULL, NULL, NULL, NULL, 'string', 'missing_target'),
-      (4, 'bad_cell', NULL, NULL, NULL, NULL, NULL, 'string', 'invalid_metadata_pointer:bad_cell'),
-      (5, 'bad_column', NULL, NULL, NULL, NULL, NULL, 'string', 'invalid_column_pointer:bad_column'),
-      (6, 'odd', NULL, NULL, NULL, NULL, NULL, 'string', 'unsupported_source_pointer:odd'))
+      (0, 'first', NULL, '', '', NULL, '', 'string', NULL),
+      (1, 'report_date', 'metadata', '0', '1', NULL, '', 'date', NULL),
+      (2, 'price', 'column', '', '', 'Total Price', '', 'number', NULL),
+      (3, NULL, NULL, '', '', NULL, '', 'string', 'missing_target'),
+      (4, 'bad_cell', NULL, '', '', NULL, '', 'string', 'invalid_metadata_pointer:bad_cell'),
+      (5, 'bad_column', NULL, '', '', NULL, '', 'string', 'invalid_column_pointer:bad_column'),
+      (6, 'odd', NULL, '', '', NULL, '', 'string', 'unsupported_source_pointer:odd'))
       f(ord, target, kind, row, col, column_name, column_index, data_type, warning)
     """,
 )
 def parse_recipe_fields(spark, sf):
-    return mapping.parse_recipe_fields(_recipe_fields(spark, sf))
+    parsed = mapping.parse_recipe_fields(_recipe_fields(spark, sf))
+    return parsed.withColumns({name: shown(name) for name in ("row", "col", "column_index")})
 
 
 @query(
@@ -658,7 +659,7 @@ def _confirmations(spark: SparkSession, sf: str) -> DataFrame:
     """
     SELECT s.sheet_id, CASE n % 3 WHEN 0 THEN CASE WHEN hc.row_idx IS NULL THEN 'unknown_candidate' ELSE 'confirmed' END
              WHEN 1 THEN 'unknown_candidate' ELSE 'missing_confirmation' END AS status,
-           CASE WHEN n % 3 = 0 THEN hc.row_idx END AS header_row
+           coalesce(CAST(CASE WHEN n % 3 = 0 THEN hc.row_idx END AS VARCHAR), '') AS header_row
     FROM (SELECT DISTINCT 'sheet-' || o_custkey AS sheet_id, o_custkey AS n FROM orders) s
     LEFT JOIN hc ON hc.sheet_id = s.sheet_id AND hc.row_idx = 1
     """,
@@ -666,7 +667,7 @@ def _confirmations(spark: SparkSession, sf: str) -> DataFrame:
 def apply_confirmations(spark, sf):
     candidates = grid.header_candidates(_rows(spark, sf))
     found = mapping.apply_confirmations(_sheets(spark, sf), candidates, _confirmations(spark, sf))
-    return found.select("sheet_id", "status", "header_row")
+    return found.select("sheet_id", "status", shown("header_row").alias("header_row"))
 
 
 @query(

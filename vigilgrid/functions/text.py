@@ -113,10 +113,12 @@ def redact_message(message: Column, mode: str = "balanced", path_patterns: str =
 
 def sanitize_raw_message(message: Column) -> Column:
     """Cleaning done at collection time, before a raw log row becomes an event."""
-    out = F.coalesce(message, F.lit(""))
-    out = F.regexp_replace(out, EMAIL_PATTERN, REDACTED_EMAIL)
+    raw = F.coalesce(message, F.lit(""))
+    out = F.when(raw.contains("@"), F.regexp_replace(raw, _EMAIL_NO_RETRY, REDACTED_EMAIL)).otherwise(raw)
+    masked = out
     for pattern in WINDOWS_PATH_PATTERNS:
-        out = F.regexp_replace(out, pattern, REDACTED_PATH)
+        masked = F.regexp_replace(masked, pattern, REDACTED_PATH)
+    out = F.when(raw.contains("\\"), masked).otherwise(out)
     out = F.regexp_replace(out, IPV4_PATTERN, "$1.0/24")
     return F.substring(out, 1, MESSAGE_LIMIT)
 

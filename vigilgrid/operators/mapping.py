@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
-from ..functions.relational import block_join
+from ..functions.relational import block_join, salted_join
 from .grid import LABEL_ROWS, inside_region, region_plan, resolve_header_by_labels, rows_at
 
 
@@ -71,10 +71,11 @@ def apply_adapter(
             F.try_element_at(same, F.lit(-1))["i"].alias("i"),
         )
 
+    # One adapter may serve most sheets, so its join is spread by sheet.
+    chosen = salted_join(sheet_specs, specs, ["spec_id"], ["sheet_id"], "inner")
     plan = (
         region_plan(headers, regions)
-        .join(sheet_specs, "sheet_id", "inner")
-        .join(specs, "spec_id", "inner")
+        .join(chosen, "sheet_id", "inner")
         .select("sheet_id", "spec_id", "first_row", "last_row", F.transform("_outputs", located).alias("_outputs"))
     )
     source = F.col("cells")
@@ -160,7 +161,8 @@ def _typed(value: Column, dtype: Column) -> Column:
 
 def extract_metadata(rows: DataFrame, sheet_recipes: DataFrame, parsed: DataFrame) -> DataFrame:
     """Single cells named by the recipe of a sheet; cells outside the grid are empty."""
-    wanted = sheet_recipes.join(parsed.filter(F.col("kind") == "metadata"), "recipe_id", "inner").select(
+    cells = parsed.filter(F.col("kind") == "metadata")
+    wanted = salted_join(sheet_recipes, cells, ["recipe_id"], ["sheet_id"], "inner").select(
         "sheet_id", "recipe_id", "ord", "target", F.col("row").cast("bigint").alias("row_idx"), "col", "data_type"
     )
     near = rows_at(rows, parsed.filter(F.col("kind") == "metadata").select("row"))
@@ -190,7 +192,9 @@ def apply_recipe(rows: DataFrame, sheet_recipes: DataFrame, recipes: DataFrame,
         .groupBy("recipe_id")
         .agg(F.sort_array(F.collect_list(column)).alias("_columns"))
     )
-    usable = sheet_recipes.join(recipes, "recipe_id", "inner").join(by_recipe, "recipe_id", "inner")
+    # One recipe may serve most sheets, so its join is spread by sheet.
+    whole = recipes.join(by_recipe, "recipe_id", "inner")
+    usable = salted_join(sheet_recipes, whole, ["recipe_id"], ["sheet_id"], "inner")
     wanted = usable.select(
         "sheet_id",
         "header_row",
@@ -312,12 +316,17 @@ def store_recipe(index: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def recall_recipe(hashes: DataFrame, index: DataFrame) -> DataFrame:
-    """Recipe of each sheet whose structure is known. The index has one row per structure."""
-    return hashes.join(index.select("structural_hash", "recipe_key"), "structural_hash", "inner")
+    """Recipe of each sheet whose structure is known. The index has one row per structure.
+
+    Many sheets may share a structure, so the join is spread by sheet.
+    """
+    known = index.select("structural_hash", "recipe_key")
+    return salted_join(hashes, known, ["structural_hash"], ["sheet_id"], "inner")
 
 
 def unmatched_sheets(hashes: DataFrame, index: DataFrame) -> DataFrame:
-    return hashes.join(index.select("structural_hash"), "structural_hash", "left_anti")
+    known = index.select("structural_hash")
+    return salted_join(hashes, known, ["structural_hash"], ["sheet_id"], "left_anti")
 
 
 def apply_confirmations(sheets: DataFrame, candidates: DataFrame, confirmations: DataFrame) -> DataFrame:

@@ -252,12 +252,12 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).cast("bigint").alias("row_idx"),
         F.array(*[F.lit(x) for x in ("", "Order Key", "Total Price", "Order Date")]).alias("cells"),
     )
-    # Key ranges of 4096 orders bound what one task ranks for a customer with very many orders.
+    # Key ranges bound what one task ranks for a customer with very many orders.
     placed = split_position(
         orders,
         ["sheet_id"],
         [F.col("o_orderkey").asc()],
-        F.floor(F.col("o_orderkey") / F.lit(4096)),
+        F.floor(F.col("o_orderkey") / F.lit(1 << 20)),
         "ordinal",
     )
     row_idx = F.col("ordinal") + F.when(F.col("variant") == 2, 1).otherwise(2)
