@@ -83,9 +83,14 @@ def snapshot_documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _landed(spark: SparkSession, sf: str) -> str:
+def _landed(spark: SparkSession, sf: str, closed: bool = False) -> str:
+    """Documents in a landing folder; ``closed`` gives every one of them a whole window."""
     path = _scratch(spark, "landing")
-    snapshot_documents(spark, sf).drop("run_id").write.json(path)
+    documents = snapshot_documents(spark, sf)
+    if closed:
+        ends = [F.coalesce(f"window.{end}", F.lit(tb.AS_OF)).alias(end) for end in ("start", "end")]
+        documents = documents.withColumn("window", F.struct(*ends))
+    documents.drop("run_id").write.json(path)
     return path
 
 
@@ -1072,7 +1077,8 @@ def stream_detect(spark, sf):
 
 @query("run_incident_flow", "SELECT run_id, host_count, incident_count, cluster_count, overall_risk_score FROM fs")
 def run_incident_flow(spark, sf):
-    scanned = docs.scan_snapshots(spark, _landed(spark, sf), layout="lines").withColumn("run_id", _run_of())
+    path = _landed(spark, sf, closed=True)
+    scanned = docs.scan_snapshots(spark, path, layout="lines").withColumn("run_id", _run_of())
     root = _scratch(spark, "flow")
     flow.run_incident_flow(scanned, root, as_of(), window_hours=24 * 60, mode="all")
     back = sinks.read_published(spark, root, "fleet_summary")

@@ -176,6 +176,26 @@ def test_runs_that_break_the_rules_stay_unpublished(spark, tmp_path):
     assert [r["run_id"] for r in sinks.read_published(spark, out, "incidents").collect()] == ["run-1"]
 
 
+def test_runs_of_a_later_job_are_compared_with_published_ones(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for day, hosts in ((1, 1), (2, 3), (3, 3)):
+        root = tmp_path / f"in-{day}"
+        for i in range(hosts):
+            folder = root / f"run-{day}" / "snapshots" / f"HOST-{i:03d}"
+            folder.mkdir(parents=True)
+            start, end = f"2026-01-0{day}T00:00:00Z", f"2026-01-0{day}T06:00:00Z"
+            document = snapshot(f"HOST-{i:03d}", start, end, [log(start, "Disk", 7, "Disk full", ["disk_full"])])
+            (folder / f"snapshot-2026010{day}T060000Z.json").write_text(json.dumps(document))
+        at = F.lit(f"2026-01-0{day}T12:00:00Z").cast("timestamp")
+        flow.run_incident_flow(scanned(spark, str(root)), out, at)
+    clusters = sinks.read_published(spark, out, "clusters").orderBy("run_id").collect()
+    assert [(r["run_id"], r["status"], r["delta_affected_hosts"]) for r in clusters] == [
+        ("run-1", "new", None), ("run-2", "spiking", 2), ("run-3", "ongoing", 0),
+    ]
+    top = sinks.read_published(spark, out, "top_hosts").filter("host_id = 'HOST-000'").orderBy("run_id").collect()
+    assert [(r["action"], r["delta_score"]) for r in top] == [("contact", None), ("contact", 0), ("monitor", 0)]
+
+
 def test_audit_is_appended(spark, tmp_path):
     keys = spark.createDataFrame([("s1",), ("s2",)], "sheet_id string")
     for name in ("one", "two"):

@@ -94,21 +94,39 @@ def rank_clusters(cluster_rows: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def previous_run(runs: DataFrame) -> DataFrame:
-    """Each run with the greatest run id before it. ``runs`` is the ledger: one small row per run."""
+    """Each run with the greatest run id before it.
+
+    ``runs`` is the ledger with one row per run, so a single task sorts no more than the run ids.
+    """
     window = Window.partitionBy(F.lit(0)).orderBy("run_id")
     return runs.select("run_id").distinct().withColumn("prev_run_id", F.lag("run_id").over(window))
 
 
-def cluster_status(cluster_rows: DataFrame, runs: DataFrame) -> DataFrame:
+def _with_history(rows: DataFrame, history: DataFrame | None, columns: Sequence[str]) -> DataFrame:
+    """Rows of this job and, marked as old, the few columns of earlier runs they are compared with."""
+    current = rows.withColumn("_old", F.lit(False))
+    if history is None:
+        return current
+    return current.unionByName(
+        history.select(*columns).withColumn("_old", F.lit(True)), allowMissingColumns=True
+    )
+
+
+def cluster_status(
+    cluster_rows: DataFrame, runs: DataFrame, history: DataFrame | None = None
+) -> DataFrame:
     """Clusters marked new, ongoing or spiking against the run before.
 
-    One window per signature over the runs in which it occurs replaces a self-join of all clusters.
+    ``history`` has ``run_id, signature_hash, affected_hosts`` of runs from earlier jobs. One window
+    per signature over the runs in which it occurs replaces a self-join of all clusters.
     """
-    history = Window.partitionBy("signature_hash").orderBy("run_id")
-    earlier = F.lag(F.struct("run_id", "affected_hosts")).over(history)
+    by_signature = Window.partitionBy("signature_hash").orderBy("run_id")
+    earlier = F.lag(F.struct("run_id", "affected_hosts")).over(by_signature)
+    all_rows = _with_history(cluster_rows, history, ["run_id", "signature_hash", "affected_hosts"])
     seen = (
-        cluster_rows.join(previous_run(runs), "run_id", "left")
+        all_rows.join(previous_run(runs), "run_id", "left")
         .withColumn("_earlier", earlier)
+        .filter(~F.col("_old"))
         .withColumn(
             "delta_affected_hosts",
             F.when(
@@ -122,7 +140,7 @@ def cluster_status(cluster_rows: DataFrame, runs: DataFrame) -> DataFrame:
         .when(F.col("delta_affected_hosts") >= 2, "spiking")
         .otherwise("ongoing")
     )
-    return seen.withColumn("status", status).drop("_earlier", "prev_run_id")
+    return seen.withColumn("status", status).drop("_earlier", "prev_run_id", "_old")
 
 
 def host_scores(hosts: DataFrame, incidents: DataFrame) -> DataFrame:
@@ -163,18 +181,23 @@ def top_hosts(hosts: DataFrame, incidents: DataFrame, k: int = TOP_HOSTS) -> Dat
     return scores.withColumn("host_rank", F.row_number().over(window)).filter(F.col("host_rank") <= k)
 
 
-def host_deltas(top: DataFrame, runs: DataFrame) -> DataFrame:
-    """Score change of each ranked host against the ranking of the run before."""
-    history = Window.partitionBy("host_id").orderBy("run_id")
-    earlier = F.lag(F.struct("run_id", "score")).over(history)
+def host_deltas(top: DataFrame, runs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Score change of each ranked host against the ranking of the run before.
+
+    ``history`` has ``run_id, host_id, score`` of the ranked hosts of earlier jobs.
+    """
+    by_host = Window.partitionBy("host_id").orderBy("run_id")
+    earlier = F.lag(F.struct("run_id", "score")).over(by_host)
     return (
-        top.join(previous_run(runs), "run_id", "left")
+        _with_history(top, history, [*HOST, "score"])
+        .join(previous_run(runs), "run_id", "left")
         .withColumn("_earlier", earlier)
+        .filter(~F.col("_old"))
         .withColumn(
             "prev_score", F.when(F.col("_earlier.run_id") == F.col("prev_run_id"), F.col("_earlier.score"))
         )
         .withColumn("delta_score", F.col("score") - F.col("prev_score"))
-        .drop("_earlier", "prev_run_id")
+        .drop("_earlier", "prev_run_id", "_old")
     )
 
 
@@ -204,7 +227,9 @@ def incident_cluster_lookup(incidents: DataFrame, statuses: DataFrame) -> DataFr
     return salted_join(incidents, facts, list(CLUSTER), ["host_id"], "left")
 
 
-def host_action(top: DataFrame, statuses: DataFrame, runs: DataFrame) -> DataFrame:
+def host_action(
+    top: DataFrame, statuses: DataFrame, runs: DataFrame, history: DataFrame | None = None
+) -> DataFrame:
     """Recommended action for each ranked host, with the reason for it.
 
     Only the few ranked hosts are joined with the clusters, not all incidents.
@@ -232,7 +257,7 @@ def host_action(top: DataFrame, statuses: DataFrame, runs: DataFrame) -> DataFra
         .otherwise("Low severity or stable")
     )
     return (
-        host_deltas(top, runs)
+        host_deltas(top, runs, history)
         .join(flags, list(HOST), "left")
         .withColumns({"action": action, "action_reason": reason})
         .drop("_spiking", "_new", "prev_score")

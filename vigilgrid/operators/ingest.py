@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.relational import first_per_group
-from ..model import HOST
+from ..model import EVENT, HOST
 
 # Patterns a snapshot key must match.
 HOST_PATTERN = r"^[A-Za-z0-9._:-]{3,64}$"
@@ -105,6 +105,12 @@ def rank_snapshots(snapshots: DataFrame) -> DataFrame:
 
 def explode_events(snapshots: DataFrame) -> DataFrame:
     """Nested snapshot documents to one row per event, in snapshot order (``snap_rank``, ``pos``)."""
+    given = set(snapshots.schema["events"].dataType.elementType.names)
+
+    def field(name: str) -> Column:
+        known = F.col(f"event.{name}") if name in given else F.lit(None)
+        return known.cast(EVENT[name].dataType).alias(name)
+
     rows = snapshots.select(*HOST, "snap_rank", F.posexplode("events").alias("pos", "event"))
     return rows.select(
         *HOST,
@@ -112,11 +118,8 @@ def explode_events(snapshots: DataFrame) -> DataFrame:
         F.col("pos").cast("bigint").alias("pos"),
         F.col("event.ts").alias("ts_raw"),
         text.parse_ts(F.col("event.ts")).alias("ts"),
-        *[
-            F.col(f"event.{name}").alias(name)
-            for name in ("level", "source", "channel", "provider", "event_id", "record_id", "message")
-        ],
-        F.coalesce(F.col("event.tags"), F.array().cast("array<string>")).alias("tags"),
+        *[field(name) for name in EVENT.names if name not in ("ts", "tags")],
+        F.coalesce(field("tags"), F.array().cast("array<string>")).alias("tags"),
     )
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_user, iso_text
@@ -47,18 +47,42 @@ def incident_table(
     return windows, stage(found, "incidents")
 
 
-def fleet_view(windows: DataFrame, incidents: DataFrame, runs: DataFrame) -> FleetView:
-    clusters = stage(fleet.cluster_status(fleet.clusters(incidents), runs), "clusters")
-    top = stage(fleet.host_action(fleet.top_hosts(windows, incidents), clusters, runs), "top-hosts")
+def fleet_view(
+    windows: DataFrame,
+    incidents: DataFrame,
+    runs: DataFrame,
+    old_clusters: DataFrame | None = None,
+    old_scores: DataFrame | None = None,
+) -> FleetView:
+    """Clusters, ranking and summary; ``old_*`` hold what earlier jobs found in earlier runs."""
+    found = fleet.cluster_status(fleet.clusters(incidents), runs, old_clusters)
+    clusters = stage(found, "clusters")
+    ranked = fleet.top_hosts(windows, incidents)
+    top = stage(fleet.host_action(ranked, clusters, runs, old_scores), "top-hosts")
     summary = fleet.fleet_summary(windows, incidents, clusters, top)
     return FleetView(windows, incidents, clusters, top, summary)
 
 
+def published_history(
+    spark: SparkSession, root: str, current: DataFrame, n: int = ledger.HISTORY_RUNS
+) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """Clusters, scores and ids of the newest published runs, without the runs of this job.
+
+    Only the partitions of these few runs are read.
+    """
+    if not sinks.has_runs(spark, root):
+        return None, None, current
+    known = sinks.published_attempts(spark, root).select("run_id")
+    earlier = ledger.newest_runs(known.join(current, "run_id", "left_anti"), n).select("run_id")
+    clusters = sinks.read_published(spark, root, "clusters").join(earlier, "run_id", "left_semi")
+    scores = sinks.read_published(spark, root, "top_hosts").join(earlier, "run_id", "left_semi")
+    return clusters, scores, current.union(earlier).distinct()
+
+
 def run_incident_flow(
     snapshots: DataFrame,
     root: str,
     as_of: Column,
-    runs: DataFrame | None = None,
     tickets: DataFrame | None = None,
     window_hours: int = 24,
     mode: str = "latest",
@@ -71,23 +95,25 @@ def run_incident_flow(
 
     Everything is written under a new attempt first. Then the document rules are checked, and only
     after that the ledger row appears that makes the attempt of a run visible to
-    ``sinks.read_published``. Documents are parsed once, into the staging folder. Returns the attempt;
+    ``sinks.read_published``. Runs are compared with the newest published ones too. Documents are parsed once, into the staging folder. Returns the attempt;
     a given one must sort after those before it.
     """
     attempt = attempt or f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    spark = snapshots.sparkSession
     admitted = stage(ingest.admit_snapshots(snapshots, as_of, window_hours), "admitted")
     selected = ingest.select_snapshots(ingest.accepted(admitted), as_of, mode, max_hosts)
     selected = ingest.rank_snapshots(selected)
     host_events = stage(timeline.host_events(ingest.explode_events(selected), redaction), "host-events")
     windows, incidents = incident_table(host_events, selected, as_of, redaction, prepared=True)
     known_runs = windows.select("run_id").distinct()
-    ledger_runs = known_runs if runs is None else runs.select("run_id").union(known_runs).distinct()
-    view = fleet_view(windows, incidents, ledger_runs)
+    old_clusters, old_scores, ledger_runs = published_history(spark, root, known_runs)
+    view = fleet_view(windows, incidents, ledger_runs, old_clusters, old_scores)
     evidence = stage(rules.incident_evidence(host_events, redaction="off", deduplicated=True), "evidence")
     line = timeline.host_timeline(windows, host_events, incidents)
     first = evidence.filter(F.col("evidence_rank") == 1)
     summary = stage(view.summary.withColumn("generated_at", iso_text(as_of)), "summary")
-    violations = stage(run_violations(view, host_events, evidence, summary), "violations")
+    documents = ingest.accepted(admitted)
+    violations = stage(run_violations(view, host_events, evidence, summary, documents), "violations")
     tables = {
         "admission": ingest.admission_report(admitted),
         "host_events": host_events,
@@ -119,9 +145,13 @@ def run_incident_flow(
 
 
 def run_violations(
-    view: FleetView, host_events: DataFrame, evidence: DataFrame | None = None, summary: DataFrame | None = None
+    view: FleetView,
+    host_events: DataFrame,
+    evidence: DataFrame | None = None,
+    summary: DataFrame | None = None,
+    documents: DataFrame | None = None,
 ) -> DataFrame:
-    """Violations of the rules of all result documents, one row each."""
+    """Violations of the rules of the admitted snapshots and of all results, one row each."""
     advised = view.incidents.withColumn("recommended_actions", rules.recommended_actions(F.col("type")))
     host, incident = F.col("host_id").alias("key"), F.col("incident_id").alias("key")
     cluster, run = F.col("signature_hash").alias("key"), F.col("run_id").alias("key")
@@ -135,6 +165,9 @@ def run_violations(
         checked.append((evidence, "evidence", host, quality.evidence_checks()))
     if summary is not None:
         checked.append((summary, "fleet", run, quality.fleet_checks()))
+    if documents is not None:
+        checks = quality.snapshot_checks(nested=True) + quality.nested_event_checks()
+        checked.append((documents, "snapshot", F.col("key"), checks))
     parts = [quality.dq_violations(df, entity, ["run_id", key], checks) for df, entity, key, checks in checked]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
