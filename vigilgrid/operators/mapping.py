@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..functions.relational import block_join, salted_join
+from ..session import stage
 from .grid import LABEL_ROWS, inside_region, region_plan, resolve_header_by_labels, rows_at
 
 
@@ -159,13 +160,18 @@ def _typed(value: Column, dtype: Column) -> Column:
     )
 
 
-def extract_metadata(rows: DataFrame, sheet_recipes: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Single cells named by the recipe of a sheet; cells outside the grid are empty."""
+def extract_metadata(
+    rows: DataFrame, sheet_recipes: DataFrame, parsed: DataFrame, narrowed: bool = False
+) -> DataFrame:
+    """Single cells named by the recipe of a sheet; cells outside the grid are empty.
+
+    ``narrowed``: ``rows`` are cut to the rows in question already.
+    """
     cells = parsed.filter(F.col("kind") == "metadata")
     wanted = salted_join(sheet_recipes, cells, ["recipe_id"], ["sheet_id"], "inner").select(
         "sheet_id", "recipe_id", "ord", "target", F.col("row").cast("bigint").alias("row_idx"), "col", "data_type"
     )
-    near = rows_at(rows, parsed.filter(F.col("kind") == "metadata").select("row"))
+    near = rows if narrowed else rows_at(rows, cells.select("row"))
     located = wanted.join(near, ["sheet_id", "row_idx"], "left")
     empty = F.array().cast("array<string>")
     return located.select(
@@ -185,7 +191,13 @@ def apply_recipe(rows: DataFrame, sheet_recipes: DataFrame, recipes: DataFrame,
     ``(target, data_type, number, date, text)`` in output order. A plan per sheet (column positions
     and cleaned metadata) is built from the top rows and joined to the data rows once.
     """
-    parsed = parse_recipe_fields(fields).filter(F.col("kind").isNotNull())
+    parsed = stage(parse_recipe_fields(fields).filter(F.col("kind").isNotNull()), "recipe-fields")
+    # Rows that may be headers or hold metadata, taken from the sheets in one scan.
+    explicit = recipes.select(F.col("header_row").try_cast("int").alias("row"))
+    named = explicit.union(parsed.filter(F.col("kind") == "metadata").select("row"))
+    near = rows_at(rows, named, top=LABEL_ROWS)
+    if near is not rows:
+        near = stage(near, "near-rows")
     column = F.struct("ord", "target", "column_name", "column_index", "data_type")
     by_recipe = (
         parsed.filter(F.col("kind") == "column")
@@ -200,8 +212,7 @@ def apply_recipe(rows: DataFrame, sheet_recipes: DataFrame, recipes: DataFrame,
         "header_row",
         F.filter(F.transform("_columns", lambda c: c["column_name"]), lambda n: n.isNotNull()).alias("labels"),
     )
-    header_rows = resolve_header_by_labels(rows, wanted)
-    near = rows_at(rows, recipes.select(F.col("header_row").try_cast("int")), top=LABEL_ROWS)
+    header_rows = resolve_header_by_labels(near, wanted)
     header_cells = near.select(
         "sheet_id", F.col("row_idx").alias("header_row"), F.transform("cells", C.normalize_label).alias("_labels")
     )
@@ -217,7 +228,7 @@ def apply_recipe(rows: DataFrame, sheet_recipes: DataFrame, recipes: DataFrame,
         found = F.array_position(labels, label).cast("int")
         return F.coalesce(c["column_index"], F.when((found > 0) & (label != ""), found - 1))
 
-    metadata = extract_metadata(rows, sheet_recipes, parsed)
+    metadata = extract_metadata(near, sheet_recipes, parsed, narrowed=True)
     typed_meta = _typed(F.col("value"), F.col("data_type"))
     meta_maps = metadata.groupBy("sheet_id").agg(
         F.sort_array(

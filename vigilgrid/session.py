@@ -27,13 +27,14 @@ def build_session(app: str = "vigilgrid", master: str | None = None, **conf: str
 def staging_root(spark: SparkSession) -> str:
     """Shared folder for staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests)
-    is a temporary folder made, once per session.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests) a
+    temporary folder is made, once per session.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="vigilgrid-stage-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="vigilgrid-stage-"))
+        root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
