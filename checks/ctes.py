@@ -50,6 +50,7 @@ SELECT *, CASE kind WHEN 'bsod' THEN 'BugCheck' WHEN 'svc' THEN 'Service Control
             ELSE 'Routine application telemetry' END AS message
 FROM ev_raw
 """
+CTES["evf"] = "SELECT * FROM ev WHERE run_id > 'run-20240105'"
 CTES["ee"] = """
 SELECT *, 0 AS snap_rank, record_id AS pos FROM ev
 UNION ALL

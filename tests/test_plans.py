@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from vigilgrid.functions.relational import block_join
 from vigilgrid.operators import fleet, rules, timeline
 from vigilgrid.sources import testbed as tb
 
@@ -79,3 +80,27 @@ def test_some_queries_against_their_sql(spark, sf_dir, name):
 
     ok, message = compare(spark, connect(sf_dir), name, entry.queries()[name], entry.oracle_sql().get(name), sf_dir)
     assert ok, message
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins as they are planned for tables that are too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_joins_move_the_rows_once(spark, sf_dir, no_broadcast):
+    ordered = timeline.order_events(tb.endpoint_events(spark, sf_dir))
+    # rows by (host, range); counts by (host, range), by host for the running sum, and back to the join key
+    assert exchanges(ordered) == 4
+    plan = plan_of(ordered)
+    assert "SortMergeJoin" in plan and len(re.findall(r"Window \[row_number", plan)) == 1
+
+
+def test_block_join_moves_the_rows_once(spark, no_broadcast):
+    rows = spark.range(100).selectExpr("concat('k', id % 3) AS key", "id AS pos", "repeat('x', 10) AS wide")
+    sides = spark.range(3).selectExpr("concat('k', id) AS key", "id AS w")
+    joined = block_join(rows, sides, "key", "pos")
+    # rows by (key, block); extents by key, the other side by key, and their join by (key, block)
+    assert exchanges(joined) == 4

@@ -7,7 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from vigilgrid.operators import ingest, mapping
+from vigilgrid.operators import ingest, mapping, profile, timeline
 from vigilgrid.plans import incident as flow
 from vigilgrid.sources import sheets as files
 from vigilgrid.sources import sinks, snapshots
@@ -196,6 +196,27 @@ def test_runs_of_a_later_job_are_compared_with_published_ones(spark, tmp_path):
     assert [(r["action"], r["delta_score"]) for r in top] == [("contact", None), ("contact", 0), ("monitor", 0)]
 
 
+def test_tickets_are_read_and_attached(spark, tmp_path):
+    for i, host in enumerate(["HOST-001", "", "HOST-001"]):
+        document = {"ticket_id": f"TICKET-{i}", "host_id": host, "subject": "s", "reported_window": None}
+        (tmp_path / f"{i}.json").write_text(json.dumps(document, indent=1))
+    tickets = ingest.tickets_by_host(snapshots.scan_tickets(spark, str(tmp_path))).withColumn("run_id", F.lit("r"))
+    hosts = spark.createDataFrame([("r", "HOST-001"), ("r", "HOST-002")], "run_id string, host_id string")
+    attached = timeline.attach_tickets(hosts, tickets).select("host_id", "ticket_id").collect()
+    assert sorted(tuple(r) for r in attached if r[1]) == [("HOST-001", "TICKET-0"), ("HOST-001", "TICKET-2")]
+    assert [r[0] for r in attached if r[1] is None] == ["HOST-002"]
+    assert sorted(r["host_id"] for r in tickets.collect()) == ["HOST-001", "HOST-001", "unknown"]
+
+
+def test_clean_tables_are_written_with_a_manifest(spark, tmp_path):
+    rows = spark.range(50).selectExpr("concat('s', id % 3) AS sheet_id", "id AS v")
+    for fmt in ("csv", "parquet"):
+        path = sinks.write_clean_table(rows, str(tmp_path), fmt, fmt)
+        back = spark.read.option("header", True).format(fmt).load(path)
+        manifest = sinks.save_manifest(profile.output_row_counts(back), path, as_of())
+        assert {r["sheet_id"]: r["rows_written"] for r in manifest.collect()} == {"s0": 17, "s1": 17, "s2": 16}
+
+
 def test_audit_is_appended(spark, tmp_path):
     keys = spark.createDataFrame([("s1",), ("s2",)], "sheet_id string")
     for name in ("one", "two"):

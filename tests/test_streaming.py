@@ -56,3 +56,20 @@ def test_stream_counts_equal_batch_counts_and_late_events_are_dropped(spark, tmp
     for r in rows:
         totals[r["type"]] = totals.get(r["type"], 0) + r["event_count"]
     assert counts == totals
+
+
+def test_stream_of_single_document_files(spark, tmp_path):
+    """One document per file: host and admission come from the path."""
+    for host, name in (("HOST-001", "snapshot-20260101T000000Z.json"), ("HOST-001", "notes.json"), ("h!", "snapshot-20260101T000000Z.json")):
+        folder = tmp_path / "in" / "run-1" / "snapshots" / host
+        folder.mkdir(parents=True, exist_ok=True)
+        events = [log("2026-01-01T01:00:00Z", ["bsod"], message=name)]
+        (folder / name).write_text(json.dumps({"events": events}, indent=1))
+    closing = tmp_path / "in" / "run-1" / "snapshots" / "HOST-END"
+    closing.mkdir()
+    (closing / "snapshot-20260109T000000Z.json").write_text(json.dumps({"events": [log("2026-01-09T00:00:00Z", [])]}))
+    counts = detect.rule_counts(detect.snapshot_stream(spark, str(tmp_path / "in")))
+    out = str(tmp_path / "out")
+    detect.stream_detect(counts, out, str(tmp_path / "state")).awaitTermination()
+    rows = spark.read.parquet(out).select("host_id", "type", "event_count").collect()
+    assert [tuple(r) for r in rows] == [("HOST-001", "bsod", 1)]
