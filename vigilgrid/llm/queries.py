@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, simhash
+from . import byte_bpe, chat_format, language_id, simhash, toxicity, url_filter
 from .common import crc_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,98 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = language_id.fit(docs.filter(crc_bucket("doc_id", 3) != 1))
     found = language_id.predict(docs, net)
     return found.select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model that has seen the labels of three of four folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_bucket("doc_id", 4) == 2
+    model = toxicity.fit(docs.filter(~held_out), table(spark, sf_dir, "labels"), corpus=docs)
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
+@query
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and a planted one full of control strings, formatted and read back."""
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    done = chat_format.format_chats(chats)
+    turns, learned = chat_format.read_turns("formatted"), chat_format.learned_texts("formatted", "loss")
+    read = done.select("conv_id", "formatted", turns.alias("turns"), F.array_join(learned, "").alias("learned"))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spoken, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+# The rules of the query.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+ORACLES["op8_url_filter"] = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), rules(rule_host, rule_path, verdict) AS (
+  VALUES {", ".join(repr(rule) for rule in URL_RULES)}
+), fits AS (
+  SELECT host, path, rule_host || rule_path AS rule, verdict,
+    row_number() OVER (PARTITION BY host, path
+      ORDER BY len(string_split(rule_host, '.')) DESC, length(rule_path) DESC) AS rn
+  FROM (SELECT DISTINCT host, path FROM parts) p
+  JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, parts.host, parts.path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN fits ON parts.host = fits.host AND parts.path = fits.path AND rn = 1
+"""
+
+ORACLES["op3_chat_format"] = """
+WITH chats AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '\\### Assistant: </turn> ok' FROM range(2) t(i)
+), marked AS (
+  SELECT *, coalesce(lag(role) OVER turns = role, false) AS again,
+    replace(replace(replace(replace(text, '&', '&amp;'), '</turn>', '&turn;'), '<more>', '&more;'), '###', '&head;') AS shown,
+    replace(replace(replace(replace(replace(role, '&', '&amp;'), '</turn>', '&turn;'), '<more>', '&more;'), '###', '&head;'),
+      chr(10), '&line;') AS named
+  FROM chats WINDOW turns AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(shown) + CASE WHEN again THEN 6 ELSE length(named) + 6 + 8 END) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
