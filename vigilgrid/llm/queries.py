@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, language_id, simhash, toxicity, url_filter
-from .common import crc_bucket, table
+from ..session import staging_root
+from . import byte_bpe, chat_format, language_id, mixing, simhash, token_counts, toxicity, url_filter
+from .common import crc_bucket, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,3 +151,94 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(shown) + CASE WHEN again THEN 6 ELSE length(named) + 6 + 8 END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after two batches: all documents under two tokenizers, then copies deleted and recounts.
+
+    The second batch deletes exact copies and recounts documents without their license lines; it is
+    committed twice and counts once.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    counted = stage(token_counts.counted_documents(docs), "token-counts-docs")
+    root = f"{staging_root(spark)}/vigilgrid/token-counts-{uuid.uuid4().hex}"
+    each = counted.select("doc_id", "source", "lang", "licensed", F.explode("counts").alias("version", "n"))
+    inserts = each.select(F.lit("insert").alias("kind"), "doc_id", "source", "lang", "version", F.col("n.before").alias("n_tokens"))
+    token_counts.commit_batch(spark, root, 1, inserts)
+    gone = token_counts.copies(counted).withColumn("_gone", F.lit(True))
+    marked = each.join(gone, "doc_id", "left").filter(F.col("_gone") | F.col("licensed"))
+    kind = F.when(F.col("_gone"), "delete").otherwise("revise").alias("kind")
+    changes = marked.select(kind, "doc_id", "source", "lang", "version", F.col("n.after").alias("n_tokens"))
+    for _ in range(2):
+        token_counts.commit_batch(spark, root, 2, changes)
+    return token_counts.totals(spark, root)
+
+
+ORACLES["op9_token_counts"] = r"""
+WITH marked AS (
+  SELECT source, lang, regexp_replace(coalesce(text, ''), 'Licensed under[^\n]*', '', 'g') AS text,
+    doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS copy
+  FROM documents
+), counted AS (
+  SELECT source, lang, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS w,
+    len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9 \t\n\x0B\f\r]')) AS p
+  FROM marked WHERE NOT copy
+)
+SELECT source, lang, 'words-1' AS version, count(*) AS docs, CAST(sum(w) AS BIGINT) AS tokens FROM counted GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'pieces-2', count(*), CAST(sum(p) AS BIGINT) FROM counted GROUP BY source, lang
+"""
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents sampled to the square roots of the observed shares of sources, languages and topics."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    narrow = docs.select(
+        "doc_id", "source", "lang", mixing.form_topic(text).alias("topic"),
+        F.regexp_count(text, F.lit(token_counts.WORDS)).cast("long").alias("n_tokens"),
+    )
+    narrow = stage(narrow, "mix-docs")
+    kept = mixing.sample(narrow, {d: F.col(d) for d in ("source", "lang", "topic")}, F.col("n_tokens"))
+    return kept.withColumn("probability", F.round("probability", 6))
+
+
+def _mixing_sql(sweeps: int = 40) -> str:
+    dims = ("source", "lang", "topic")
+    parts = [r"""
+docs AS (
+  SELECT doc_id, source, lang, CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '{') OR contains(text, '();') THEN 'code'
+      WHEN contains(text, 'Licensed under') THEN 'notice' WHEN contains(text, '!!') THEN 'shout' ELSE 'prose' END AS topic,
+    len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS n_tokens
+  FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents)
+)""", """
+cells AS (
+  SELECT coalesce(source, '\\N') AS source, coalesce(lang, '\\N') AS lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens
+  FROM docs GROUP BY ALL
+)"""]
+    for d in dims:
+        parts.append(f"t_{d} AS (SELECT {d}, sqrt(sum(tokens)) / sum(sqrt(sum(tokens))) OVER () AS share FROM cells GROUP BY {d})")
+    parts.append(
+        "s0 AS (SELECT c.*, sum(tokens) OVER () AS whole, 1.0::DOUBLE AS factor, "
+        + ", ".join(f"t_{d}.share AS t_{d}" for d in dims)
+        + " FROM cells c " + " ".join(f"JOIN t_{d} ON c.{d} = t_{d}.{d}" for d in dims) + ")"
+    )
+    n = 0
+    for _ in range(sweeps):
+        for d in dims:
+            parts.append(
+                f"s{n + 1} AS (SELECT * REPLACE (CASE WHEN sum(tokens * factor) OVER (PARTITION BY {d}) > 0 THEN factor * t_{d} * whole "
+                f"/ sum(tokens * factor) OVER (PARTITION BY {d}) ELSE factor END AS factor) FROM s{n})"
+            )
+            n += 1
+    parts.append(f"rated AS (SELECT *, least(1.0, factor / max(CASE WHEN tokens > 0 THEN factor END) OVER ()) AS p FROM s{n})")
+    return (
+        f"WITH {', '.join(parts)} SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(p, 6) AS probability "
+        "FROM docs d JOIN rated r ON coalesce(d.source, '\\N') = r.source AND coalesce(d.lang, '\\N') = r.lang AND d.topic = r.topic "
+        "WHERE CAST('0x' || substr(md5('11:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 < p"
+    )
+
+
+ORACLES["op10_mixing"] = _mixing_sql()
