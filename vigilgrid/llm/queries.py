@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_root
-from . import byte_bpe, chat_format, language_id, mixing, simhash, token_counts, toxicity, url_filter
+from . import byte_bpe, chat_format, language_id, mixing, pivot_topk, simhash, token_counts, toxicity, url_filter, vptree
 from .common import crc_bucket, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,3 +242,32 @@ cells AS (
 
 
 ORACLES["op10_mixing"] = _mixing_sql()
+
+
+@query
+def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest whole-number inner products for every fiftieth vector, against all others."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = pivot_topk.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), 5, scale=256.0)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
+ORACLES["op1_pivot_topk"] = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(x.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM rows q JOIN rows x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op6_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth vector, against all others."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vptree.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0), 5)
