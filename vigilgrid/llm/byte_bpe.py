@@ -20,17 +20,16 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType
 
-from .common import SLICE_ROWS, map_texts
+from .common import append_values, map_texts
 
 MAX_RANK_BYTES = 64 << 20
 CACHE_CHUNKS = 300_000
@@ -178,19 +177,27 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def encode(df: DataFrame, tokens: list[bytes], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_tokens, ids``: ids of every whole text as little-endian 32-bit integers in a binary column."""
+def _encoder(tokens: list[bytes], pattern: str):
+    coder = Codec(tokens, pattern)
 
-    def make():
-        coder = Codec(tokens, pattern)
+    def many(texts: list) -> tuple:
+        ids = coder.encode_all(texts)
+        return [len(i) // 4 for i in ids], ids
 
-        def many(texts: list) -> tuple:
-            ids = coder.encode_all(texts)
-            return [len(i) // 4 for i in ids], ids
+    return many
 
-        return many
 
-    return map_texts(df, key, text, f"{_typed(df, key)}, n_tokens long, ids binary", make)
+FIELDS = [("n_tokens", LongType()), ("ids", BinaryType())]
+
+
+def encode(df: DataFrame, tokens: list[bytes], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, n_tokens, ids``: ids of every whole text as little-endian 32-bit integers in a binary column."""
+    return map_texts(df, key, text, FIELDS, lambda: _encoder(tokens, pattern))
+
+
+def with_ids(df: DataFrame, tokens: list[bytes], pattern: str, text: str = "text") -> DataFrame:
+    """Add ``n_tokens, ids`` to a table that has no such columns."""
+    return append_values(df, text, FIELDS, lambda: _encoder(tokens, pattern))
 
 
 def with_decoded(df: DataFrame, tokens: list[bytes], ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -200,19 +207,12 @@ def with_decoded(df: DataFrame, tokens: list[bytes], ids: str = "ids", name: str
     """
     if name.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"the table has a column {name} already")
-    at = df.columns.index(ids)
-    schema = StructType([*df.schema.fields, StructField(name, BinaryType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                lists = [np.frombuffer(i or b"", dtype="<u4").tolist() for i in part.column(at).to_pylist()]
-                out = pa.array([b"".join(map(tokens.__getitem__, i)) for i in lists], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, out], names=schema.names)
-
-    return df.mapInArrow(run, schema)
+    def make():
+        def many(lists: list) -> tuple:
+            found = [b"".join(map(tokens.__getitem__, np.frombuffer(i, dtype="<u4").tolist())) for i in lists]
+            return (found,)
 
+        return many
 
-def _typed(df: DataFrame, key: str) -> str:
-    return f"{key} {df.schema[key].dataType.simpleString()}"
+    return append_values(df, ids, [(name, BinaryType())], make)

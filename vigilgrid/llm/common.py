@@ -8,12 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DataType, StringType, StructField, StructType
 
 from ..session import stage
 
 SLICE_ROWS = 128  # rows whose texts are Python objects at one time
 
-__all__ = ["SLICE_ROWS", "crc_bucket", "fresh_name", "map_texts", "numbers", "partitions", "stage", "table"]
+__all__ = ["SLICE_ROWS", "append_values", "crc_bucket", "fresh_name", "map_texts", "numbers", "partitions", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,29 +40,40 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_texts(
-    df: DataFrame, key: str, text: str, schema: str, make: Callable[[], Callable[[list], tuple]]
-) -> DataFrame:
-    """Rows ``(key, *values)`` with what a function finds for each text; null is empty.
+Make = Callable[[], Callable[[list], tuple]]
+
+
+def append_values(df: DataFrame, column: str, fields: list[tuple[str, DataType]], make: Make) -> DataFrame:
+    """Rows of ``df`` with the values that a function finds for ``column``; null counts as empty.
 
     ``make`` is called once per task and gives the function, so tables are built once and caches
-    live as long as a task; the function maps a list of texts to one list per value. No row moves.
-    ``schema`` names the key first.
+    live as long as a task; the function maps a list of values to one list per field. No row moves.
     """
-    kind = dict(df.dtypes)[text]
-    empty = F.lit(b"") if kind == "binary" else F.lit("")
-    source = df.select(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), empty).alias("_text"))
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (StringType, BinaryType)):
+        raise TypeError(f"{column} is neither text nor bytes")
+    empty = b"" if isinstance(kind, BinaryType) else ""
+    at = df.columns.index(column)
+    schema = StructType([*df.schema.fields, *[StructField(name, type_) for name, type_ in fields]])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                columns = [pa.array(values) for values in function(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
+                values = [empty if v is None else v for v in part.column(at).to_pylist()]
+                columns = [pa.array(found) for found in function(values)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=names)
+
+    return df.mapInArrow(run, schema)
+
 
-    names = [part.strip().split()[0] for part in schema.split(",")]
-    return source.mapInArrow(run, schema)
+def map_texts(df: DataFrame, key: str, text: str, fields: list[tuple[str, DataType]], make: Make) -> DataFrame:
+    """``key`` and the values that a function finds for each text, and nothing else of ``df``."""
+    source = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    found = append_values(source, "_text", [(f"_{name}", type_) for name, type_ in fields], make)
+    return found.select(F.col("_key").alias(key), *[F.col(f"_{name}").alias(name) for name, _ in fields])
 
 
 def numbers(array: pa.Array, dtype: str) -> np.ndarray:

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from .common import map_texts
+from .common import append_values, fresh_name, map_texts
 
 SAMPLE_PER_LANG = 400
 WINDOWS_PER_TEXT = 6
@@ -271,21 +272,30 @@ def document_probabilities(net: Network, texts: list[str]) -> np.ndarray:
     return sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-12)
 
 
+FIELDS = [("lang_pred", StringType()), ("score", DoubleType())]
+
+
+def _predictor(net: Network | None):
+    def many(texts: list) -> tuple:
+        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        lettered = [i for i, text in enumerate(texts) if _LETTER.search(text)]
+        if net is not None and lettered:
+            p = document_probabilities(net, [texts[i] for i in lettered])
+            for i, row in zip(lettered, p, strict=True):
+                best = int(row.argmax())
+                names[i], scores[i] = net.langs[best], float(min(1.0, row[best]))
+        return names, scores
+
+    return many
+
+
 def predict(df: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, lang_pred, score``: most probable language of every whole text and its mean probability."""
+    return map_texts(df, key, text, FIELDS, lambda: _predictor(net))
+
 
-    def make():
-        def many(texts: list) -> tuple:
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            lettered = [i for i, text in enumerate(texts) if _LETTER.search(text)]
-            if net is not None and lettered:
-                p = document_probabilities(net, [texts[i] for i in lettered])
-                for i, row in zip(lettered, p, strict=True):
-                    best = int(row.argmax())
-                    names[i], scores[i] = net.langs[best], float(min(1.0, row[best]))
-            return names, scores
-
-        return many
-
-    kind = df.schema[key].dataType.simpleString()
-    return map_texts(df, key, text, f"{key} {kind}, lang_pred string, score double", make)
+def keep_known(df: DataFrame, net: Network | None, text: str = "text", min_score: float = 0.35) -> DataFrame:
+    """Rows of ``df`` whose text has a language that the network is not in doubt about."""
+    name, score = fresh_name(df, "_lang_pred"), fresh_name(df, "_lang_score")
+    found = append_values(df, text, [(name, StringType()), (score, DoubleType())], lambda: _predictor(net))
+    return found.filter((F.col(name) != UNKNOWN) & (F.col(score) >= min_score)).drop(name, score)

@@ -53,12 +53,14 @@ def tempered(table: DataFrame, dim: str, temperature: float = TEMPERATURE) -> Da
     return sums.select(dim, F.pow("_n", F.lit(temperature)).alias("share"))
 
 
-def _with_targets(table: DataFrame, dims: Sequence[str], targets: Mapping[str, DataFrame]) -> DataFrame:
+def _with_targets(
+    table: DataFrame, dims: Sequence[str], targets: Mapping[str, DataFrame], temperatures: Mapping[str, float]
+) -> DataFrame:
     for dim in dims:
         if dim in targets:
             given = targets[dim].select(F.col(dim).cast("string").alias(dim), F.col("share").cast("double").alias("share"))
         else:
-            given = tempered(table, dim)
+            given = tempered(table, dim, temperatures.get(dim, TEMPERATURE))
         present = table.groupBy(dim).agg(F.sum("tokens").alias("_n")).join(given, dim, "left")
         share = F.when(F.col("_n") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0)
         present = present.select(dim, share.alias("share"))
@@ -67,11 +69,20 @@ def _with_targets(table: DataFrame, dims: Sequence[str], targets: Mapping[str, D
     return table
 
 
-def rake(table: DataFrame, dims: Sequence[str], targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """``dims …, tokens, factor``: factors that bring all marginals of ``tokens`` to their targets."""
+def rake(
+    table: DataFrame,
+    dims: Sequence[str],
+    targets: Mapping[str, DataFrame] | None = None,
+    temperatures: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """``dims …, tokens, factor``: factors that bring all marginals of ``tokens`` to their targets.
+
+    ``targets`` holds ``dim, share`` by dimension; a dimension without gets its observed shares to the
+    power of its temperature (1 leaves them as they are).
+    """
     whole = F.sum("tokens").over(Window.partitionBy())
     current = stage(
-        _with_targets(table, dims, targets or {}).withColumn("_whole", whole).withColumn("factor", F.lit(1.0)), "mix-start"
+        _with_targets(table, dims, targets or {}, temperatures or {}).withColumn("_whole", whole).withColumn("factor", F.lit(1.0)), "mix-start"
     )
     off = [
         F.max(F.abs(F.col(f"_now_{d}") / F.col("_whole") - F.col(f"_t_{d}"))).alias(f"off_{d}") for d in dims
@@ -90,10 +101,15 @@ def rake(table: DataFrame, dims: Sequence[str], targets: Mapping[str, DataFrame]
 
 
 def with_probability(
-    df: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapping[str, DataFrame] | None = None, name: str = "probability"
+    df: DataFrame,
+    dims: Mapping[str, Column],
+    tokens: Column,
+    targets: Mapping[str, DataFrame] | None = None,
+    temperatures: Mapping[str, float] | None = None,
+    name: str = "probability",
 ) -> DataFrame:
     """Rows of ``df`` with the probability that a document of their cell is kept."""
-    raked = rake(stage(cells(df, dims, tokens), "mix-cells"), list(dims), targets)
+    raked = rake(stage(cells(df, dims, tokens), "mix-cells"), list(dims), targets, temperatures)
     most = F.max(F.when(F.col("tokens") > 0, F.col("factor"))).over(Window.partitionBy())
     kept = F.least(F.lit(1.0), F.coalesce(F.col("factor") / most, F.lit(1.0)))
     by_cell = stage(raked.select(*[F.col(d).alias(f"_c_{i}") for i, d in enumerate(dims)], kept.alias("_p")), "mix-factors")
@@ -110,12 +126,13 @@ def sample(
     dims: Mapping[str, Column],
     tokens: Column,
     targets: Mapping[str, DataFrame] | None = None,
+    temperatures: Mapping[str, float] | None = None,
     key: str = "doc_id",
     seed: int = 11,
     name: str = "probability",
 ) -> DataFrame:
     """Documents drawn by their calibrated probabilities, with them."""
-    rated = with_probability(df, dims, tokens, targets, name)
+    rated = with_probability(df, dims, tokens, targets, temperatures, name)
     return rated.filter(uniform(F.col(f"`{key}`"), seed) < F.col(name))
 
 

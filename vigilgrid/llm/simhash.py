@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import map_texts, numbers, partitions, stage
 from .components import components
@@ -108,8 +109,8 @@ def fingerprints(
 
         return many
 
-    schema = ", ".join([f"{key} {df.schema[key].dataType.simpleString()}"] + [f"w{i} long" for i in range(words)])
-    return map_texts(df, key, text, f"{schema}, shingles long", make)
+    names = [*[f"w{i}" for i in range(words)], "shingles"]
+    return map_texts(df, key, text, [(name, LongType()) for name in names], make)
 
 
 def _axes(words: int, radius: int, min_similarity: float | None) -> tuple[list[Column], list[tuple[int, ...]]]:

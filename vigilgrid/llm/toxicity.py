@@ -33,10 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import SLICE_ROWS, map_texts, stage
+from .common import SLICE_ROWS, append_values, fresh_name, map_texts, stage
 
 SAMPLE_PER_LABEL = 4000
+THRESHOLD = 0.3
 MAX_CANDIDATES = 500
 STEMS = (4, 5, 6, 7)  # lengths of the beginnings that count
 MOST_WORDS = 6  # of a stem, in one text
@@ -344,15 +346,22 @@ def _weighed(costs: np.ndarray, names: dict[str, int], rows: list[tuple], totals
     return Model(costs, {name: float(w[i]) for name, i in names.items()}, float(w[-1]) + shift)
 
 
-def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, score``: probability that each whole text is toxic."""
+def _scorer(model: Model):
+    restorer = Restorer(model.costs, model.known)
+
+    def many(texts: list) -> tuple:
+        return ([model.score(words) for words in restorer.words(texts)],)
 
-    def make():
-        restorer = Restorer(model.costs, model.known)
+    return many
 
-        def many(texts: list) -> tuple:
-            return ([model.score(words) for words in restorer.words(texts)],)
 
-        return many
+def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, score``: probability that each whole text is toxic."""
+    return map_texts(df, key, text, [("score", DoubleType())], lambda: _scorer(model))
+
 
-    return map_texts(df, key, text, f"{key} {df.schema[key].dataType.simpleString()}, score double", make)
+def keep_clean(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``df`` whose text scores below the threshold."""
+    name = fresh_name(df, "_toxicity")
+    found = append_values(df, text, [(name, DoubleType())], lambda: _scorer(model))
+    return found.filter(F.col(name) < threshold).drop(name)
