@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, StringType, StructField, StructType
 
@@ -14,7 +14,7 @@ from ..session import stage
 
 SLICE_ROWS = 128  # rows whose texts are Python objects at one time
 
-__all__ = ["SLICE_ROWS", "append_values", "crc_bucket", "fresh_name", "map_texts", "numbers", "partitions", "stage", "table"]
+__all__ = ["SLICE_ROWS", "append_values", "crc_bucket", "fresh_name", "map_texts", "numbers", "partitions", "smallest_hashes", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,19 @@ def map_texts(df: DataFrame, key: str, text: str, fields: list[tuple[str, DataTy
     return found.select(F.col("_key").alias(key), *[F.col(f"_{name}").alias(name) for name, _ in fields])
 
 
+def smallest_hashes(df: DataFrame, group: str, mixed: str, k: int) -> DataFrame:
+    """About the ``k`` rows of each group with the smallest ``mixed`` (a 64-bit hash), never more.
+
+    Counts come first, with map-side combine. They give each group a bound that only about 2 k of its
+    hashes are expected to meet, so however large a group is, few rows of it are ranked.
+    """
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
+    place = F.pmod(F.col(mixed), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    near = df.join(counts, group).filter(place < F.lit(2.0 * k) / F.col("_rows"))
+    ranked = near.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(place, mixed)))
+    return ranked.filter(F.col("_place") <= k).select(*df.columns)
+
+
 def numbers(array: pa.Array, dtype: str) -> np.ndarray:
     """Values of a primitive Arrow array without nulls."""
     return np.asarray(array.to_numpy(zero_copy_only=False), dtype=dtype)

@@ -31,11 +31,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import SLICE_ROWS, append_values, fresh_name, map_texts, stage
+from .common import SLICE_ROWS, append_values, fresh_name, map_texts, smallest_hashes, stage
 
 SAMPLE_PER_LABEL = 4000
 THRESHOLD = 0.3
@@ -301,8 +301,7 @@ def fit(
     totals = {row["_label"]: row["count"] for row in known.groupBy("_label").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return Model(costs, {}, -math.inf)
-    first = F.row_number().over(Window.partitionBy("_label").orderBy(F.hash("_h"), "_h"))
-    picked = known.withColumn("_n", first).filter(F.col("_n") <= per_label).select("_h", "_label").collect()
+    picked = smallest_hashes(known, "_label", "_h", per_label).select("_h", "_label").collect()
     names = spark.createDataFrame([tuple(row) for row in picked], "_h long, _label int")
     texts = docs.select(F.col(f"`{text}`").alias("_text")).withColumn("_h", F.xxhash64("_text"))
     texts = texts.join(F.broadcast(names), "_h").select("_h", "_label", "_text")
