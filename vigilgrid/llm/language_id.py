@@ -23,11 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from .common import append_values, fresh_name, map_texts
+from .common import append_values, fresh_name, map_texts, smallest_hashes
 
 SAMPLE_PER_LANG = 400
 WINDOWS_PER_TEXT = 6
@@ -200,9 +200,8 @@ def sample_windows(
     """
     usable = df.select(F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang"))
     usable = usable.filter(F.col("_lang").isNotNull() & (F.length("_text") > 0)).withColumn("_h", F.xxhash64("_text"))
-    ranked = F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))
     distinct = usable.select("_lang", "_h").distinct()
-    picked = distinct.withColumn("_n", ranked).filter(F.col("_n") <= per_lang).select("_lang", "_h").collect()
+    picked = smallest_hashes(distinct, "_lang", "_h", per_lang).select("_lang", "_h").collect()
     if len({row["_lang"] for row in picked}) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not picked:
