@@ -145,8 +145,9 @@ def _tiles(groups: DataFrame, axes: list[Column], words: int, size: bool) -> Dat
     counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
     tile = F.pmod(F.xxhash64("rep"), F.ceil(F.col("_n") / F.lit(TILE))).cast("int")
     columns = ["rep", *[f"w{i}" for i in range(words)], *(["shingles"] if size else [])]
+    # Bounded: 17 ** 4 cells of four segments, or the few bands of a wide radius times the size classes.
     return (
-        placed.join(counts, "cell")
+        placed.join(F.broadcast(counts), "cell")
         .groupBy("cell", tile.alias("tile"))
         .agg(F.collect_list(F.struct(*columns)).alias("items"))
     )
