@@ -5,9 +5,9 @@ dimension by the factor that brings their token weight to its target, one dimens
 until all marginals fit. A document is kept with the probability factor / largest factor: the largest
 sample whose expected token weights have the target shares without repeating a document.
 
-Cells are a Spark table and are never collected; a sweep over the dimensions is three windows and a
-written table, so plans stay short and a lost executor repeats one sweep at most. The driver sees one
-number per sweep. Documents meet the cells in a join on the cell; Spark broadcasts the cells by measured
+Cells are a Spark table and are never collected; a sweep over the dimensions is a window
+for each, and every few sweeps end in a written table, so plans stay short and a lost executor repeats
+these at most. The driver sees one number per written table. Documents meet the cells in a join on the cell; Spark broadcasts the cells by measured
 size or splits hot cells. Whether a document stays depends on its key and the seed only, so a repeated
 run keeps the same documents.
 
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh_name, stage
 
-MAX_SWEEPS = 50
+MAX_SWEEPS = 48
+SWEEPS_PER_STEP = 4  # between two written tables
 TOLERANCE = 1e-10
 TEMPERATURE = 0.5
 NO_VALUE = "\\N"
@@ -65,7 +66,7 @@ def _with_targets(
         share = F.when(F.col("_n") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0)
         present = present.select(dim, share.alias("share"))
         scaled = present.withColumn("_total", F.sum("share").over(Window.partitionBy()))
-        table = table.join(scaled.select(dim, (F.col("share") / F.col("_total")).alias(f"_t_{dim}")), dim, "left")
+        table = table.join(scaled.select(dim, F.try_divide("share", "_total").alias(f"_t_{dim}")), dim, "left")
     return table
 
 
@@ -85,16 +86,16 @@ def rake(
         _with_targets(table, dims, targets or {}, temperatures or {}).withColumn("_whole", whole).withColumn("factor", F.lit(1.0)), "mix-start"
     )
     off = [
-        F.max(F.abs(F.col(f"_now_{d}") / F.col("_whole") - F.col(f"_t_{d}"))).alias(f"off_{d}") for d in dims
+        F.max(F.abs(F.try_divide(f"_now_{d}", "_whole") - F.col(f"_t_{d}"))).alias(f"off_{d}") for d in dims
     ]
-    for sweep in range(MAX_SWEEPS):
+    for number in range(MAX_SWEEPS // SWEEPS_PER_STEP):
         step = current.select(*dims, "tokens", "_whole", *[f"_t_{d}" for d in dims], "factor")
-        for d in dims:
+        for d in list(dims) * SWEEPS_PER_STEP:
             now = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(d))
             step = step.withColumn(f"_now_{d}", now)
-            fitted = F.col("factor") * F.col(f"_t_{d}") * F.col("_whole") / F.col(f"_now_{d}")
+            fitted = F.try_divide(F.col("factor") * F.col(f"_t_{d}") * F.col("_whole"), F.col(f"_now_{d}"))
             step = step.withColumn("factor", F.when(F.col(f"_now_{d}") > 0, fitted).otherwise(F.col("factor")))
-        current = stage(step, f"mix-{sweep}")
+        current = stage(step, f"mix-{number}")
         if max([x for x in current.agg(*off).first() if x is not None], default=0.0) < TOLERANCE:
             break
     return current.select(*dims, "tokens", "factor")
@@ -111,7 +112,7 @@ def with_probability(
     """Rows of ``df`` with the probability that a document of their cell is kept."""
     raked = rake(stage(cells(df, dims, tokens), "mix-cells"), list(dims), targets, temperatures)
     most = F.max(F.when(F.col("tokens") > 0, F.col("factor"))).over(Window.partitionBy())
-    kept = F.least(F.lit(1.0), F.coalesce(F.col("factor") / most, F.lit(1.0)))
+    kept = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("factor"), most), F.lit(1.0)))
     by_cell = stage(raked.select(*[F.col(d).alias(f"_c_{i}") for i, d in enumerate(dims)], kept.alias("_p")), "mix-factors")
     key = fresh_name(df, "_cell")
     values = list(dims.values())

@@ -205,7 +205,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("probability", F.round("probability", 6))
 
 
-def _mixing_sql(sweeps: int = 40) -> str:
+def _mixing_sql(sweeps: int = mixing.MAX_SWEEPS) -> str:
     dims = ("source", "lang", "topic")
     parts = [r"""
 docs AS (

@@ -27,6 +27,7 @@ MAX_BYTES = 32 << 20
 ALLOW, BLOCK = "allow", "block"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TO_LOWER = str.maketrans(_UPPER, _LOWER)
 
 
 def url_host(url: str | Column) -> Column:
@@ -51,9 +52,9 @@ class Trie:
 
     def __init__(self, rules: list[tuple[str, str, str]]):
         self.root: dict = {}
-        for host, path, verdict in rules:
-            node = self.root
-            for label in reversed(host.lower().split(".")):
+        for name, path, verdict in rules:
+            node, host = self.root, name.translate(_TO_LOWER)
+            for label in reversed(host.split(".")):
                 node = node.setdefault(label, {})
             # None leads from host labels to path segments; segments end with their slash.
             node = node.setdefault(None, {})

@@ -24,7 +24,7 @@ from . import vectors
 from .common import stage
 
 LEAF = 128
-FACTOR = 4.0
+FACTOR = 2.0
 
 
 def build(units: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
