@@ -1088,14 +1088,14 @@ def run_incident_flow(spark, sf):
 @query(
     "parse_ts",
     """
-    SELECT event_id, CASE event_id % 6 WHEN 3 THEN '' WHEN 4 THEN ''
+    SELECT event_id, CASE event_id % 9 WHEN 3 THEN '' WHEN 4 THEN '' WHEN 6 THEN '' WHEN 7 THEN '' WHEN 8 THEN ''
         WHEN 1 THEN CAST(epoch_us(ts) - 7200000000 AS VARCHAR) WHEN 2 THEN CAST(epoch_us(date_trunc('second', ts)) AS VARCHAR)
         ELSE CAST(epoch_us(ts) AS VARCHAR) END AS micros FROM events
     """,
 )
 def parse_ts_query(spark, sf):
     stamp = "yyyy-MM-dd'T'HH:mm:ss"
-    group = F.col("event_id") % 6
+    group = F.col("event_id") % 9
     full = F.date_format("ts", stamp + ".SSSSSS")
     raw = (
         F.when(group == 0, F.concat(full, F.lit("Z")))
@@ -1103,6 +1103,9 @@ def parse_ts_query(spark, sf):
         .when(group == 2, F.concat(F.date_format("ts", stamp), F.lit("Z")))
         .when(group == 3, "")
         .when(group == 4, "not a time")
+        .when(group == 6, F.date_format("ts", "HH:mm:ss"))
+        .when(group == 7, F.date_format("ts", "yyyy"))
+        .when(group == 8, F.date_format("ts", "yyyy-MM"))
         .otherwise(F.concat(full, F.lit("7+00:00")))
     )
     return tb.table(spark, sf, "events").select("event_id", shown(F.unix_micros(parse_ts(raw))).alias("micros"))

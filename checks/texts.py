@@ -118,7 +118,7 @@ def clip_message(spark, sf):
     "hash_user",
     """
     SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '' WHEN event_id % 10 = 1 THEN NULL
-      ELSE 'user-' || substr(sha256('preemptive-it-salt' || 'user' || user_id), 1, 12) END AS strict_user,
+      ELSE 'user-' || substr(sha256('check-salt' || 'user' || user_id), 1, 12) END AS strict_user,
       'user' || user_id AS balanced_user FROM events
     """,
 )
@@ -126,7 +126,7 @@ def hash_user(spark, sf):
     user = F.concat(F.lit("user"), F.col("user_id").cast("string"))
     some = F.when(F.col("event_id") % 10 == 0, "").when(F.col("event_id") % 10 != 1, user)
     return tb.table(spark, sf, "events").select(
-        "event_id", T.hash_user(some, "strict").alias("strict_user"), T.hash_user(user).alias("balanced_user")
+        "event_id", T.hash_user(some, "strict", "check-salt").alias("strict_user"), T.hash_user(user).alias("balanced_user")
     )
 
 

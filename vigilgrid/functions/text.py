@@ -48,7 +48,7 @@ REDACTED = "[REDACTED]"
 REDACTED_EMAIL = "[REDACTED_EMAIL]"
 REDACTED_PATH = "[REDACTED_PATH]"
 MASKED_CLOCK = "HH:MM:SS"
-DEFAULT_SALT = "preemptive-it-salt"
+ISO_SHAPE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}.*)?$"
 
 MESSAGE_LIMIT = 4000
 EVIDENCE_LIMIT = 512
@@ -70,8 +70,12 @@ def collapse_space(value: Column) -> Column:
 
 
 def parse_ts(value: Column) -> Column:
-    """ISO-8601 text to an instant; junk and empty text become null, naive text is UTC."""
-    return F.try_to_timestamp(value)
+    """ISO-8601 text to an instant; junk and empty text become null, naive text is UTC.
+
+    A whole date is needed: a time of day alone would take today's date, and results must not depend
+    on the clock.
+    """
+    return F.when(value.rlike(ISO_SHAPE), F.try_to_timestamp(value))
 
 
 def iso_text(ts: Column) -> Column:
@@ -129,10 +133,15 @@ def level_name(code: Column) -> Column:
     return F.coalesce(F.try_element_at(names, code), F.lit("Information"))
 
 
-def hash_user(user: Column, mode: str = "balanced", salt: str = DEFAULT_SALT) -> Column:
-    """Pseudonym for a user in strict mode; otherwise, and for empty values, unchanged."""
+def hash_user(user: Column, mode: str = "balanced", salt: str | None = None) -> Column:
+    """Pseudonym for a user in strict mode; otherwise, and for empty values, unchanged.
+
+    Strict mode needs a secret ``salt``: with a known one pseudonyms can be looked up.
+    """
     if mode != "strict":
         return user
+    if not salt:
+        raise ValueError("strict mode needs a salt")
     digest = F.substring(F.sha2(F.concat(F.lit(salt), user), 256), 1, HASH_CHARS)
     return F.when(user != "", F.concat(F.lit("user-"), digest)).otherwise(user)
 

@@ -90,6 +90,8 @@ RUN_LEDGER = T.StructType(
     ]
 )
 
+RUN_SCHEMAS = T.StructType(_text("name", "attempt", "ddl"))
+
 # Enumerations of the document formats.
 LEVELS = ("Critical", "Error", "Warning", "Information", "Verbose")
 COLLECTOR_METHODS = ("local_script", "winrm", "intune_export", "edr_api", "simulated", "other")

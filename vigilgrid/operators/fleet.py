@@ -283,9 +283,12 @@ def executive_summary(
 
 
 def fleet_summary(
-    windows: DataFrame, incidents: DataFrame, cluster_rows: DataFrame, actions: DataFrame
+    windows: DataFrame, incidents: DataFrame, cluster_rows: DataFrame, actions: DataFrame, runs: DataFrame | None = None
 ) -> DataFrame:
-    """One row per run. Every input is reduced to a row per run before the rows meet."""
+    """One row per run. Every input is reduced to a row per run before the rows meet.
+
+    ``runs`` names runs that have a row even without a host.
+    """
     facts = (
         windows.select("run_id", "window_start", "window_end", F.lit(1).alias("_host"))
         .unionByName(
@@ -304,6 +307,8 @@ def fleet_summary(
             allowMissingColumns=True,
         )
     )
+    if runs is not None:
+        facts = facts.unionByName(runs.select("run_id"), allowMissingColumns=True)
     per_run = facts.groupBy("run_id").agg(
         F.min("window_start").alias("window_start"),
         F.max("window_end").alias("window_end"),

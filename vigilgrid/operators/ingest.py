@@ -68,19 +68,26 @@ def latest_snapshot_per_host(snapshots: DataFrame, as_of: Column) -> DataFrame:
     return select_snapshots(snapshots, as_of, "latest")
 
 
-def admission_report(admitted: DataFrame) -> DataFrame:
-    """Counters and up to ten reject samples per run, for the ``latest`` mode."""
+def admission_report(admitted: DataFrame, mode: str = "latest", max_hosts: int | None = None) -> DataFrame:
+    """Counters and up to ten reject samples per run, for the way in which snapshots are selected."""
     ok = F.col("reject_reason").isNull()
     per_host = admitted.groupBy(*HOST).agg(
         F.count(F.lit(1)).alias("_keys"), F.count_if(ok).alias("_accepted")
     )
+    latest = mode == "latest"
+    taken = F.least(F.lit(1), F.col("_accepted")) if latest else F.col("_accepted")
+    passed = F.greatest(F.lit(0), F.col("_accepted") - 1) if latest else F.lit(0)
     counters = per_host.groupBy("run_id").agg(
         F.sum("_keys").alias("keys_found"),
         F.count_if(F.col("_accepted") > 0).alias("hosts_found"),
-        F.count_if(F.col("_accepted") > 0).alias("loaded"),
-        F.sum(F.greatest(F.lit(0), F.col("_accepted") - 1)).alias("skipped_not_latest"),
+        F.sum(taken).cast("bigint").alias("loaded"),
+        F.sum(passed).cast("bigint").alias("skipped_not_latest"),
         F.sum(F.col("_keys") - F.col("_accepted")).alias("rejected"),
     )
+    if max_hosts is not None:
+        kept = first_per_group(per_host.filter(F.col("_accepted") > 0), ["run_id"], [F.col("host_id").asc()], max_hosts)
+        loaded = kept.groupBy("run_id").agg(F.sum(taken).cast("bigint").alias("_loaded"))
+        counters = counters.join(loaded, "run_id", "left").withColumn("loaded", F.coalesce("_loaded", F.lit(0))).drop("_loaded")
     samples = (
         first_per_group(rejected(admitted), ["run_id"], [F.col("key").asc()], REJECT_SAMPLES)
         .groupBy("run_id")

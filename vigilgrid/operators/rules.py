@@ -24,7 +24,6 @@ class Rule:
     """
 
     type: str
-    title: str
     summary: str
     actions: tuple[str, ...]
     tags: tuple[str, ...] = ()
@@ -46,7 +45,6 @@ class Rule:
 DEFAULT_RULES: tuple[Rule, ...] = (
     Rule(
         type="bsod",
-        title="Blue screen / unexpected shutdown",
         summary="Detected blue screen or unexpected shutdown events",
         actions=(
             "Capture minidump and driver list before reboot loops clear them.",
@@ -60,7 +58,6 @@ DEFAULT_RULES: tuple[Rule, ...] = (
     ),
     Rule(
         type="disk_full",
-        title="Disk near capacity",
         summary="Disk usage approaching capacity",
         actions=(
             "Clear temp folders and large caches.",
@@ -77,7 +74,6 @@ DEFAULT_RULES: tuple[Rule, ...] = (
     ),
     Rule(
         type="service_crash_loop",
-        title="Service crash loop detected",
         summary="Repeated service crashes detected",
         actions=(
             "Review service logs for repeated stop codes.",
@@ -96,7 +92,6 @@ DEFAULT_RULES: tuple[Rule, ...] = (
     ),
     Rule(
         type="network_instability",
-        title="Network adapter resets / DNS failures",
         summary="Network instability detected",
         actions=(
             "Reset adapter and DNS cache, verify driver version.",
@@ -113,7 +108,6 @@ DEFAULT_RULES: tuple[Rule, ...] = (
     ),
     Rule(
         type="update_failure",
-        title="Update or install failure burst",
         summary="Repeated update or install failures",
         actions=(
             "Re-run updater with verbose logging enabled.",

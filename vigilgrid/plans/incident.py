@@ -11,9 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import hash_user, iso_text
+from ..functions.text import hash_user, iso_text, redact_message
 from ..operators import evaluate, fleet, ingest, ledger, quality, rules, timeline
-from ..session import stage
+from ..session import stage, staging
 from ..sources import sinks
 
 
@@ -35,13 +35,14 @@ def incident_table(
     redaction: str = "balanced",
     rule_set: Sequence[rules.Rule] = rules.DEFAULT_RULES,
     prepared: bool = False,
+    salt: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Host windows and incidents, staged because every later step reads them several times.
 
     ``prepared`` events are deduplicated and redacted already.
     """
     windows = timeline.host_windows(snapshots, events, as_of)
-    windows = stage(windows.withColumn("user_id", hash_user(F.col("user_id"), redaction)), "windows")
+    windows = stage(windows.withColumn("user_id", hash_user(F.col("user_id"), redaction, salt)), "windows")
     mode = "off" if prepared else redaction
     found = rules.detect_incidents(events, windows, rule_set, mode, deduplicated=prepared)
     return windows, stage(found, "incidents")
@@ -53,27 +54,34 @@ def fleet_view(
     runs: DataFrame,
     old_clusters: DataFrame | None = None,
     old_scores: DataFrame | None = None,
+    current: DataFrame | None = None,
 ) -> FleetView:
-    """Clusters, ranking and summary; ``old_*`` hold what earlier jobs found in earlier runs."""
+    """Clusters, ranking and summary; ``old_*`` hold what earlier jobs found in earlier runs.
+
+    ``current`` names the runs of this job, which have a summary even without a host.
+    """
     found = fleet.cluster_status(fleet.clusters(incidents), runs, old_clusters)
     clusters = stage(found, "clusters")
     ranked = fleet.top_hosts(windows, incidents)
     top = stage(fleet.host_action(ranked, clusters, runs, old_scores), "top-hosts")
-    summary = fleet.fleet_summary(windows, incidents, clusters, top)
+    summary = fleet.fleet_summary(windows, incidents, clusters, top, current)
     return FleetView(windows, incidents, clusters, top, summary)
 
 
 def published_history(
-    spark: SparkSession, root: str, current: DataFrame, n: int = ledger.HISTORY_RUNS
+    spark: SparkSession, root: str, current: DataFrame
 ) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
-    """Clusters, scores and ids of the newest published runs, without the runs of this job.
+    """Clusters, scores and ids of the published runs right before the runs of this job.
 
-    Only the partitions of these few runs are read.
+    Every run needs its predecessor only: the greatest id below its own, whether that was published
+    or belongs to this job. Other partitions are not read.
     """
     if not sinks.has_runs(spark, root):
         return None, None, current
-    known = sinks.published_attempts(spark, root).select("run_id")
-    earlier = ledger.newest_runs(known.join(current, "run_id", "left_anti"), n).select("run_id")
+    known = sinks.published_attempts(spark, root).select("run_id").union(current).distinct()
+    before = fleet.previous_run(known).join(current, "run_id", "left_semi")
+    before = before.select(F.col("prev_run_id").alias("run_id")).filter(F.col("run_id").isNotNull()).distinct()
+    earlier = before.join(current, "run_id", "left_anti")
     clusters = sinks.read_published(spark, root, "clusters").join(earlier, "run_id", "left_semi")
     scores = sinks.read_published(spark, root, "top_hosts").join(earlier, "run_id", "left_semi")
     return clusters, scores, current.union(earlier).distinct()
@@ -90,32 +98,62 @@ def run_incident_flow(
     redaction: str = "balanced",
     export_json: bool = False,
     attempt: str | None = None,
+    salt: str | None = None,
 ) -> str:
     """Process scanned snapshot documents (with ``run_id``), write all result tables, publish them.
 
     Everything is written under a new attempt first. Then the document rules are checked, and only
     after that the ledger row appears that makes the attempt of a run visible to
-    ``sinks.read_published``. Runs are compared with the newest published ones too. Documents are parsed once, into the staging folder. Returns the attempt;
-    a given one must sort after those before it.
+    ``sinks.read_published``; JSON exports follow for the runs that passed. Every run with a document
+    gets a ledger row and a summary, also if none was accepted. Runs are compared with the published run
+    before them. Documents are parsed once; what is staged on the way is deleted at the end. ``strict``
+    redaction needs a ``salt``. Returns the attempt; a given one must sort after those before it.
     """
     attempt = attempt or f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    with staging(snapshots.sparkSession):
+        _write_attempt(snapshots, root, as_of, tickets, window_hours, mode, max_hosts, redaction, export_json, attempt, salt)
+    return attempt
+
+
+def _write_attempt(
+    snapshots: DataFrame,
+    root: str,
+    as_of: Column,
+    tickets: DataFrame | None,
+    window_hours: int,
+    mode: str,
+    max_hosts: int | None,
+    redaction: str,
+    export_json: bool,
+    attempt: str,
+    salt: str | None,
+) -> None:
     spark = snapshots.sparkSession
     admitted = stage(ingest.admit_snapshots(snapshots, as_of, window_hours), "admitted")
     selected = ingest.select_snapshots(ingest.accepted(admitted), as_of, mode, max_hosts)
     selected = ingest.rank_snapshots(selected)
     host_events = stage(timeline.host_events(ingest.explode_events(selected), redaction), "host-events")
-    windows, incidents = incident_table(host_events, selected, as_of, redaction, prepared=True)
-    known_runs = windows.select("run_id").distinct()
+    windows, incidents = incident_table(host_events, selected, as_of, redaction, prepared=True, salt=salt)
+    known_runs = admitted.select("run_id").distinct()
     old_clusters, old_scores, ledger_runs = published_history(spark, root, known_runs)
-    view = fleet_view(windows, incidents, ledger_runs, old_clusters, old_scores)
+    view = fleet_view(windows, incidents, ledger_runs, old_clusters, old_scores, known_runs)
     evidence = stage(rules.incident_evidence(host_events, redaction="off", deduplicated=True), "evidence")
     line = timeline.host_timeline(windows, host_events, incidents)
     first = evidence.filter(F.col("evidence_rank") == 1)
-    summary = stage(view.summary.withColumn("generated_at", iso_text(as_of)), "summary")
+    # A run without a host covers what could have been admitted.
+    opened = as_of - F.expr(f"INTERVAL {int(window_hours)} HOURS")
+    summary = view.summary.withColumns(
+        {
+            "window_start": F.coalesce("window_start", opened),
+            "window_end": F.coalesce("window_end", as_of),
+            "generated_at": iso_text(as_of),
+        }
+    )
+    summary = stage(summary, "summary")
     documents = ingest.accepted(admitted)
     violations = stage(run_violations(view, host_events, evidence, summary, documents), "violations")
     tables = {
-        "admission": ingest.admission_report(admitted),
+        "admission": ingest.admission_report(admitted, mode, max_hosts),
         "host_events": host_events,
         "incidents": incidents,
         "incident_evidence": evidence,
@@ -127,13 +165,12 @@ def run_incident_flow(
         "violations": violations,
     }
     if tickets is not None:
-        tables["host_tickets"] = timeline.attach_tickets(windows, ingest.tickets_by_host(tickets))
+        attached = timeline.attach_tickets(windows, ingest.tickets_by_host(tickets))
+        tables["host_tickets"] = _without_persons(attached, redaction, salt)
     for name, table in tables.items():
         sinks.write_run_table(table, root, name, attempt)
-    if export_json:
-        sinks.write_host_timelines(sinks.host_documents(line, incidents, evidence), root)
-        sinks.write_fleet(summary, root)
-    entries = quality.dq_gate(known_runs, violations).select(
+    gate = stage(quality.dq_gate(known_runs, violations), "gate")
+    entries = gate.select(
         "run_id",
         F.lit(attempt).alias("attempt"),
         F.when(F.col("passed"), "success").otherwise("failure").alias("status"),
@@ -141,7 +178,22 @@ def run_incident_flow(
         "violations",
     )
     entries.write.mode("append").parquet(f"{root.rstrip('/')}/runs")
-    return attempt
+    if export_json:
+        passed = gate.filter("passed").select("run_id")
+        documents = sinks.host_documents(line, incidents, evidence)
+        sinks.write_host_timelines(documents.join(passed, "run_id", "left_semi"), root)
+        sinks.write_fleet(summary.join(passed, "run_id", "left_semi"), root)
+
+
+def _without_persons(tickets: DataFrame, redaction: str, salt: str | None) -> DataFrame:
+    """Tickets with the users and texts treated like those of events."""
+    out = tickets
+    if "user_id" in out.columns:
+        out = out.withColumn("user_id", hash_user(F.col("user_id"), redaction, salt))
+    for name in ("subject", "body"):
+        if name in out.columns:
+            out = out.withColumn(name, F.when(F.col(name).isNotNull(), redact_message(F.col(name), redaction)))
+    return out
 
 
 def run_violations(

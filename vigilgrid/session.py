@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +28,9 @@ def build_session(app: str = "vigilgrid", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_folder: ContextVar[str | None] = ContextVar("staging_folder", default=None)
+
+
 def staging_root(spark: SparkSession) -> str:
     """Shared folder for staged tables.
 
@@ -33,11 +40,29 @@ def staging_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="vigilgrid-stage-"))
         root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """One folder for all tables staged within, deleted at the end, also on failure.
+
+    What is built on these tables has to be written before.
+    """
+    folder = f"{staging_root(spark)}/vigilgrid/{uuid.uuid4().hex}"
+    token = _folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
@@ -45,6 +70,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     on storage that outlives executors, and the planner sees the real size of the table.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/vigilgrid/{label}-{uuid.uuid4().hex}"
+    folder = _folder.get() or f"{staging_root(spark)}/vigilgrid"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
