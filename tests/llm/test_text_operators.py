@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from vigilgrid.llm import byte_bpe, language_id, queries, simhash, toxicity
 from vigilgrid.llm.components import components
 
@@ -158,6 +159,55 @@ def test_sketches_estimate_similarity(shared, own):
     assert simhash.similar(x, x, 1.0)[0]
 
 
+def test_near_copies_are_the_pairs_of_brute_force(spark):
+    """All pairs of Jaccard similarity 0.8 and no others, with the pipeline's parameters."""
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+
+    def cut(tokens, n):  # n words in one place, replaced
+        at = rng.randint(0, len(tokens) - n)
+        return tokens[:at] + [rng.choice(words) for _ in range(n)] + tokens[at + n :]
+
+    texts = []
+    for size in [8, 9, 10, 12, 15, 20] * 20 + [40, 94, 200, 500] * 12:
+        base = [rng.choice(words) for _ in range(size)]
+        texts += [base, base[:-1], base + [rng.choice(words)]]
+        texts += [cut(base, max(1, round(size * share))) for share in (0.05, 0.09, 0.1, 0.105, 0.11, 0.12, 0.13)]
+    sets = [set(simhash.shingle_hashes(" ".join(t), 5)) for t in texts]
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j, y in enumerate(sets):
+        for i in range(j - j % 10, j):  # texts of different bases share no shingle
+            if len(sets[i] & y) / len(sets[i] | y) >= 0.8:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, **corpus_pipeline.NEAR).collect()}
+    assert found == {i: top(i) for i in range(len(texts))}
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
+@settings(max_examples=80, deadline=None)
+def test_no_similar_sets_are_excluded(shared, one, other):
+    x, y = shared | one, shared | other
+    share = len(x & y) / max(1, len(x | y))
+    if not 0.3 < share < 1:
+        return
+    arrays = [np.array(sorted(s), dtype=np.uint64) for s in (x, y)]
+    bits = []
+    for a in arrays:
+        n = simhash.parity_words(simhash.size_level(len(a), share), share)
+        bits.append(np.frombuffer(simhash.parities(a, n), "<u8")[:, None])
+    sizes = [np.array([len(a)]) for a in arrays]
+    assert abs(simhash.size_level(len(x), share) - simhash.size_level(len(y), share)) <= 1
+    assert [len(i) for i, _ in simhash.possible_pairs(*bits, *sizes, share)] == [1]
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     found = components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()
