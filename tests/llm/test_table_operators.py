@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import compare, connect
+import corpus_pipeline
 from vigilgrid.llm import chat_format, mixing, pivot_topk, queries, token_counts, url_filter, vectors, vptree
 
 VEC = "vec_id long, embedding array<float>, score string"
@@ -222,3 +223,25 @@ def test_sampling_keeps_columns_and_handles_odd_rows(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in mixing.sample(df, dims, F.col("n")).collect()}
     assert mixing.sample(df.limit(0), dims, F.col("n")).count() == 0
     assert mixing.with_probability(df.withColumn("n", F.lit(0)), dims, F.col("n")).count() == len(rows)
+
+
+@pytest.mark.parametrize("budget", [0.1, 0.5, 0.95, 1.0])
+def test_a_tiny_source_does_not_empty_the_sample(spark, budget):
+    """A hot source beside others and one of a single document: the budget is met and large cells fit to each other."""
+    rows = [(i, "hot" if i % 20 else "mid", 100) for i in range(4000)] + [(9999, "one", 20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    rated = mixing.with_probability(df, {"source": F.col("source")}, F.col("n"), budget=budget)
+    got = {r["source"]: r["p"] for r in rated.groupBy("source").agg(F.max("probability").alias("p")).collect()}
+    total = sum(r[2] for r in rows)
+    assert sum(r[2] * got[r[1]] for r in rows) == pytest.approx(budget * total)
+    assert got["one"] == 1.0
+    # The square roots of 380,000 and 20,000: until it gives all it has, a token of mid counts 19 ** 0.5 of hot.
+    assert got["mid"] == pytest.approx(min(1.0, 19**0.5 * got["hot"]), rel=1e-6)
+    kept = mixing.sample(df, {"source": F.col("source")}, F.col("n"), budget=budget).count()
+    assert abs(kept - budget * len(rows)) < 5 * len(rows) ** 0.5
+
+
+def test_the_pipeline_mix_keeps_its_budget_beside_a_tiny_source(spark):
+    rows = [(i, "word " * 20, "en", "hot" if i % 3 else "rare") for i in range(3000)] + [(5000, "word " * 20, "en", "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert corpus_pipeline.mix_sources(spark, df, "").count() > 0.9 * len(rows)

@@ -3,7 +3,10 @@
 Documents are summed to cells (source, language, topic). Raking multiplies the cells of each value of one
 dimension by the factor that brings their token weight to its target, one dimension after the other,
 until all marginals fit. A document is kept with the probability factor / largest factor: the largest
-sample whose expected token weights have the target shares without repeating a document.
+sample whose expected token weights have the target shares without repeating a document. The rarest cell
+sets the size of that sample. With ``budget``, the share of all tokens that is expected to stay, it does
+not: the probability is min(1, c * factor), with c such that the budget is met. Cells that reach 1 give all
+they have, fall short of their targets by the rest, and the others take that rest by their factors.
 
 Cells are a Spark table and are never collected; a sweep over the dimensions is a window
 for each, and every few sweeps end in a written table, so plans stay short and a lost executor repeats
@@ -101,6 +104,27 @@ def rake(
     return current.select(*dims, "tokens", "factor")
 
 
+def budget_scale(raked: DataFrame, budget: float) -> float | None:
+    """The c for which the sum of tokens * min(1, c * factor) is ``budget`` times all tokens; None if all must stay.
+
+    Cells reach 1 in the order of their factors. At c = 1 / factor of a cell, those before it and itself
+    give all their tokens and the rest what their factors say; the last cell that fits the budget counts.
+    """
+    rows = raked.filter((F.col("tokens") > 0) & (F.col("factor") > 0)).withColumn("_w", F.col("tokens") * F.col("factor"))
+    first = Window.partitionBy().orderBy(F.col("factor").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = raked.agg(F.sum("tokens").alias("_want")).withColumn("_want", F.col("_want") * F.lit(budget))
+    rows = rows.withColumn("_full", F.sum("tokens").over(first)).crossJoin(F.broadcast(whole))
+    rows = rows.withColumn("_rest", F.greatest(F.lit(0.0), F.sum("_w").over(Window.partitionBy()) - F.sum("_w").over(first)))
+    fits = F.col("_full") + F.col("_rest") / F.col("factor") <= F.col("_want")
+    scale = F.try_divide(F.col("_want") - F.col("_full"), F.col("_rest"))
+    found = rows.agg(
+        F.max(F.when(fits, F.struct("_full", F.coalesce(scale, F.lit(float("inf"))).alias("c"))))["c"].alias("c"),
+        F.try_divide(F.max("_want"), F.sum("_w")).alias("plain"),
+    ).first()
+    c = found["plain"] if found["c"] is None else found["c"]
+    return None if c is None or c == float("inf") else c
+
+
 def with_probability(
     df: DataFrame,
     dims: Mapping[str, Column],
@@ -108,11 +132,17 @@ def with_probability(
     targets: Mapping[str, DataFrame] | None = None,
     temperatures: Mapping[str, float] | None = None,
     name: str = "probability",
+    budget: float | None = None,
 ) -> DataFrame:
     """Rows of ``df`` with the probability that a document of their cell is kept."""
     raked = rake(stage(cells(df, dims, tokens), "mix-cells"), list(dims), targets, temperatures)
-    most = F.max(F.when(F.col("tokens") > 0, F.col("factor"))).over(Window.partitionBy())
-    kept = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("factor"), most), F.lit(1.0)))
+    if budget is None:
+        most = F.max(F.when(F.col("tokens") > 0, F.col("factor"))).over(Window.partitionBy())
+        kept = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("factor"), most), F.lit(1.0)))
+    else:
+        c = budget_scale(raked, budget)
+        scaled = F.when(F.col("factor") > 0, 1.0).otherwise(0.0) if c is None else F.col("factor") * F.lit(c)
+        kept = F.least(F.lit(1.0), F.coalesce(scaled, F.lit(1.0)))
     by_cell = stage(raked.select(*[F.col(d).alias(f"_c_{i}") for i, d in enumerate(dims)], kept.alias("_p")), "mix-factors")
     key = fresh_name(df, "_cell")
     values = list(dims.values())
@@ -131,9 +161,10 @@ def sample(
     key: str = "doc_id",
     seed: int = 11,
     name: str = "probability",
+    budget: float | None = None,
 ) -> DataFrame:
     """Documents drawn by their calibrated probabilities, with them."""
-    rated = with_probability(df, dims, tokens, targets, temperatures, name)
+    rated = with_probability(df, dims, tokens, targets, temperatures, name, budget)
     return rated.filter(uniform(F.col(f"`{key}`"), seed) < F.col(name))
 
 
