@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from vigilgrid.functions import text
 from vigilgrid.operators import rules
 from vigilgrid.streaming import detect
 
@@ -73,3 +74,26 @@ def test_stream_of_single_document_files(spark, tmp_path):
     detect.stream_detect(counts, out, str(tmp_path / "state")).awaitTermination()
     rows = spark.read.parquet(out).select("host_id", "type", "event_count").collect()
     assert [tuple(r) for r in rows] == [("HOST-001", "bsod", 1)]
+
+
+def test_events_without_a_time_are_counted_as_in_the_batch(spark, tmp_path):
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    bad = ["", None, "12:00:00", "2026", "2026-01", "junk"]
+    first = [log(ts, ["bsod"]) for ts in bad] + [log("2026-01-01T01:00:00Z", ["bsod"]), log("junk", [])]
+    second = [log("junk", ["bsod"]), log("junk", ["bsod", "disk_full"], message="other"), log("2026-01-09T01:00:00Z", [])]
+    for number, events in enumerate((first, second)):
+        (folder / f"{number}.json").write_text(json.dumps(document("HOST-001", f"2026010{number + 1}T000000", events)))
+        docs = detect.snapshot_stream(spark, str(folder), layout="lines", max_files_per_trigger=1)
+        detect.stream_detect(detect.rule_counts(docs), out, state).awaitTermination()
+    rows = spark.read.parquet(out)
+    timeless = rows.filter(F.col("window_start").isNull()).groupBy("type").agg(F.sum("event_count").alias("n"))
+    whole = {r["type"]: r["n"] for r in rows.groupBy("type").agg(F.sum("event_count").alias("n")).collect()}
+    schema = "run_id string, host_id string, snap_rank int, pos long, ts_raw string, provider string, message string, tags array<string>"
+    listed = [("r", "HOST-001", 0, i, e["ts"], e["provider"], e["message"], e["tags"]) for i, e in enumerate(first + second)]
+    batch = spark.createDataFrame(listed, schema).withColumns(
+        {"ts": text.parse_ts(F.col("ts_raw")), "source": F.lit("System"), "level": F.lit("Error"), "event_id": F.lit("1"), "record_id": F.lit(None).cast("long")}
+    )
+    assert whole == {r["type"]: r["event_count"] for r in rules.detect_incidents(batch).collect()}
+    untimed = batch.filter(F.col("ts").isNull())
+    assert {r["type"]: r["n"] for r in timeless.collect()} == {r["type"]: r["event_count"] for r in rules.detect_incidents(untimed).collect()}

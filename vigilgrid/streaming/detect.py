@@ -45,6 +45,10 @@ def rule_counts(
 
     Of several copies of an event the first to arrive counts. Events later than ``delay`` are
     dropped. Counts combine on the map side before the stateful exchange.
+
+    Events without a usable time are never late and have no window: each match is a row of its own with
+    null window ends, as soon as it arrives. Their digests stay in the state, those of matching events
+    only, and the documents are read once more for them.
     """
     events = snapshots.select("host_id", F.explode("events").alias("e")).select(
         "host_id",
@@ -53,27 +57,34 @@ def rule_counts(
         *[F.col(f"e.{n}").alias(n) for n in ("source", "provider", "event_id", "record_id", "message", "tags")],
     )
     slim = events.select("host_id", "ts", dedup_digest().alias("digest"), rule_matches(rules).alias("numbers"))
-    unique = slim.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["host_id", "digest"])
+    unique = slim.filter(F.col("ts").isNotNull()).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["host_id", "digest"])
     matched = unique.select("host_id", "ts", F.explode("numbers").alias("rule_no"))
     counted = matched.groupBy(F.window("ts", span), "host_id", "rule_no").count()
-    return counted.select(
-        F.col("window.start").alias("window_start"),
-        F.col("window.end").alias("window_end"),
-        "host_id",
-        rule_field(F.col("rule_no"), rules, "type", "string").alias("type"),
-        F.col("count").alias("event_count"),
+    windowed = counted.select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "host_id", "rule_no", F.col("count").alias("event_count")
+    )
+    untimed = slim.filter(F.col("ts").isNull() & (F.size("numbers") > 0)).dropDuplicates(["host_id", "digest"])
+    never = F.lit(None).cast("timestamp")
+    single = untimed.select(
+        never.alias("window_start"), never.alias("window_end"), "host_id", F.explode("numbers").alias("rule_no"), F.lit(1).cast("long").alias("event_count")
+    )
+    return windowed.union(single).select(
+        "window_start", "window_end", "host_id", rule_field(F.col("rule_no"), rules, "type", "string").alias("type"), "event_count"
     )
 
 
 def stream_detect(counts: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append finished windows to a parquet table.
+    """Append finished windows, and the new counts of events without a time, to a parquet table.
+
+    The latter have null window ends; the sum over their rows is the count of a host and type.
 
     Each micro-batch owns one folder and overwrites it, so a batch that is run again after a failure
     does not add its rows twice.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        rows = batch.groupBy("window_start", "window_end", "host_id", "type").agg(F.sum("event_count").alias("event_count"))
+        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     writer = counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.foreachBatch(write_batch)
