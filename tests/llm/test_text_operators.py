@@ -241,6 +241,20 @@ def test_toxicity_reads_disguised_words(spark):
     assert [i for i in range(len(hidden), len(rows)) if got[i] >= 0.3] == []
 
 
+def test_toxicity_reads_the_disguises_beyond_clear_traces(spark):
+    docs, labels = _corpus(spark)
+    model = toxicity.fit(docs, labels)
+    hidden = [
+        "id.iot", "mor_on", "id#iot", "i/d/i/o/t", "i'd'i'o't", "i:d:i:o:t", "!diot", "*diot", "idio+", "iidiot", "mmoorroonn",
+        "idi\u200bot", "id\u00adiot", "\uff49\uff44\uff49\uff4f\uff54", "\u0456d\u0456\u043et", "i d i o t.", "id io t",
+    ]
+    plain = ["station.", "(nation)", "it is a b c.", "12,345 m", "I am in a", "letter", "and/or", "\u0434\u0430"]
+    rows = [(i, f"the {t}" if i % 2 else t) for i, t in enumerate(hidden + plain)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [hidden[i] for i in range(len(hidden)) if got[i] < 0.3] == []
+    assert [rows[i] for i in range(len(hidden), len(rows)) if got[i] >= 0.3] == []
+
+
 def test_toxicity_without_labels_or_rows(spark, odd):
     labels = spark.createDataFrame([(1, None), (None, 1), (4, 0)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)

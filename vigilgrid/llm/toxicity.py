@@ -1,7 +1,10 @@
 """Toxicity of texts that may be disguised: a noisy channel is decoded first, then words are scored.
 
 Writing is seen as letters sent through a channel that swaps letters for signs that look like them,
-puts spaces or marks between them and repeats them. A token that shows such traces becomes a lattice:
+puts spaces or marks between them and repeats them. A token with letters that has anything else in it, a
+doubled letter, or no plain reading in the model's letters becomes a lattice, if its plain reading is no
+known feature; while features are learned, a token with clear traces does. Compatibility forms and letters
+of other scripts that look like ours are replaced before, format characters removed. In the lattice
 each character offers the letters it may stand for, or nothing. The Viterbi algorithm finds the most
 probable reading under a character trigram model, exactly, since a lattice has few states at a time.
 Tokens without traces are their own reading. The trigram model is counted over all texts.
@@ -62,6 +65,13 @@ _TRACE = re.compile(
     r"[a-z][0-9@$!|+(€*]+[a-z]|^[0-9@$|+(€]+[a-z]{2}|[a-z]{2}[0-9$@]+\W*$|([a-z])\1\1|^\W*(?:[a-z0-9@$!|+][-._*~,]+){2,}[a-z0-9@$!|+]\W*$"
 )
 _WORD = re.compile(r"[^\W\d_]+")
+_ODD = re.compile(r"[^a-z]|([a-z])\1")
+_CLOSING = ".,;:?!\"')]}"
+# Cyrillic and Greek letters and the Latin ones that they look like.
+_SCRIPTS = str.maketrans(
+    "авеікмнорстухјѕһԁԛԝъьпгαβεικνορτυχω",
+    "abeikmhopctyxjshdqwbbnrabeiknoptuxw",
+)
 
 
 def _fold_table() -> np.ndarray:
@@ -174,6 +184,14 @@ class Decoder:
         return "".join(" " if s == 0 else chr(96 + s) for s in reversed(symbols)).strip()
 
 
+def _shown(text: str) -> str:
+    """``_folded`` text as it looks: without format characters, compatibility forms and other scripts' look-alikes."""
+    if text.isascii():
+        return text.lower()
+    plain = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
+    return _folded(plain.lower().translate(_SCRIPTS))
+
+
 def _folded(text: str) -> str:
     """Lower case with letters without marks."""
     return text.lower().translate(_PLAIN)
@@ -192,9 +210,17 @@ class Restorer:
 
     def token(self, token: str) -> tuple[str, ...]:
         shown = _folded(token)
-        if _TRACE.search(shown):
-            return self._known(self.decoder.read(shown).split())
-        return self._known(_WORD.findall(token.lower()))
+        traced = _TRACE.search(shown)
+        known = self._known(self.decoder.read(shown).split() if traced else _WORD.findall(token.lower()))
+        if known or self.keep is None:
+            return known
+        looks = _shown(token)
+        core = looks.strip("\"'.,;:?-()[]{}")
+        if core == looks and traced or not re.search("[a-z]", core):
+            return ()
+        if not _ODD.search(core):
+            return self._known([core]) if core != token.lower() else ()
+        return self._known(self.decoder.read(core).split()) or self._known(_WORD.findall(core))
 
     def words(self, texts: list[str]) -> list[set[str]]:
         """The distinct (known) words of each whole text after restoring it."""
@@ -215,21 +241,27 @@ class Restorer:
             for words in map(cache.get, distinct):
                 if words:
                     found.update(words)
-            if sum(len(t) == 1 for t in distinct) > 1:
-                for run in spaced_runs(tokens):
+            if any(len(t) == 1 or len(t.rstrip(_CLOSING)) == 1 for t in distinct):
+                for run in spaced_runs(tokens, letters=1 if self.keep is None else 2):
                     found.update(self._known(self.decoder.read(_folded(run)).split()))
             out.append(found)
         return out
 
 
-def spaced_runs(tokens: list[str], least: int = 3) -> list[str]:
-    """Runs of at least ``least`` tokens of one character each."""
+def spaced_runs(tokens: list[str], least: int = 3, letters: int = 1) -> list[str]:
+    """Runs of at least ``least`` tokens of up to ``letters`` characters, one of them of one character.
+
+    Closing marks do not count as characters; they end a run.
+    """
     runs, current = [], []
-    for t in [*tokens, "  "]:
-        if len(t) == 1:
-            current.append(t)
+    for t in [*tokens, "   "]:
+        core = t if len(t) == 1 else t.rstrip(_CLOSING)
+        short = 1 <= len(core) <= letters
+        if short:
+            current.append(core)
+        if short and core == t:
             continue
-        if len(current) >= least:
+        if len(current) >= least and any(len(c) == 1 for c in current):
             runs.append(" ".join(current))
         current = []
     return runs
