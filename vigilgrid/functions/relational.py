@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """Keep the first ``k`` rows of each group.
@@ -46,6 +48,34 @@ def split_position(
     return ranked.join(offsets, on, "inner").select(*df.columns, position.alias(name))
 
 
+def ranked_position(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, start: int = 0, label: str = "ranked"
+) -> DataFrame:
+    """Dense position of each row within its group, however uneven groups, ranges and prefixes are.
+
+    Rows are dealt by ranges of the whole order (keys first), sorted within each range and staged with
+    their place in it. A group then spans some consecutive ranges, and the rows of its ranges before
+    give the offset: a table of one row per group and range. Only rows that agree in keys and order
+    have to share a range, so the order should end in something that tells rows apart. Without keys
+    the whole table is one group.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = [*[F.col(k).asc() for k in keys], *order]
+    placed = df.repartitionByRange(n, *whole).sortWithinPartitions(*whole)
+    placed = stage(placed.withColumn("_at", F.monotonically_increasing_id()), label)
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))  # the upper bits number the range
+    names = [f"_key{i}" for i in range(len(keys))]
+    runs = placed.groupBy(*[F.col(k).alias(x) for k, x in zip(keys, names)], F.col("_part").alias("_range"))
+    runs = runs.agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*(names or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).drop("_rows", "_first")
+    same = F.col("_part") == F.col("_range")
+    for k, x in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(x))
+    position = (F.col("_at") + F.col("_offset") + F.lit(start)).cast("bigint")
+    return placed.join(runs, same).select(*df.columns, position.alias(name))
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
