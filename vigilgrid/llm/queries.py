@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_root
-from . import byte_bpe, chat_format, language_id, mixing, pivot_topk, simhash, token_counts, toxicity, url_filter, vptree
+from . import byte_bpe, chat_format, importance, language_id, mixing, pivot_topk, simhash, token_counts, toxicity, url_filter, vptree
 from .common import crc_bucket, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,3 +271,55 @@ def op6_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors found for every fiftieth vector, against all others."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vptree.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0), 5)
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark texts, and the quarter that is drawn."""
+    return importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+# crc32 of a feature: one reduction over its bytes, with the table of the remainders of all bytes.
+ORACLES["op11_importance_resampling"] = r"""
+WITH texts AS (
+  SELECT true AS target, item_id AS id, text FROM benchmark UNION ALL SELECT false, doc_id, text FROM documents
+), worded AS (
+  SELECT target, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+), single AS (
+  SELECT target, id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM worded
+), feature AS (
+  SELECT target, id, word AS f FROM single
+  UNION ALL
+  SELECT a.target, a.id, a.word || ' ' || b.word FROM single a JOIN single b ON a.target = b.target AND a.id = b.id AND b.i = a.i + 1
+), counted AS (
+  SELECT target, id, f, count(*) AS n FROM feature GROUP BY ALL
+), crc AS (
+  SELECT list(list_reduce(list_prepend(x, range(8)), lambda c, z: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY x) AS t
+  FROM range(256) r(x)
+), hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(CAST(length(h) / 2 AS BIGINT)),
+      lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f, hex(encode(f)) AS h FROM counted) q, crc
+), bucketed AS (
+  SELECT target, id, bucket, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL
+), sizes AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE NOT target), 0) AS s, coalesce(sum(n) FILTER (WHERE target), 0) AS t FROM bucketed GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS gain
+  FROM sizes
+), weights AS (
+  SELECT id AS doc_id, sum(n) AS n_features, floor(sum(n * gain) / sum(n)) AS weight
+  FROM bucketed JOIN gains USING (bucket) WHERE NOT target GROUP BY id
+), scored AS (
+  SELECT d.doc_id, len(w.w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM documents d JOIN worded w ON NOT w.target AND w.id = d.doc_id LEFT JOIN weights g ON g.doc_id = d.doc_id
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 25 // 100 AS drawn FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
