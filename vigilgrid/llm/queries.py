@@ -5,11 +5,24 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_root
-from . import byte_bpe, chat_format, importance, language_id, mixing, pivot_topk, simhash, token_counts, toxicity, url_filter, vptree
+from . import (
+    byte_bpe,
+    chat_format,
+    importance,
+    language_id,
+    mixing,
+    pivot_topk,
+    secret_links,
+    simhash,
+    token_counts,
+    toxicity,
+    url_filter,
+    vptree,
+)
 from .common import crc_bucket, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,3 +336,88 @@ WITH texts AS (
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)
 """
+
+
+@query
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, and the weak parts of credentials that complement others."""
+    found = secret_links.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def number(kind: str) -> Column:
+        at = secret_links.KINDS.index(kind)
+        return F.size(F.filter("base", lambda p: p["kind"] == at)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[number(kind) for kind in secret_links.BASE],
+        F.sha2(secret_links.shown(F.col("base")), 256).alias("base_sha256"),
+        secret_links.shown(F.col("spans")).alias("spans"),
+    )
+
+
+def _any_case(pattern: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in pattern)
+
+
+def _secrets_sql() -> str:
+    """Places of all matches one after the other, then the weak ones held against their complements."""
+    s, link = secret_links, r"[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?"
+    patterns = {
+        "assign": f"(?:{_any_case(s.NAMES)}){link}{s.VALUE}", "access": s.ACCESS, "hex": s.HEX,
+        "login": f"(?:{_any_case(s.LOGINS)}){link}{s.LOGIN_VALUE}", "bare": s.BARE, "endpoint": s.ENDPOINT,
+    }
+    shapes = ", ".join(f"({i}, '{kind}', '{patterns[kind]}')" for i, kind in enumerate(s.KINDS))
+    pairs = ", ".join(f"('{weak}', '{other}')" for weak, others in s.COMPLEMENTS.items() for other in others)
+    fit = f"""CASE kind WHEN 'assign' THEN length(regexp_extract(m, '{link}({s.VALUE})$', 1)) >= {s.LEAST_VALUE}
+      WHEN 'bare' THEN regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]') ELSE true END"""
+
+    def clear(kind: str, *others: str) -> str:
+        listed = ", ".join(repr(o) for o in others)
+        return (
+            f"SELECT * FROM spans a WHERE kind = '{kind}' AND NOT EXISTS (SELECT 1 FROM spans o WHERE o.doc_id = a.doc_id "
+            f"AND o.kind IN ({listed}) AND o.start < a.stop AND a.start < o.stop)"
+        )
+
+    return rf"""
+WITH RECURSIVE shapes(ord, kind, pattern) AS (
+  VALUES {shapes}
+), matched AS (
+  SELECT doc_id, ord, kind, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), pattern) AS ms FROM documents, shapes
+), walk AS (
+  SELECT doc_id, ord, kind, text, ms, 0 AS i, 0::BIGINT AS start, 0::BIGINT AS stop FROM matched WHERE len(ms) > 0
+  UNION ALL
+  SELECT doc_id, ord, kind, text, ms, i + 1, stop + strpos(substr(text, stop + 1), ms[i + 1]) - 1,
+    stop + strpos(substr(text, stop + 1), ms[i + 1]) - 1 + length(ms[i + 1])
+  FROM walk WHERE i < len(ms)
+), spans AS (
+  SELECT doc_id, ord, kind, start, stop, len(regexp_extract_all(substr(text, 1, start), '{s.BLANK}')) AS block
+  FROM (SELECT *, ms[i] AS m FROM walk WHERE i > 0) WHERE {fit}
+), logins AS (
+  {clear("login", *s.BASE)}
+), parts AS (
+  SELECT * FROM spans WHERE kind IN ('assign', 'access', 'hex')
+  UNION ALL SELECT * FROM logins
+  UNION ALL {clear("bare", *s.BASE)}
+    AND NOT EXISTS (SELECT 1 FROM logins l WHERE l.doc_id = a.doc_id AND l.start < a.stop AND a.start < l.stop)
+  UNION ALL {clear("endpoint", *s.BASE)}
+), complements(weak, other) AS (
+  VALUES {pairs}
+), reported AS (
+  SELECT * FROM parts WHERE ord < {len(s.BASE)}
+  UNION ALL
+  SELECT * FROM parts p WHERE ord >= {len(s.BASE)} AND EXISTS (
+    SELECT 1 FROM parts o JOIN complements c ON c.weak = p.kind AND c.other = o.kind
+    WHERE o.doc_id = p.doc_id AND o.block = p.block AND (p.start - o.stop BETWEEN 0 AND {s.REACH} OR o.start - p.stop BETWEEN 0 AND {s.REACH}))
+), told AS (
+  SELECT doc_id, count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WHERE ord = 1) AS n_access, count(*) FILTER (WHERE ord = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (WHERE ord < {len(s.BASE)}) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans
+  FROM reported GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN told USING (doc_id)
+"""
+
+
+ORACLES["op12_secret_scans"] = _secrets_sql()
