@@ -15,6 +15,7 @@ from . import (
     importance,
     language_id,
     mixing,
+    phrases,
     pivot_topk,
     secret_links,
     simhash,
@@ -421,3 +422,42 @@ FROM documents LEFT JOIN told USING (doc_id)
 
 
 ORACLES["op12_secret_scans"] = _secrets_sql()
+
+
+@query
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language that occur most often for what their parts lead to expect."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+ORACLES["op13_phrase_mining"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM worded GROUP BY lang
+), runs AS (
+  SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM worded, generate_series(1, 5) s(m) WHERE len(w) >= m)
+), counted AS (
+  SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT c.lang, c.m, c.phrase, c.f, k, array_to_string(list_slice(string_split(phrase, ' '), 1, k), ' ') AS head,
+    array_to_string(list_slice(string_split(phrase, ' '), k + 1, m), ' ') AS tail
+  FROM counted c, generate_series(1, 4) s(k) WHERE m >= 2 AND k < m
+), scored AS (
+  SELECT cuts.lang, cuts.m, cuts.phrase, cuts.f AS a, k, x.f AS l, y.f AS r, n, 1000::HUGEINT * cuts.f * n // (x.f::HUGEINT * y.f) AS score
+  FROM cuts JOIN totals USING (lang) JOIN counted x ON x.lang = cuts.lang AND x.phrase = head JOIN counted y ON y.lang = cuts.lang AND y.phrase = tail
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM best o WHERE o.lang = b.lang AND o.m > b.m AND 100 * o.a >= 100 * b.a AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
