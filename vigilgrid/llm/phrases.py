@@ -6,9 +6,10 @@ frequency, every place of a text holds the number of the unit that starts there
 numbers are counted as pairs. The frequent pairs are the units of the next step, ranked again.
 
 Pairs are counted where the texts are, by tiles of ``SIDE`` x ``SIDE`` numbers. As numbers follow
-frequency, most pairs fall into few tiles near the origin: those are counted by direct address, with a
-dense bincount. The pairs of all other tiles are sorted as coordinates and counted in runs. Spark adds
-up the counts of all tasks, after combining them within each.
+frequency, most pairs fall into few tiles near the origin (the first ``CORNER`` in either direction).
+Those that are dense are counted by direct address, with one bincount over their cells. The pairs of
+all other tiles are sorted as coordinates and counted in runs. Spark adds up the counts of all tasks,
+after combining them within each.
 
 Numbers are looked up in a head of at most ``HEAD`` units, the most frequent ones, which tasks hold in
 memory. Where there are more units, the rest is looked up by a join of the distinct unknown units of
@@ -37,17 +38,17 @@ LEAST = 100  # occurrences of a phrase
 LONGEST = 5  # words
 TOP = 2000  # phrases of a language
 HEAD = 500_000  # units whose numbers every task holds
-SIDE_BITS = 9
+SIDE_BITS = 8
 SIDE = 1 << SIDE_BITS
-DENSE = SIDE * SIDE // 8  # pairs of a tile from which on it is counted by direct address
-PAIRS = 1 << 21  # counted at one time
-BLOCK = 1 << 20  # places of a block of texts, unless one text has more
-COUNTED_WORDS = 500_000  # distinct words that a task counts at one time
+CORNER = 64  # tiles in either direction that may be dense
+DENSE = SIDE * SIDE // 4  # pairs of a tile from which on it is counted by direct address
+PAIRS = 1 << 20  # counted at one time
+BLOCK = 1 << 16  # places of a block of texts, unless one text has more
+COUNTED_WORDS = 200_000  # distinct words that a task counts at one time
 SALTS = 64  # parts of a language's phrases that are ranked on their own first
 
 _BREAK = b"."
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _BREAK * 10)
-_NUMBERS = "<i8"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -73,10 +74,12 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
         counts: dict[str, Counter] = {}
 
         def flushed() -> pa.RecordBatch:
-            rows = [(name, word, n) for name, found in counts.items() for word, n in found.items()]
-            columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()).cast(pa.string())]
+            names = [name for name, found in counts.items() for _ in range(len(found))]
+            words = [word for found in counts.values() for word in found]
+            columns = [pa.array(names, pa.string()), pa.array(words, pa.binary()).cast(pa.string())]
+            numbers = pa.array([n for found in counts.values() for n in found.values()], pa.int64())
             counts.clear()
-            return pa.RecordBatch.from_arrays([*columns, pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
+            return pa.RecordBatch.from_arrays([*columns, numbers], names=["lang", "word", "n"])
 
         for name, value in _texts(batches):
             words = tokens(value)
@@ -91,30 +94,44 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _corner_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Which pairs lie in dense tiles, and the counts of those by direct address."""
+    reach = CORNER << SIDE_BITS
+    near = (a < reach) & (b < reach)
+    tile = np.where(near, (a >> SIDE_BITS) * CORNER + (b >> SIDE_BITS), 0)
+    dense = np.flatnonzero(np.bincount(tile[near], minlength=CORNER * CORNER) >= DENSE)
+    place = np.full(CORNER * CORNER, -1, dtype=np.int64)
+    place[dense] = np.arange(len(dense))
+    inside = near & (place[tile] >= 0)
+    x, y = a[inside] & (SIDE - 1), b[inside] & (SIDE - 1)
+    cells = np.bincount(place[tile[inside]] << (2 * SIDE_BITS) | x << SIDE_BITS | y, minlength=len(dense) * SIDE * SIDE)
+    seen = np.flatnonzero(cells)
+    tile, x, y = dense[seen >> (2 * SIDE_BITS)], seen >> SIDE_BITS & (SIDE - 1), seen & (SIDE - 1)
+    return inside, (tile // CORNER << SIDE_BITS | x, tile % CORNER << SIDE_BITS | y, cells[seen])
+
+
+def _sorted_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Counts of pairs as sorted coordinates; in one word where numbers have 31 bits."""
+    if not len(a) or max(int(a.max()), int(b.max())) < 1 << 31:
+        pairs, n = np.unique(a.astype(np.int64) << 32 | b, return_counts=True)
+        return pairs >> 32, pairs & 0xFFFFFFFF, n
+    pairs, n = np.unique(np.stack([a, b]), axis=1, return_counts=True)
+    return pairs[0], pairs[1], n
+
+
 def count_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of numbers and how often they occur: dense tiles by direct address, the rest sorted."""
-    across, down = a >> SIDE_BITS, b >> SIDE_BITS
-    order = np.lexsort((down, across))
-    a, b, across, down = a[order], b[order], across[order], down[order]
-    first = np.flatnonzero(np.r_[len(a) > 0, (across[1:] != across[:-1]) | (down[1:] != down[:-1])])
-    sizes = np.diff(np.r_[first, len(a)])
-    found, sparse = [], np.ones(len(a), dtype=bool)
-    for start, size in zip(first[sizes >= DENSE].tolist(), sizes[sizes >= DENSE].tolist()):
-        part = slice(start, start + size)
-        cells = np.bincount((a[part] & (SIDE - 1)) << SIDE_BITS | (b[part] & (SIDE - 1)), minlength=SIDE * SIDE)
-        seen = np.flatnonzero(cells)
-        corner = (across[start] << SIDE_BITS, down[start] << SIDE_BITS)
-        found.append((corner[0] + (seen >> SIDE_BITS), corner[1] + (seen & (SIDE - 1)), cells[seen]))
-        sparse[part] = False
-    a, b = a[sparse], b[sparse]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.r_[len(a) > 0, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    found.append((a[first], b[first], np.diff(np.r_[first, len(a)])))
-    return tuple(np.concatenate(column) for column in zip(*found))
-
-
-def pair_counts(blocks: DataFrame) -> DataFrame:
+    """Distinct pairs of numbers and how often they occur."""
+    inside, dense = _corner_counts(a, b)
+    sparse = _sorted_counts(a[~inside], b[~inside])
+    return tuple(np.concatenate(column).astype(np.int64) for column in zip(dense, sparse))
+
+
+def number_type(units: DataFrame) -> str:
+    """Bytes of a number in the blocks: four, unless the units need more."""
+    return "<i4" if units.count() < (1 << 31) - 1 else "<i8"
+
+
+def pair_counts(blocks: DataFrame, kind: str) -> DataFrame:
     """``a, b, n``: pairs of adjacent numbers in all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,17 +139,17 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 
         def flushed() -> pa.RecordBatch:
             pairs = [np.concatenate(side) for side in zip(*held)]
-            return pa.RecordBatch.from_arrays([pa.array(column.astype(np.int64)) for column in count_pairs(*pairs)], names=["a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(column) for column in count_pairs(*pairs)], names=["a", "b", "n"])
 
         for batch in batches:
             for value in batch.column(0):
-                ids = np.frombuffer(value.as_buffer(), dtype=_NUMBERS)
+                ids = np.frombuffer(value.as_buffer(), dtype=kind)
                 for start in range(0, len(ids) - 1, PAIRS):
                     a, b = ids[start : start + PAIRS], ids[start + 1 : start + PAIRS + 1]
                     a = a[: len(b)]
                     both = (a >= 0) & (b >= 0)
                     held.append((a[both], b[both]))
-                    size += int(both.sum())
+                    size += len(held[-1][0])
                     if size >= PAIRS:
                         yield flushed()
                         held, size = [], 0
@@ -148,7 +165,7 @@ def numbered(units: DataFrame, keys: list[str], least: int, label: str) -> DataF
     return stage(ranked_position(frequent, [], [F.col("n").desc(), *map(F.col, keys)], "id", label=f"{label}-ranks"), label)
 
 
-def _with_tail(found: DataFrame, units: DataFrame, keys: list[str], head: int, label: str) -> DataFrame:
+def _with_tail(found: DataFrame, units: DataFrame, keys: list[str], head: int, kind: str, label: str) -> DataFrame:
     """Blocks whose unknown units are looked up among the units beyond the head."""
     found = stage(found.withColumn("block", F.monotonically_increasing_id()), f"{label}-open")
     asked = found.select("block", F.posexplode("unknown").alias("at", "unit")).select("block", "at", "unit.*")
@@ -161,8 +178,8 @@ def _with_tail(found: DataFrame, units: DataFrame, keys: list[str], head: int, l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(0)[row].as_buffer(), dtype=_NUMBERS).copy()
-                numbers = np.full(batch.column(2)[row].as_py() + 1, -1, dtype=np.int64)
+                ids = np.frombuffer(batch.column(0)[row].as_buffer(), dtype=kind).copy()
+                numbers = np.full(batch.column(2)[row].as_py() + 1, -1, dtype=kind)
                 for unit in batch.column(1)[row].as_py() or []:
                     numbers[unit["at"]] = unit["id"]
                 open_ = ids < -1
@@ -178,6 +195,7 @@ _PAIR = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
 def text_blocks(docs: DataFrame, words: DataFrame, text: str, lang: str, head: int) -> DataFrame:
     """``ids``: blocks of whole texts as numbers of words; -1 for a rare word and between pieces and texts."""
+    kind = number_type(words)
     more = words.filter(F.col("id") >= head).limit(1).count() > 0
     tables: dict[str, dict[bytes, int]] = {}
     listed = words.filter(F.col("id") < head).select("lang", F.col("word").cast("binary"), "id").toArrow()
@@ -190,7 +208,7 @@ def text_blocks(docs: DataFrame, words: DataFrame, text: str, lang: str, head: i
 
         def flushed() -> pa.RecordBatch:
             listed = [{"lang": name, "word": word.decode()} for name, word in unknown]
-            block = np.array(held, dtype=_NUMBERS).tobytes()
+            block = np.array(held, dtype=kind).tobytes()
             return pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([listed], pa.list_(_WORD))], names=["ids", "unknown"])
 
         for name, value in _texts(batches):
@@ -210,12 +228,13 @@ def text_blocks(docs: DataFrame, words: DataFrame, text: str, lang: str, head: i
             yield flushed()
 
     found = _source(docs, text, lang).mapInArrow(run, "ids binary, unknown array<struct<lang:string,word:string>>")
-    done = _with_tail(found, words, ["lang", "word"], head, "phrase-words") if more else found.select("ids")
+    done = _with_tail(found, words, ["lang", "word"], head, kind, "phrase-words") if more else found.select("ids")
     return stage(done, "phrase-blocks-1")
 
 
-def pair_blocks(blocks: DataFrame, pairs: DataFrame, head: int, label: str) -> DataFrame:
+def pair_blocks(blocks: DataFrame, old_kind: str, pairs: DataFrame, head: int, label: str) -> DataFrame:
     """The blocks as numbers of the frequent pairs that start at each place."""
+    kind = number_type(pairs)
     more = pairs.filter(F.col("id") >= head).limit(1).count() > 0
     rows = pairs.filter(F.col("id") < head).select("a", "b", "id").toArrow().sort_by([("a", "ascending"), ("b", "ascending")])
     a, b, ids = (rows.column(name).to_numpy() for name in ("a", "b", "id"))
@@ -235,7 +254,7 @@ def pair_blocks(blocks: DataFrame, pairs: DataFrame, head: int, label: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column(0):
-                old = np.frombuffer(value.as_buffer(), dtype=_NUMBERS)
+                old = np.frombuffer(value.as_buffer(), dtype=old_kind)
                 new = np.full(len(old), -1, dtype=np.int64)
                 at = np.flatnonzero((old[:-1] >= 0) & (old[1:] >= 0))
                 new[at] = look_up(old[at], old[at + 1])
@@ -245,11 +264,11 @@ def pair_blocks(blocks: DataFrame, pairs: DataFrame, head: int, label: str) -> D
                     distinct, place = np.unique(np.stack([old[at], old[at + 1]], axis=1), axis=0, return_inverse=True)
                     new[at] = -2 - place.ravel()
                     listed = [{"a": x, "b": y} for x, y in distinct.tolist()]
-                columns = [pa.array([new.astype(_NUMBERS).tobytes()], pa.binary()), pa.array([listed], pa.list_(_PAIR))]
+                columns = [pa.array([new.astype(kind).tobytes()], pa.binary()), pa.array([listed], pa.list_(_PAIR))]
                 yield pa.RecordBatch.from_arrays(columns, names=["ids", "unknown"])
 
     found = blocks.mapInArrow(run, "ids binary, unknown array<struct<a:bigint,b:bigint>>")
-    done = _with_tail(found, pairs, ["a", "b"], head, label) if more else found.select("ids")
+    done = _with_tail(found, pairs, ["a", "b"], head, kind, label) if more else found.select("ids")
     return stage(done, f"{label}-blocks")
 
 
@@ -307,16 +326,16 @@ def collocations(
     units = salted_join(words, totals, ["lang"], ["id"], "inner").select(
         "id", "lang", "total", F.col("word").alias("last"), F.col("word").alias("phrase"), F.array("n").alias("begins"), F.array("n").alias("ends")
     )
-    blocks = text_blocks(docs, words, text, lang, head)
+    blocks, kind = text_blocks(docs, words, text, lang, head), number_type(words)
     levels: list[DataFrame] = []
     for size in range(2, longest + 1):
-        pairs = numbered(pair_counts(blocks), ["a", "b"], least, f"phrase-pairs-{size}")
+        pairs = numbered(pair_counts(blocks, kind), ["a", "b"], least, f"phrase-pairs-{size}")
         units = stage(_described(pairs, units), f"phrases-{size}")
         levels.append(units)
         if pairs.isEmpty():
             break
         if size < longest:
-            blocks = pair_blocks(blocks, pairs, head, f"phrase-pairs-{size}")
+            blocks, kind = pair_blocks(blocks, kind, pairs, head, f"phrase-pairs-{size}"), number_type(pairs)
     kept = [_outside(shorter, longer) for shorter, longer in zip(levels, levels[1:])] + levels[-1:]
     scored = reduce(DataFrame.unionByName, kept).withColumn("cut", _best_cut()).select("lang", "phrase", "n", "total", "cut.*")
     # Languages are few and phrases many: the best of each salt first.
