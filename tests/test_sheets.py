@@ -1,9 +1,11 @@
 """Grids, mapping and the onboarding flow on small sheets."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from vigilgrid.functions.relational import block_join, salted_join, split_position
+from vigilgrid.functions.relational import block_join, ranked_position, salted_join, split_position
 from vigilgrid.model import SHEET_ROWS
 from vigilgrid.operators import grid, ledger, mapping, profile
 from vigilgrid.plans import onboarding
@@ -267,3 +269,46 @@ def test_split_position_equals_plain_rank(spark):
     for r in sorted(rows.collect(), key=lambda r: (r["o"], r["id"])):
         wanted.setdefault(r["key"], []).append(r["id"])
     assert len(placed) == 2000 and all(wanted[r["key"]][r["p"]] == r["id"] for r in placed)
+
+
+def test_ranked_position_equals_plain_rank_and_spreads_hot_groups(spark):
+    # One group holds two thirds of the rows, most of them without a time or with the same one, and a long common prefix.
+    rows = spark.range(6000).selectExpr(
+        "CASE WHEN id % 3 < 2 THEN 'hot' WHEN id % 3 = 2 AND id % 7 = 0 THEN NULL ELSE concat('k', id % 50) END AS key",
+        "CASE WHEN id % 5 < 3 THEN NULL ELSE 7 END AS o", "concat('a-very-long-prefix-', (id * 7919) % 6007) AS name", "id",
+    )
+    order = [F.col("o").asc_nulls_first(), F.col("name").desc()]
+    placed = ranked_position(rows, ["key"], order, "p", start=1)
+    wanted = {}
+    for r in sorted(sorted(rows.collect(), key=lambda r: r["name"], reverse=True), key=lambda r: r["o"] or 0):
+        wanted.setdefault(r["key"], []).append(r["id"])
+    found = placed.collect()
+    assert len(found) == 6000 and all(wanted[r["key"]][r["p"] - 1] == r["id"] for r in found)
+    whole = {r["p"]: r["id"] for r in ranked_position(rows, [], [F.col("id").desc()], "p").collect()}
+    assert whole == {i: 5999 - i for i in range(6000)}
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = rows.repartitionByRange(n, F.col("key"), *order).groupBy(F.spark_partition_id().alias("t")).count().collect()
+    assert len(tasks) == n and max(r["count"] for r in tasks) < 2 * sorted(r["count"] for r in tasks)[n // 2]
+    assert ranked_position(rows.limit(0), ["key"], order, "p").count() == 0
+
+
+def test_row_lookup_has_one_plan_whatever_is_wanted(spark):
+    rows = spark.range(30_000).selectExpr("concat('s', id % 3) AS sheet_id", "id DIV 3 AS row_idx", "array(cast(id AS string)) AS cells")
+
+    def looked_up(n):
+        wanted = spark.range(n).selectExpr("'s1' AS sheet_id", "id * 2 AS row_idx")
+        return grid.rows_at(rows, wanted, top=3)
+
+    few, many = looked_up(10), looked_up(10_000)
+    assert sorted(r["cells"][0] for r in few.collect()) == sorted(str(i) for i in {*range(9), *(6 * k + 1 for k in range(10))})
+    assert many.count() == 9 + 5000 - 2
+    shapes = [re.sub(r"[0-9]+", "", df._jdf.queryExecution().optimizedPlan().toString()) for df in (few, many)]
+    assert shapes[0] == shapes[1] and "LeftSemi" in shapes[0]
+
+
+def test_flattened_headers_are_filled_in_one_pass(spark):
+    wide = ["a"] + [""] * 4000 + ["b", " nan ", ""]
+    rows = sheets(spark, s=[wide, ["x", "y"]], t=[[]], u=[["", "q", ""]])
+    found = {r["sheet_id"]: r["headers"] for r in grid.flatten_headers(rows, 0, 1).collect()}
+    assert found["t"] == [] and found["u"] == ["", "q", "q"]
+    assert found["s"] == ["a_x", "a_y"] + ["a"] * 3999 + ["b"] * 3

@@ -2,15 +2,19 @@
 
 import csv
 import hashlib
+import io
 import json
+import random
 import zipfile
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vigilgrid.operators import ingest, mapping, profile, timeline
 from vigilgrid.plans import incident as flow
 from vigilgrid.sources import sheets as files
-from vigilgrid.sources import sinks, snapshots
+from vigilgrid.sources import large_csv, sinks, snapshots
 
 ROWS = [["id", "text", ""], [], ["1", 'say "hi", ok', "x"], ["2", "", ""], ["3"]]
 
@@ -45,9 +49,67 @@ def test_large_csv_rows_are_numbered_across_blocks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_quoted_line_breaks_need_the_whole_file_reader(spark, tmp_path):
-    write_csv(tmp_path / "a.csv", [["a\nb", "c"], ["d", "e"]])
-    assert grid_of(files.scan_sheets_csv(spark, str(tmp_path))) == [("a.csv", 0, ["a\nb", "c"]), ("a.csv", 1, ["d", "e"])]
+def test_quoted_line_breaks_cross_chunks_and_blocks(spark, tmp_path, monkeypatch):
+    rng = random.Random(1)
+    odd = ["a\nb", 'say "x"\n\n"y", z', "\r\n", "", "plain", "\n" * 30, '"', "é\n😀"]
+    rows = [[rng.choice(odd) for _ in range(rng.randint(0, 4))] for _ in range(3000)]
+    write_csv(tmp_path / "a.csv", rows)
+    write_csv(tmp_path / "b.csv", [["one"], ["t" * 9000 + "\n" + "u" * 9000, "x"], ["last"]])
+    (tmp_path / "c.csv").write_bytes(b'1,"a ""b""\r\nc"\r\n\r\n2,x"y\r\n')
+    (tmp_path / "d.csv").write_bytes(b'a"b,"c"d"e\nf,"g\nh"i,j\nlast')
+    expected = []
+    for name in "abcd":
+        with open(tmp_path / f"{name}.csv", newline="", encoding="utf-8") as handle:
+            expected += [(f"{name}.csv", i, cells) for i, cells in enumerate(csv.reader(handle))]
+    assert grid_of(files.scan_large_csv(spark, str(tmp_path))) == expected
+    monkeypatch.setattr(large_csv, "CHUNK_BYTES", 700)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert grid_of(files.scan_large_csv(spark, str(tmp_path))) == expected
+        per_task = files.scan_large_csv(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count()
+        assert per_task.count() > 4  # no task has a whole file
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert grid_of(files.scan_sheets_csv(spark, str(tmp_path))) == expected
+
+
+CSV_TEXT = st.text(st.sampled_from('ab,"\n'), max_size=40)
+
+
+@settings(max_examples=500, deadline=None)
+@given(text=CSV_TEXT, cut=st.integers(0, 40))
+def test_states_of_lines_are_those_of_the_csv_module(text, cut):
+    lines = text.encode().split(b"\n")
+    inside = False
+    for n, line in enumerate(lines[:-1]):
+        inside = large_csv.after_line(inside, line)
+        # Another record starts after this line exactly if the reader is outside quotes.
+        read = list(csv.reader(io.StringIO("\n".join(text.split("\n")[: n + 1]) + "\nx", newline="")))
+        assert inside == (read[-1] != ["x"] or len(read) < 2)
+    head, tail = lines[:cut], lines[cut:]
+    for start in (False, True):
+        middle, first, _ = large_csv.effect(head, start)
+        end, second, _ = large_csv.effect(tail, middle)
+        assert (end, first + second) == large_csv.effect(lines, start)[:2]
+
+
+def test_sheets_that_cannot_be_read_are_told_and_left_out(spark, tmp_path):
+    write_csv(tmp_path / "good.csv", ROWS)
+    (tmp_path / "latin.csv").write_bytes("größe,ok\n1,2\n".encode("latin-1"))
+    (tmp_path / "long.csv").write_text("a,b\n1,2\n" + '"' + "x\n" * 70_000 + '",c\n')
+    write_workbook(tmp_path / "good.xlsx", {"One": '<row r="1"><c r="A1"><v>5</v></c></row>'})
+    (tmp_path / "torn.xlsx").write_bytes((tmp_path / "good.xlsx").read_bytes()[:100])
+    write_workbook(tmp_path / "odd.xlsx", {"One": '<row r="1"><c r="A1"><v>5</v></c></row>', "Bad": '<row r="1"><c r="A1" t="s"><v>99</v></c></row>'})
+    folder = str(tmp_path)
+    for decoded in (files.decode_sheets_csv(spark, folder), large_csv.decode(spark, folder)):
+        errors = {r["sheet_id"]: r["error"] for r in files.sheet_errors(decoded).collect()}
+        assert sorted(errors) == ["latin.csv", "long.csv"]
+        assert errors["latin.csv"].startswith("not UTF-8") and "field larger than field limit" in errors["long.csv"]
+        assert grid_of(files.readable_rows(decoded)) == [("good.csv", i, c) for i, c in enumerate(ROWS)]
+    books = files.decode_workbooks(spark, folder, "*")
+    errors = {r["sheet_id"]: r["error"] for r in files.sheet_errors(books).collect()}
+    assert sorted(errors) == ["odd.xlsx#Bad", "torn.xlsx"] and errors["torn.xlsx"].startswith("BadZipFile")
+    assert grid_of(files.readable_rows(books)) == [("good.xlsx#One", 0, ["5"]), ("odd.xlsx#One", 0, ["5"])]
 
 
 def write_workbook(path, sheets):

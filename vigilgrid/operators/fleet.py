@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.relational import salted_join, split_position
+from ..functions.relational import ranked_position, salted_join
 from ..model import HOST
 
 CLUSTER = ("run_id", "signature_hash")
@@ -87,10 +87,7 @@ def rank_clusters(cluster_rows: DataFrame, k: int | None = None) -> DataFrame:
     if k is not None:
         rank = F.row_number().over(Window.partitionBy("run_id").orderBy(*order)).cast("bigint")
         return cluster_rows.withColumn("cluster_rank", rank).filter(F.col("cluster_rank") <= k)
-    ranges = F.struct(
-        -F.col("severity"), -F.col("affected_hosts"), F.substring("_lead_host", 1, 10)
-    )
-    return split_position(cluster_rows, ["run_id"], order, ranges, "cluster_rank", start=1)
+    return ranked_position(cluster_rows, ["run_id"], order, "cluster_rank", 1, "cluster-ranks")
 
 
 def previous_run(runs: DataFrame) -> DataFrame:

@@ -128,27 +128,23 @@ def resolve_header_by_labels(rows: DataFrame, wanted: DataFrame, search_rows: in
     return ranked.select("sheet_id", row.cast("bigint").alias("header_row"))
 
 
-def row_numbers(numbers: DataFrame, limit: int = 1000) -> list[int] | None:
-    """Distinct row numbers named by a small specification table; None where there are too many."""
-    found = numbers.distinct().limit(limit + 1).collect()
-    return [r[0] for r in found if r[0] is not None] if len(found) <= limit else None
+def rows_at(rows: DataFrame, wanted: DataFrame, top: int = 0) -> DataFrame:
+    """Rows named by ``wanted`` (``sheet_id, row_idx``) and the first ``top`` rows of every sheet.
 
-
-def rows_at(rows: DataFrame, numbers: DataFrame, top: int = 0) -> DataFrame:
-    """Rows that may be meant by ``numbers`` (one column) or are among the first ``top``.
-
-    The few distinct numbers become a filter that reaches the scan, so that only these rows, and not
-    whole sheets, take part in the join that follows. Too many numbers: no filter, same result.
+    A semi-join on sheet and row, whatever the number of wanted rows: the plan is the same for ten and
+    for ten million, and nothing is collected. Spark broadcasts the wanted keys if they are small, and
+    else prunes the rows by a Bloom filter of them before the exchange. Rows at the top come from a
+    filter that reaches the scan.
     """
-    wanted = row_numbers(numbers)
-    if wanted is None:
-        return rows
-    return rows.filter((F.col("row_idx") < top) | F.col("row_idx").isin(wanted))
+    keys = wanted.select("sheet_id", F.col("row_idx").cast("bigint").alias("row_idx"))
+    keys = keys.filter(F.col("row_idx") >= top).distinct()
+    named = rows.filter(F.col("row_idx") >= top).join(keys, ["sheet_id", "row_idx"], "left_semi")
+    return named if top <= 0 else rows.filter(F.col("row_idx") < top).unionByName(named)
 
 
 def apply_header_override(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     """Headers of the chosen row, renamed. ``overrides`` has ``sheet_id, header_row, renames``."""
-    near = rows_at(rows, overrides.select("header_row"))
+    near = rows_at(rows, overrides.select("sheet_id", F.col("header_row").alias("row_idx")))
     chosen = overrides.join(
         near.select("sheet_id", F.col("row_idx").alias("header_row"), "cells"), ["sheet_id", "header_row"], "left"
     )
@@ -164,13 +160,14 @@ def flatten_headers(rows: DataFrame, start: int, end: int) -> DataFrame:
     """
 
     def fill_right(cells: Column) -> Column:
+        # Each usable cell covers the places up to the next one, so a row of any width is filled in one pass.
         usable = F.transform(cells, lambda v: F.when(~C.blank(v) & (F.lower(strip(v)) != "nan"), strip(v)))
-        return F.transform(
-            usable,
-            lambda v, i: F.coalesce(
-                v, F.try_element_at(F.filter(F.slice(usable, 1, i + 1), lambda x: x.isNotNull()), F.lit(-1))
-            ),
+        placed = F.filter(
+            F.transform(usable, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda c: c["v"].isNotNull() | (c["i"] == 0)
         )
+        ends = F.concat(F.slice(F.transform(placed, lambda c: c["i"]), 2, F.size(cells)), F.array(F.size(cells)))
+        spans = F.zip_with(placed, ends, lambda c, end: F.array_repeat(c["v"], end - c["i"]))
+        return F.when(F.size(cells) > 0, F.flatten(spans)).otherwise(F.array().cast("array<string>"))
 
     header = rows.filter(F.col("row_idx").between(start, end))
     merged = header.groupBy("sheet_id").agg(

@@ -171,7 +171,7 @@ def extract_metadata(
     wanted = salted_join(sheet_recipes, cells, ["recipe_id"], ["sheet_id"], "inner").select(
         "sheet_id", "recipe_id", "ord", "target", F.col("row").cast("bigint").alias("row_idx"), "col", "data_type"
     )
-    near = rows if narrowed else rows_at(rows, cells.select("row"))
+    near = rows if narrowed else rows_at(rows, wanted)
     located = wanted.join(near, ["sheet_id", "row_idx"], "left")
     empty = F.array().cast("array<string>")
     return located.select(
@@ -191,13 +191,13 @@ def apply_recipe(rows: DataFrame, sheet_recipes: DataFrame, recipes: DataFrame,
     ``(target, data_type, number, date, text)`` in output order. A plan per sheet (column positions
     and cleaned metadata) is built from the top rows and joined to the data rows once.
     """
-    parsed = stage(parse_recipe_fields(fields).filter(F.col("kind").isNotNull()), "recipe-fields")
-    # Rows that may be headers or hold metadata, taken from the sheets in one scan.
-    explicit = recipes.select(F.col("header_row").try_cast("int").alias("row"))
-    named = explicit.union(parsed.filter(F.col("kind") == "metadata").select("row"))
-    near = rows_at(rows, named, top=LABEL_ROWS)
-    if near is not rows:
-        near = stage(near, "near-rows")
+    parsed = parse_recipe_fields(fields).filter(F.col("kind").isNotNull())
+    # Rows that may be headers or hold metadata.
+    explicit = recipes.select("recipe_id", F.col("header_row").try_cast("int").alias("row_idx"))
+    named = explicit.union(parsed.filter(F.col("kind") == "metadata").select("recipe_id", "row"))
+    named = named.filter(F.col("row_idx") >= LABEL_ROWS).distinct()
+    wanted_rows = salted_join(sheet_recipes, named, ["recipe_id"], ["sheet_id"], "inner")
+    near = stage(rows_at(rows, wanted_rows, top=LABEL_ROWS), "near-rows")
     column = F.struct("ord", "target", "column_name", "column_index", "data_type")
     by_recipe = (
         parsed.filter(F.col("kind") == "column")

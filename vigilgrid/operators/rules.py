@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.relational import first_per_group, split_position
+from ..functions.relational import first_per_group, ranked_position
 from ..model import HOST
-from ..session import stage
 
 
 @dataclass(frozen=True)
@@ -310,8 +309,8 @@ def incident_evidence(
 ) -> DataFrame:
     """Evidence rows of every incident, ranked in event order.
 
-    With ``limit`` only the first rows per incident are kept. Without it all are ranked; the ranks
-    are built from ranges of one minute, so a host with very many matches is not sorted by one task.
+    With ``limit`` only the first rows per incident are kept. Without it all are ranked, by ranges of
+    the whole order, so a host with very many matches is not sorted by one task.
     """
     matches = matched_events(events, rules, deduplicated)
     keys = [*HOST, "rule_no"]
@@ -319,10 +318,10 @@ def incident_evidence(
     if limit is None:
         # Redacted first: what is staged must not hold more than what is published.
         clean = text.redact_message(F.col("body.message"), redaction)
-        matches = stage(matches.withColumn("body", F.col("body").withField("message", clean)), "matched-events")
+        matches = matches.withColumn("body", F.col("body").withField("message", clean))
         redaction = "off"
-        fired = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= needed)
-        ranked = split_position(matches, keys, event_order(), minute_range(), "evidence_rank", start=1)
+        ranked = ranked_position(matches, keys, event_order(), "evidence_rank", 1, "matched-events")
+        fired = ranked.groupBy(*keys).agg(F.max("evidence_rank").alias("_n")).filter(F.col("_n") >= needed)
         kept = ranked.join(fired.drop("_n"), keys, "left_semi")
     else:
         # The first rows also tell whether the rule fired, as long as enough of them are kept.
@@ -348,7 +347,3 @@ def incident_evidence(
         F.col("body.record_id").alias("record_id"),
     )
 
-
-def minute_range(ts: str = "ts") -> Column:
-    """Minute of an event since the epoch; events without a usable time form the first range."""
-    return F.coalesce(F.floor(F.unix_micros(F.col(ts)) / F.lit(60_000_000)), F.lit(-(2**62)))

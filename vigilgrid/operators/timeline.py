@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.relational import split_position
+from ..functions.relational import ranked_position
 from ..model import HOST
-from .rules import dedup_events, event_order, minute_range
+from .rules import dedup_events, event_order
 
 
 def event_span(events: DataFrame, as_of: Column) -> DataFrame:
@@ -60,7 +60,7 @@ def host_user(snapshots: DataFrame) -> DataFrame:
 
 def order_events(events: DataFrame) -> DataFrame:
     """Position of each event in the timeline of its host, starting at 0."""
-    return split_position(events, list(HOST), event_order(), minute_range(), "event_seq")
+    return ranked_position(events, list(HOST), event_order(), "event_seq", label="event-order")
 
 
 def redact_events(

@@ -11,82 +11,86 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import SHEET_ROWS
+from . import large_csv
 from .snapshots import key_below
 
 
+# What a decoder gives: a row of a sheet, or why the sheet cannot be read (its cells are null then).
+DECODED = "sheet_id string, row_idx long, cells array<string>, error string"
+
+
 def _grid(sheet_id: str, rows: Iterator[list[str]], batch: int = 4096) -> Iterator[pd.DataFrame]:
-    """Rows of one sheet as pandas batches of fixed size."""
-    index, cells = [], []
-    for i, row in enumerate(rows):
-        index.append(i)
-        cells.append(row)
-        if len(index) == batch:
-            yield pd.DataFrame({"sheet_id": sheet_id, "row_idx": index, "cells": cells})
-            index, cells = [], []
+    """Rows of one sheet as pandas batches of fixed size; an error while they are read becomes the last row."""
+    index, cells, error = [], [], None
+    try:
+        for i, row in enumerate(rows):
+            index.append(i)
+            cells.append(row)
+            if len(index) == batch:
+                yield pd.DataFrame({"sheet_id": sheet_id, "row_idx": index, "cells": cells, "error": None})
+                index, cells = [], []
+    except Exception as reason:
+        error = _said(reason)
     if index:
-        yield pd.DataFrame({"sheet_id": sheet_id, "row_idx": index, "cells": cells})
+        yield pd.DataFrame({"sheet_id": sheet_id, "row_idx": index, "cells": cells, "error": None})
+    if error:
+        yield _failed(sheet_id, error)
 
 
-def scan_sheets_csv(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+def _said(reason: Exception) -> str:
+    if isinstance(reason, UnicodeDecodeError):
+        return f"not UTF-8: {reason.reason}"
+    return f"{type(reason).__name__}: {reason}"
+
+
+def _failed(sheet_id: str, error: str) -> pd.DataFrame:
+    return pd.DataFrame({"sheet_id": [sheet_id], "row_idx": [-1], "cells": [None], "error": [error]})
+
+
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return found.select(key_below(F.col("path"), path).alias("file"), "content")
+
+
+def readable_rows(decoded: DataFrame) -> DataFrame:
+    """Rows of the sheets that could be read as a whole."""
+    rows = decoded.filter(F.col("error").isNull()).drop("error")
+    return rows.join(sheet_errors(decoded), "sheet_id", "left_anti").select("sheet_id", "row_idx", "cells")
+
+
+def sheet_errors(decoded: DataFrame) -> DataFrame:
+    """``sheet_id, error``: one row per sheet that could not be read; a job goes on without it."""
+    failed = decoded.filter(F.col("error").isNotNull())
+    return failed.groupBy("sheet_id").agg(F.min("error").alias("error"))
+
+
+def decode_sheets_csv(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """Many small CSV files, one sheet per file; every cell is text and blank lines count as rows."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select(key_below(F.col("path"), path).alias("sheet_id"), "content")
-    )
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files_ in batches:
-            for sheet_id, content in zip(files_["sheet_id"], files_["content"]):
-                text = io.StringIO(content.decode("utf-8"), newline="")
+            for sheet_id, content in zip(files_["file"], files_["content"]):
+                try:
+                    text = io.StringIO(content.decode("utf-8"), newline="")
+                except UnicodeDecodeError as reason:
+                    yield _failed(sheet_id, _said(reason))
+                    continue
                 yield from _grid(sheet_id, csv.reader(text))
 
-    return files.mapInPandas(decode, SHEET_ROWS)
-
+    return _files(spark, path, pattern).mapInPandas(decode, DECODED)
 
-def csv_cells(line: Column) -> Column:
-    """Cells of one CSV line: quoted cells may hold commas and doubled quotes."""
-    quoted = '"[^"]*(?:""[^"]*)*"[^,]*'
-    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(f",({quoted}|[^,]*)"), F.lit(1))
 
-    def unquote(cell: Column) -> Column:
-        inner = F.regexp_replace(cell, r'^"([^"]*(?:""[^"]*)*)"(.*)$', "$1$2")
-        return F.when(cell.startswith('"'), F.regexp_replace(inner, '""', '"')).otherwise(cell)
-
-    empty = F.array().cast("array<string>")
-    return F.when(F.length(line) == 0, empty).otherwise(F.transform(raw, unquote))
+def scan_sheets_csv(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """Rows of ``decode_sheets_csv`` without the sheets that cannot be read."""
+    return readable_rows(decode_sheets_csv(spark, path, pattern))
 
 
 def scan_large_csv(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """CSV files that are too large for one task, with lines as records; blank lines count as rows.
-
-    Files are split by block. Rows are numbered inside their block and shifted by the line counts of
-    the blocks before it, so no task sees a whole file.
-    """
-    lines = (
-        spark.read.option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True)
-        .text(path)
-        .select(
-            key_below(F.col("_metadata.file_path"), path).alias("sheet_id"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_seq"),
-            csv_cells(F.col("value")).alias("cells"),
-        )
-    )
-    block = Window.partitionBy("sheet_id", "_block").orderBy("_seq")
-    local = lines.withColumn("_local", F.row_number().over(block))
-    counts = lines.groupBy("sheet_id", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("sheet_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("sheet_id", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    row_idx = (F.col("_offset") + F.col("_local") - 1).cast("bigint")
-    return local.join(offsets, ["sheet_id", "_block"]).select("sheet_id", row_idx.alias("row_idx"), "cells")
+    """CSV files of any size, split between tasks, also inside quoted line breaks; see ``large_csv``."""
+    return readable_rows(large_csv.decode(spark, path, pattern))
 
 
 # Names of the parts and tags of an Office Open XML workbook.
@@ -176,27 +180,28 @@ def _sheet_rows(book: zipfile.ZipFile, part: str, shared: list[str], dates: set[
             row.clear()
 
 
-def scan_workbooks(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """Workbooks (.xlsx) of a folder as cell grids keyed ``<file>#<sheet>``.
+def decode_workbooks(spark: SparkSession, path: str, sheet: str | None = None, pattern: str = "*.xlsx") -> DataFrame:
+    """Workbooks of a folder as cell grids keyed ``<file>#<sheet>``, decoded by tasks, one file at a time.
 
-    ``sheet``: a sheet name, ``*`` for all, or None for the first one. Files are decoded by tasks,
-    one file at a time.
+    ``sheet``: a sheet name, ``*`` for all, or None for the first one. A file that is no workbook has an
+    error under its own name, a broken sheet under the name of the sheet.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.xlsx")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select(key_below(F.col("path"), path).alias("file"), "content")
-    )
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files_ in batches:
             for file, content in zip(files_["file"], files_["content"]):
-                for name, rows in _workbook_rows(content, sheet):
-                    yield from _grid(f"{file}#{name}", rows)
+                try:
+                    for name, rows in _workbook_rows(content, sheet):
+                        yield from _grid(f"{file}#{name}", rows)
+                except Exception as reason:  # whatever is wrong with a file, the others are read
+                    yield _failed(file, _said(reason))
+
+    return _files(spark, path, pattern).mapInPandas(decode, DECODED)
 
-    return files.mapInPandas(decode, SHEET_ROWS)
+
+def scan_workbooks(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """Rows of ``decode_workbooks`` without the sheets that cannot be read."""
+    return readable_rows(decode_workbooks(spark, path, sheet))
 
 
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
