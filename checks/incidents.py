@@ -182,7 +182,12 @@ def explode_events(spark, sf):
     """,
 )
 def scan_tickets(spark, sf):
-    return ingest.tickets_by_host(tb.tickets(spark, sf)).select(*HOST, "ticket_id")
+    """Tickets written as documents, one folder per run, and read back."""
+    path = _scratch(spark, "tickets")
+    body = F.to_json(F.struct("ticket_id", "host_id", "subject"))
+    tb.tickets(spark, sf).select("run_id", body.alias("value")).write.partitionBy("run_id").text(path)
+    found = docs.scan_tickets(spark, path, layout="lines")
+    return ingest.tickets_by_host(found).select(*HOST, "ticket_id")
 
 
 @query(

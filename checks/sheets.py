@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -515,16 +519,26 @@ def parse_recipe_fields(spark, sf):
     return parsed.withColumns({name: shown(name) for name in ("row", "col", "column_index")})
 
 
+def _worse_recipe_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The seven fields with a cell instead of the price column in every third recipe, and no such field in every ninth."""
+    n = F.substring("recipe_id", 8, 20).cast("bigint")
+    third, ninth = (F.col("ord") == 2) & (n % 3 == 1), F.col("ord").isin(1, 2) & (n % 9 == 1)
+    pointer = F.when(ninth, "[1]").when(third, '{"row": 0, "col": 2}').otherwise(F.col("source_pointer"))
+    return _recipe_fields(spark, sf).withColumns(
+        {"source_pointer": pointer, "source_type": F.when(third, "metadata").otherwise(F.col("source_type"))}
+    )
+
+
 @query(
     "recipe_problems",
     """
-    SELECT 'recipe-' || c_custkey AS recipe_id, CASE WHEN c_custkey % 8 = 7 THEN 'Manual recipe has no usable fields.'
+    SELECT 'recipe-' || c_custkey AS recipe_id, CASE WHEN c_custkey % 8 = 7 AND c_custkey % 9 = 1 THEN 'Manual recipe has no usable fields.'
       ELSE 'Manual recipe must include at least one column field to build a table.' END AS problem
-    FROM customer WHERE c_custkey % 8 IN (6, 7)
+    FROM customer WHERE c_custkey % 8 IN (6, 7) AND c_custkey % 3 = 1
     """,
 )
 def recipe_problems(spark, sf):
-    return mapping.recipe_problems(mapping.parse_recipe_fields(_recipe_fields(spark, sf).filter("ord = 0")))
+    return mapping.recipe_problems(mapping.parse_recipe_fields(_worse_recipe_fields(spark, sf)))
 
 
 def _recipes(spark: SparkSession, sf: str) -> DataFrame:
@@ -792,6 +806,71 @@ def scan_large_csv(spark, sf):
     return found.select(F.url_decode(F.regexp_replace(name, r"\+", "%2B")).alias("priority"), "row_idx", joined("cells", "#").alias("cells"))
 
 
+@query(
+    "scan_quoted_csv",
+    """
+    SELECT o_orderpriority AS priority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS row_idx,
+           CAST(o_orderkey AS VARCHAR) || '#' || repeat('"' || chr(10) || ',', CAST(o_orderkey % 7 AS INTEGER)) || o_orderstatus || '#' || 'a"b' AS cells
+    FROM orders
+    """,
+)
+def scan_quoted_csv(spark, sf):
+    """Orders as one large CSV file per priority, with line breaks, commas and quotes inside quoted cells."""
+    path = _scratch(spark, "quoted-csv")
+    broken = F.concat(F.expr("repeat('\"\n,', CAST(o_orderkey % 7 AS INT))"), "o_orderstatus")
+    cells = F.array(F.col("o_orderkey").cast("string"), broken)
+    rows = tb.table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", cells.alias("cells"))
+    lines = rows.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey")
+    # A quote inside an unquoted cell opens nothing.
+    line = F.concat(_csv_line(), F.lit(',a"b'))
+    lines.select("o_orderpriority", line.alias("value")).write.partitionBy("o_orderpriority").text(path)
+    found = files.scan_large_csv(spark, path, pattern="*.txt")
+    name = F.regexp_extract("sheet_id", "o_orderpriority=([^/]+)", 1)
+    return found.select(F.url_decode(F.regexp_replace(name, r"\\+", "%2B")).alias("priority"), "row_idx", joined("cells", "#").alias("cells"))
+
+
+def _workbooks(part: pd.DataFrame) -> pd.DataFrame:
+    """One workbook with two sheets; every seventh file is cut off in the middle."""
+    number = int(part["part"].iloc[0])
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rows = "".join(
+        f'<row r="{2 * i + 1}"><c r="A{2 * i + 1}"><v>{key}</v></c><c r="C{2 * i + 1}" t="inlineStr"><is><t>{escape(name)}</t></is></c></row>'
+        for i, (key, name) in enumerate(zip(part["c_custkey"], part["c_name"]))
+    )
+    listed = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in ((1, "first"), (2, "empty")))
+    targets = "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in (1, 2))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{listed}</sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{targets}</Relationships>")
+        book.writestr("xl/worksheets/s1.xml", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
+        book.writestr("xl/worksheets/s2.xml", f'<worksheet xmlns="{main}"><sheetData/></worksheet>')
+    content = out.getvalue()
+    return pd.DataFrame({"file": [f"part-{number}.xlsx"], "content": [content[: len(content) // 2] if number % 7 == 3 else content]})
+
+
+@query(
+    "scan_workbooks",
+    """
+    WITH parted AS (SELECT c_custkey // 100 AS part, c_custkey, c_name, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) - 1 AS i FROM customer)
+    SELECT 'part-' || part || '.xlsx#first' AS sheet_id, 2 * i AS row_idx, c_custkey || '##' || c_name AS cells, '' AS error FROM parted WHERE part % 7 <> 3
+    UNION ALL SELECT 'part-' || part || '.xlsx#first', 2 * i + 1, '', '' FROM parted
+      WHERE part % 7 <> 3 QUALIFY i < max(i) OVER (PARTITION BY part)
+    UNION ALL SELECT DISTINCT 'part-' || part || '.xlsx', -1, '', 'BadZipFile' FROM parted WHERE part % 7 = 3
+    """,
+)
+def scan_workbooks(spark, sf):
+    """Customers as workbooks with a blank row after each, decoded; files that are cut off give an error row."""
+    parted = tb.table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 100).alias("part"), "c_custkey", "c_name")
+    books = parted.groupBy("part").applyInPandas(lambda p: _workbooks(p.sort_values("c_custkey")), "file string, content binary")
+    decoded = stage(files.workbook_rows(books, "*"), "workbooks")
+    rows = files.readable_rows(decoded).select("sheet_id", "row_idx", joined("cells", "#").alias("cells"), F.lit("").alias("error"))
+    kind = F.regexp_extract("error", "^[A-Za-z]+", 0).alias("error")
+    failed = files.sheet_errors(decoded).select("sheet_id", F.lit(-1).cast("long").alias("row_idx"), F.lit("").alias("cells"), kind)
+    return rows.unionByName(failed)
+
+
 @query(
     "scan_sheets_csv",
     """
@@ -835,7 +914,7 @@ def write_clean_table(spark, sf):
     "continue_sheets",
     """
     SELECT s.sheet_id, CASE WHEN n % 7 = 0 THEN 'recipe' WHEN n % 7 = 1 THEN 'override' ELSE 'confirmation' END AS header_source,
-      CASE WHEN n % 7 = 0 THEN CASE WHEN n % 8 IN (6, 7) THEN 'fix_manual_recipe' ELSE 'review_artifacts' END
+      CASE WHEN n % 7 = 0 THEN CASE WHEN n % 8 IN (6, 7) AND n % 3 = 1 THEN 'fix_manual_recipe' ELSE 'review_artifacts' END
            WHEN n % 7 = 1 THEN 'review_artifacts'
            WHEN n % 3 = 0 AND hc.row_idx IS NOT NULL THEN 'review_artifacts' ELSE 'write_human_confirmation' END AS next_step
     FROM (SELECT DISTINCT 'sheet-' || o_custkey AS sheet_id, o_custkey AS n FROM orders) s
@@ -852,6 +931,6 @@ def continue_sheets(spark, sf):
         _confirmations(spark, sf),
         _overrides(spark, sf).filter(n % 7 == 1),
         _sheet_recipes(spark, sf).filter(n % 7 == 0),
-        _recipe_fields(spark, sf).filter("ord = 0"),
+        _worse_recipe_fields(spark, sf),
     )
     return found.select("sheet_id", "header_source", "next_step")

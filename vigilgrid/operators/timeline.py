@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.relational import ranked_position
+from ..functions.relational import ranked_position, salted_join
 from ..model import HOST
 from .rules import dedup_events, event_order
 
@@ -90,9 +90,15 @@ def host_severity(hosts: DataFrame, incidents: DataFrame) -> DataFrame:
 
 
 def attach_tickets(hosts: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Hosts with their tickets, one row per ticket; hosts without any keep one row."""
+    """Hosts with their tickets, one row per ticket; hosts without any keep one row.
+
+    Tickets without a host share one name, which may be most of them, so a host's tickets are spread.
+    """
     columns = [c for c in tickets.columns if c not in HOST]
-    return hosts.select(*HOST).join(tickets.select(*HOST, *columns), list(HOST), "left")
+    known = hosts.select(*HOST)
+    matched = salted_join(tickets.select(*HOST, *columns), known, list(HOST), ["ticket_id"], "inner")
+    rest = known.join(tickets.select(*HOST).distinct(), list(HOST), "left_anti")
+    return matched.select(*HOST, *columns).unionByName(rest, allowMissingColumns=True)
 
 
 def host_timeline(windows: DataFrame, events: DataFrame, incidents: DataFrame) -> DataFrame:

@@ -180,8 +180,8 @@ def _sheet_rows(book: zipfile.ZipFile, part: str, shared: list[str], dates: set[
             row.clear()
 
 
-def decode_workbooks(spark: SparkSession, path: str, sheet: str | None = None, pattern: str = "*.xlsx") -> DataFrame:
-    """Workbooks of a folder as cell grids keyed ``<file>#<sheet>``, decoded by tasks, one file at a time.
+def workbook_rows(contents: DataFrame, sheet: str | None = None) -> DataFrame:
+    """Cell grids of workbooks (``file, content``) keyed ``<file>#<sheet>``, decoded by tasks, one file at a time.
 
     ``sheet``: a sheet name, ``*`` for all, or None for the first one. A file that is no workbook has an
     error under its own name, a broken sheet under the name of the sheet.
@@ -196,7 +196,12 @@ def decode_workbooks(spark: SparkSession, path: str, sheet: str | None = None, p
                 except Exception as reason:  # whatever is wrong with a file, the others are read
                     yield _failed(file, _said(reason))
 
-    return _files(spark, path, pattern).mapInPandas(decode, DECODED)
+    return contents.select("file", "content").mapInPandas(decode, DECODED)
+
+
+def decode_workbooks(spark: SparkSession, path: str, sheet: str | None = None, pattern: str = "*.xlsx") -> DataFrame:
+    """``workbook_rows`` of the workbooks in a folder."""
+    return workbook_rows(_files(spark, path, pattern), sheet)
 
 
 def scan_workbooks(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
