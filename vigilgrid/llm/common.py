@@ -14,7 +14,7 @@ from ..session import stage
 
 SLICE_ROWS = 128  # rows whose texts are Python objects at one time
 
-__all__ = ["SLICE_ROWS", "append_values", "crc_bucket", "fresh_name", "map_texts", "numbers", "partitions", "smallest_hashes", "stage", "table"]
+__all__ = ["SLICE_ROWS", "append_values", "crc_bucket", "fresh_name", "map_texts", "numbers", "partitions", "smallest_hashes", "stage", "stage_small", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,23 @@ def partitions(spark: SparkSession) -> int:
 Make = Callable[[], Callable[[list], tuple]]
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def stage_small(df: DataFrame, label: str, batch: str = "8m") -> DataFrame:
+    """``stage`` with a bound on the bytes that a task and its Python worker exchange at one time.
+
+    Batches are bounded by rows otherwise, which for rows of many bytes is much memory on both sides.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, batch)
+    try:
+        return stage(df, label)
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 def append_values(df: DataFrame, column: str, fields: list[tuple[str, DataType]], make: Make) -> DataFrame:
     """Rows of ``df`` with the values that a function finds for ``column``; null counts as empty.
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import first_per_group, ranked_position, salted_join
-from .common import stage
+from .common import stage, stage_small
 
 LEAST = 100  # occurrences of a phrase
 LONGEST = 5  # words
@@ -43,7 +43,8 @@ SIDE = 1 << SIDE_BITS
 CORNER = 64  # tiles in either direction that may be dense
 DENSE = SIDE * SIDE // 4  # pairs of a tile from which on it is counted by direct address
 PAIRS = 1 << 20  # counted at one time
-BLOCK = 1 << 16  # places of a block of texts, unless one text has more
+BLOCK = 1 << 13  # places of a block of texts, unless one text has more; small, as a page of a file holds 100 blocks or more
+SENT_ROWS = 1 << 14  # of a batch that leaves a task
 COUNTED_WORDS = 200_000  # distinct words that a task counts at one time
 SALTS = 64  # parts of a language's phrases that are ranked on their own first
 
@@ -137,9 +138,10 @@ def pair_counts(blocks: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def flushed() -> pa.RecordBatch:
-            pairs = [np.concatenate(side) for side in zip(*held)]
-            return pa.RecordBatch.from_arrays([pa.array(column) for column in count_pairs(*pairs)], names=["a", "b", "n"])
+        def flushed() -> Iterator[pa.RecordBatch]:
+            counted = count_pairs(*[np.concatenate(side) for side in zip(*held)])
+            for start in range(0, len(counted[0]), SENT_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(column[start : start + SENT_ROWS]) for column in counted], names=["a", "b", "n"])
 
         for batch in batches:
             for value in batch.column(0):
@@ -151,23 +153,23 @@ def pair_counts(blocks: DataFrame, kind: str) -> DataFrame:
                     held.append((a[both], b[both]))
                     size += len(held[-1][0])
                     if size >= PAIRS:
-                        yield flushed()
+                        yield from flushed()
                         held, size = [], 0
         if size:
-            yield flushed()
+            yield from flushed()
 
     return blocks.select("ids").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def numbered(units: DataFrame, keys: list[str], least: int, label: str) -> DataFrame:
     """Units that occur ``least`` times or more, numbered from 0 by frequency."""
-    frequent = stage(units.filter(F.col("n") >= least), f"{label}-frequent")
+    frequent = stage_small(units.filter(F.col("n") >= least), f"{label}-frequent")
     return stage(ranked_position(frequent, [], [F.col("n").desc(), *map(F.col, keys)], "id", label=f"{label}-ranks"), label)
 
 
 def _with_tail(found: DataFrame, units: DataFrame, keys: list[str], head: int, kind: str, label: str) -> DataFrame:
     """Blocks whose unknown units are looked up among the units beyond the head."""
-    found = stage(found.withColumn("block", F.monotonically_increasing_id()), f"{label}-open")
+    found = stage_small(found.withColumn("block", F.monotonically_increasing_id()), f"{label}-open")
     asked = found.select("block", F.posexplode("unknown").alias("at", "unit")).select("block", "at", "unit.*")
     tail = units.filter(F.col("id") >= head).select(*keys, "id")
     known = asked.join(tail, keys).groupBy(F.col("block").alias("_block"))
@@ -229,7 +231,7 @@ def text_blocks(docs: DataFrame, words: DataFrame, text: str, lang: str, head: i
 
     found = _source(docs, text, lang).mapInArrow(run, "ids binary, unknown array<struct<lang:string,word:string>>")
     done = _with_tail(found, words, ["lang", "word"], head, kind, "phrase-words") if more else found.select("ids")
-    return stage(done, "phrase-blocks-1")
+    return stage_small(done, "phrase-blocks-1")
 
 
 def pair_blocks(blocks: DataFrame, old_kind: str, pairs: DataFrame, head: int, label: str) -> DataFrame:
@@ -269,7 +271,7 @@ def pair_blocks(blocks: DataFrame, old_kind: str, pairs: DataFrame, head: int, l
 
     found = blocks.mapInArrow(run, "ids binary, unknown array<struct<a:bigint,b:bigint>>")
     done = _with_tail(found, pairs, ["a", "b"], head, kind, label) if more else found.select("ids")
-    return stage(done, f"{label}-blocks")
+    return stage_small(done, f"{label}-blocks")
 
 
 def _described(pairs: DataFrame, units: DataFrame) -> DataFrame:
@@ -320,7 +322,7 @@ def collocations(
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the best phrases of each language."""
     told = F.col("word").isNull()
-    counts = stage(word_counts(docs, text, lang).filter(told | (F.col("n") >= least)), "phrase-counts")
+    counts = stage_small(word_counts(docs, text, lang).filter(told | (F.col("n") >= least)), "phrase-counts")
     words = numbered(counts.filter(~told), ["lang", "word"], least, "phrase-words")
     totals = counts.filter(told).select("lang", F.col("n").alias("total"))
     units = salted_join(words, totals, ["lang"], ["id"], "inner").select(
