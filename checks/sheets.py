@@ -17,7 +17,7 @@ from vigilgrid.operators import grid, ledger, mapping, profile
 from vigilgrid.plans import onboarding
 from vigilgrid.session import stage, staging_root
 from vigilgrid.sources import sheets as files
-from vigilgrid.sources import sinks
+from vigilgrid.sources import sheet_store, sinks
 from vigilgrid.sources import testbed as tb
 
 from .catalog import joined, query, shown
@@ -934,3 +934,80 @@ def continue_sheets(spark, sf):
         _worse_recipe_fields(spark, sf),
     )
     return found.select("sheet_id", "header_source", "next_step")
+
+
+@query(
+    "run_onboarding_flow",
+    """
+    SELECT * FROM (
+    WITH s AS (SELECT DISTINCT 'sheet-' || o_custkey AS sheet_id, o_custkey AS n, o_custkey % 8 AS m FROM orders),
+    told AS (
+      SELECT s.*, CASE WHEN n % 7 = 0 THEN 'recipe' WHEN n % 7 = 1 THEN 'override'
+          WHEN n % 3 = 0 THEN CASE WHEN hc.row_idx IS NULL THEN 'unknown' ELSE 'confirmed' END WHEN n % 3 = 1 THEN 'unknown' ELSE 'none' END AS way,
+        bh.looks, CASE WHEN n % 7 <> 1 THEN 1 WHEN n % 10 = 0 THEN 99999 ELSE n % 2 END AS header_row
+      FROM s JOIN bh ON bh.sheet_id = s.sheet_id LEFT JOIN hc ON hc.sheet_id = s.sheet_id AND hc.row_idx = 1
+    ), cut AS (
+      SELECT told.sheet_id, n, header_row, len(h.cells) AS width, d.row_idx,
+        list_transform(range(1, len(h.cells) + 1), lambda i: coalesce(d.cells[i], '')) AS cells
+      FROM told JOIN sr h ON h.sheet_id = told.sheet_id AND h.row_idx = header_row
+      LEFT JOIN sr d ON d.sheet_id = told.sheet_id AND d.row_idx > header_row
+      WHERE way IN ('override', 'confirmed')
+    ), by_recipe AS (
+      SELECT told.sheet_id, n, m, sr.row_idx, list_filter([
+          CASE WHEN m <= 5 THEN CASE WHEN n % 4 = 2 THEN '' ELSE sr.cells[2] END END,
+          CASE WHEN n % 4 = 2 THEN '' ELSE CAST(CAST(substr(sr.cells[3], 5) AS DOUBLE) AS VARCHAR) END,
+          CASE WHEN n % 5 = 1 AND m = 6 THEN strftime(title, '%Y-%m-%d') END,
+          CASE WHEN n % 5 IN (0, 1) THEN strftime(title, '%Y-%m-%d') END, CASE WHEN n % 5 = 0 THEN '' END], lambda v: v IS NOT NULL) AS cells
+      FROM told JOIN (SELECT o_custkey, max(o_orderdate) AS title FROM orders GROUP BY 1) t ON t.o_custkey = told.n
+      LEFT JOIN sr ON sr.sheet_id = told.sheet_id AND sr.row_idx > CASE WHEN n % 3 = 0 THEN 1 WHEN n % 4 = 2 THEN 0 ELSE 1 END
+      WHERE way = 'recipe'
+    ), found AS (
+      SELECT sheet_id, '1' AS attempt, count(row_idx) AS rows_written, any_value(width) AS n_columns,
+        CASE WHEN count(row_idx) > 0 AND NOT (any_value(header_row) = 0 AND any_value(n) % 4 <> 2) THEN 1 ELSE 0 END AS n_numbers,
+        coalesce(sum(length(array_to_string(cells, '|'))) FILTER (WHERE row_idx IS NOT NULL), 0) AS chars
+      FROM cut GROUP BY sheet_id
+      UNION ALL
+      SELECT sheet_id, '2', count(row_idx), CASE WHEN any_value(m) <= 5 THEN 2 ELSE 1 END
+          + CASE any_value(n) % 5 WHEN 0 THEN 2 WHEN 1 THEN CASE WHEN any_value(m) = 6 THEN 2 ELSE 1 END ELSE 0 END,
+        1, coalesce(sum(length(array_to_string(cells, '|'))) FILTER (WHERE row_idx IS NOT NULL), 0)
+      FROM by_recipe GROUP BY sheet_id
+    )
+    SELECT told.sheet_id,
+      CASE way WHEN 'recipe' THEN 'review_artifacts' WHEN 'confirmed' THEN 'review_artifacts' WHEN 'unknown' THEN 'write_human_confirmation'
+        WHEN 'override' THEN CASE WHEN header_row = 99999 THEN 'review_gate' ELSE 'review_artifacts' END
+        ELSE CASE WHEN looks THEN 'provide_confirmed_header_candidate' ELSE 'continue_to_schema' END END AS first_step,
+      CASE WHEN way = 'recipe' THEN 'ok' WHEN looks THEN 'needs_human_confirmation' ELSE 'header_selection_ok' END AS last_status,
+      coalesce(way = 'recipe', false) AS recalled, coalesce(attempt, '') AS published, coalesce(rows_written, -1) AS rows_written,
+      CAST(coalesce(n_columns, 0) AS BIGINT) AS n_columns, CAST(coalesce(n_numbers, 0) AS BIGINT) AS n_numbers, CAST(coalesce(chars, 0) AS BIGINT) AS chars
+    FROM told LEFT JOIN found ON found.sheet_id = told.sheet_id)
+    """,
+)
+def run_onboarding_flow(spark, sf):
+    """Two jobs over all sheets: one with what people decided, one with nothing but the recipes it left."""
+    rows = stage(_rows(spark, sf), "sheet-rows")
+    n = F.substring("sheet_id", 7, 20).cast("bigint")
+    told = onboarding.Decisions(
+        confirmations=_confirmations(spark, sf),
+        overrides=_overrides(spark, sf).filter(n % 7 == 1),
+        sheet_recipes=_sheet_recipes(spark, sf).filter(n % 7 == 0),
+        recipes=_recipes(spark, sf),
+        fields=_recipe_fields(spark, sf),
+    )
+    root = _scratch(spark, "onboarding")
+    for attempt, decided in (("1", told), ("2", None)):
+        onboarding.run_onboarding_flow(rows, root, F.lit(tb.AS_OF).cast("timestamp"), decided, attempt=attempt)
+    ledger_rows = sheet_store.read_all(spark, root, sheet_store.LEDGER)
+    first = ledger_rows.filter("attempt = '1'").select("sheet_id", F.col("next_step").alias("first_step"))
+    last = sheet_store.last_states(spark, root).select(
+        "sheet_id", F.col("status").alias("last_status"), F.coalesce(F.col("recipe_key").startswith("1/"), F.lit(False)).alias("recalled")
+    )
+    shown_ = F.length(F.array_join("cells", "|")).cast("bigint")
+    clean = sheet_store.read(spark, root, "clean").groupBy("sheet_id").agg(F.sum(shown_).alias("chars"))
+    schema = sheet_store.read(spark, root, "schema").groupBy("sheet_id").agg(
+        F.count(F.lit(1)).alias("n_columns"), F.count_if(F.col("dtype") == "number").alias("n_numbers")
+    )
+    manifest = sheet_store.read(spark, root, "manifest").select("sheet_id", F.col("attempt").alias("published"), "rows_written")
+    joined_ = first.join(last, "sheet_id")
+    for part in (manifest, schema, clean):
+        joined_ = joined_.join(part, "sheet_id", "left")
+    return joined_.fillna({"published": "", "rows_written": -1, "n_columns": 0, "n_numbers": 0, "chars": 0})

@@ -92,6 +92,70 @@ RUN_LEDGER = T.StructType(
 
 RUN_SCHEMAS = T.StructType(_text("name", "attempt", "ddl"))
 
+_CELLS = T.ArrayType(T.StringType())
+_AT = T.StructField("at", T.TimestampType())
+
+# Tables of the onboarding flow, by name; ``attempt`` is the partition column of all.
+SHEET_TABLES = {
+    "clean": T.StructType(
+        [
+            *_text("sheet_id"),
+            T.StructField("row_idx", T.LongType()),
+            T.StructField("headers", _CELLS),
+            T.StructField("cells", _CELLS),
+            *_text("attempt"),
+        ]
+    ),
+    "schema": T.StructType(
+        [
+            *_text("sheet_id"),
+            T.StructField("out_idx", T.IntegerType()),
+            *_text("source", "canonical", "dtype"),
+            T.StructField("required", T.BooleanType()),
+            *_text("schema_layer", "attempt"),
+        ]
+    ),
+    "metadata": T.StructType([*_text("sheet_id"), T.StructField("ord", T.IntegerType()), *_text("target", "value", "attempt")]),
+    "manifest": T.StructType(
+        [*_text("sheet_id", "saved_uri"), T.StructField("rows_written", T.LongType()), _AT, *_text("attempt")]
+    ),
+    "audit": T.StructType(
+        [
+            *_text("sheet_id"),
+            T.StructField("seq", T.IntegerType()),
+            *_text("event"),
+            _AT,
+            T.StructField("meta", T.MapType(T.StringType(), T.StringType())),
+            *_text("attempt"),
+        ]
+    ),
+    "recipes": T.StructType(
+        [
+            *_text("recipe_key", "header_row"),
+            T.StructField("merge_fields", _CELLS),
+            T.StructField("merge_all", T.BooleanType()),
+            *_text("attempt"),
+        ]
+    ),
+    "recipe_fields": T.StructType(
+        [
+            *_text("recipe_key"),
+            T.StructField("ord", T.IntegerType()),
+            *_text("target", "source_pointer", "source_type", "data_type", "attempt"),
+        ]
+    ),
+    "recipe_index": T.StructType(
+        [*_text("structural_hash", "recipe_key"), T.StructField("stored_at", T.TimestampType()), *_text("source_run_id", "attempt")]
+    ),
+    "sheet_ledger": T.StructType(
+        [
+            *_text("sheet_id", "status", "next_step", "message", "header_source", "structural_hash", "recipe_key"),
+            _AT,
+            *_text("attempt"),
+        ]
+    ),
+}
+
 # Enumerations of the document formats.
 LEVELS = ("Critical", "Error", "Warning", "Information", "Verbose")
 COLLECTOR_METHODS = ("local_script", "winrm", "intune_export", "edr_api", "simulated", "other")

@@ -288,6 +288,42 @@ def _merge_list(no_meta: Column) -> Column:
     return F.transform(names, entry)
 
 
+def shown_value(value: Column) -> Column:
+    """Text of one output value: numbers as doubles, dates by day, nothing as empty."""
+    return F.coalesce(value["text"], value["number"].cast("string"), F.date_format(value["date"], "yyyy-MM-dd"), F.lit(""))
+
+
+def recipe_schema(sheet_recipes: DataFrame, recipes: DataFrame, parsed: DataFrame, clean: DataFrame) -> DataFrame:
+    """Schema rows of the tables that recipes made: columns in field order, then the merged metadata.
+
+    A column is required if no row of the sheet leaves it blank; ``clean`` has the rows that were written.
+    """
+    ordered = F.struct("ord", "target", F.coalesce("column_name", F.concat(F.lit("col_"), F.col("column_index"))).alias("source"), "data_type")
+    kinds = parsed.groupBy("recipe_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "column", ordered))).alias("_columns"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "metadata", ordered))).alias("_meta"),
+    )
+    targets = F.transform("_meta", lambda m: m["target"])
+    empty = F.array().cast("array<string>")
+    listed = F.coalesce("merge_fields", empty)
+    merged = F.when((F.size(listed) == 0) & F.coalesce("merge_all", F.lit(False)), targets).otherwise(listed)
+
+    def merged_field(name: Column) -> Column:
+        found = F.try_element_at(F.filter("_meta", lambda m: m["target"] == name), F.lit(-1))
+        return F.struct(name.alias("target"), name.alias("source"), F.coalesce(found["data_type"], F.lit("string")).alias("data_type"))
+
+    columns = F.transform("_columns", lambda c: F.struct(c["target"].alias("target"), c["source"].alias("source"), c["data_type"].alias("data_type")))
+    plans = recipes.join(kinds, "recipe_id").select("recipe_id", F.concat(columns, F.transform(merged, merged_field)).alias("_fields"))
+    per_sheet = salted_join(sheet_recipes, plans, ["recipe_id"], ["sheet_id"], "inner")
+    fields = per_sheet.select("sheet_id", F.posexplode("_fields").alias("out_idx", "_f"))
+    cells = clean.join(sheet_recipes.select("sheet_id"), "sheet_id", "left_semi").select("sheet_id", F.posexplode("cells").alias("out_idx", "_v"))
+    filled = cells.groupBy("sheet_id", "out_idx").agg(F.bool_and(~C.blank(F.col("_v"))).alias("_full"))
+    return fields.join(filled, ["sheet_id", "out_idx"], "left").select(
+        "sheet_id", "out_idx", F.col("_f.source").alias("source"), F.col("_f.target").alias("canonical"), F.col("_f.data_type").alias("dtype"),
+        F.coalesce("_full", F.lit(False)).alias("required"), F.lit("manual_recipe").alias("schema_layer"),
+    )
+
+
 def wide(values: DataFrame, targets: Sequence[tuple[str, str]]) -> DataFrame:
     """Typed columns from ``values`` for the targets of one recipe: ``(name, type)`` pairs."""
     slot = {"number": "number", "date": "date"}

@@ -79,6 +79,29 @@ def infer_schema_with_dates(rows: DataFrame, header_row: Column) -> DataFrame:
     )
 
 
+def table_schema(tables: DataFrame, headers: DataFrame) -> DataFrame:
+    """Schema of tables that were cut out already: ``sheet_id, out_idx, canonical, dtype, required``.
+
+    ``tables``: ``sheet_id, headers, cells`` with a cell per header; ``headers``: ``sheet_id, headers`` of
+    every sheet, also of those without data rows, whose columns are strings and not required.
+    """
+    cells = tables.select("sheet_id", F.posexplode("cells").alias("out_idx", "_v"))
+    present = ~C.blank(F.col("_v"))
+    facts = cells.groupBy("sheet_id", "out_idx").agg(
+        F.count(F.lit(1)).alias("_cells"),
+        F.count_if(present).alias("_filled"),
+        F.bool_and(F.when(present, C.numeric_like(F.col("_v")))).alias("_numeric"),
+    )
+    named = headers.select("sheet_id", F.posexplode("headers").alias("out_idx", "canonical"))
+    return named.join(facts, ["sheet_id", "out_idx"], "left").select(
+        "sheet_id",
+        "out_idx",
+        "canonical",
+        F.when(F.coalesce("_numeric", F.lit(False)), "number").otherwise("string").alias("dtype"),
+        F.coalesce((F.col("_cells") > 0) & (F.col("_filled") == F.col("_cells")), F.lit(False)).alias("required"),
+    )
+
+
 def canonical_schema(rows: DataFrame, header_row: int) -> DataFrame:
     return infer_schema_with_dates(rows, F.lit(header_row))
 
