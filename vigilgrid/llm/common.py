@@ -93,15 +93,20 @@ def map_texts(df: DataFrame, key: str, text: str, fields: list[tuple[str, DataTy
     return found.select(F.col("_key").alias(key), *[F.col(f"_{name}").alias(name) for name, _ in fields])
 
 
+SENT_GROUPS = 10_000  # counts of groups that are broadcast; with more groups they are joined
+
+
 def smallest_hashes(df: DataFrame, group: str, mixed: str, k: int) -> DataFrame:
     """About the ``k`` rows of each group with the smallest ``mixed`` (a 64-bit hash), never more.
 
     Counts come first, with map-side combine. They give each group a bound that only about 2 k of its
-    hashes are expected to meet, so however large a group is, few rows of it are ranked.
+    hashes are expected to meet, and rows meet their bound where they are: the counts are sent to them.
+    So however large a group is, few of its rows are exchanged and ranked.
     """
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = stage(df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows")), "group-sizes")
+    few = counts.limit(SENT_GROUPS + 1).count() <= SENT_GROUPS
     place = F.pmod(F.col(mixed), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    near = df.join(counts, group).filter(place < F.lit(2.0 * k) / F.col("_rows"))
+    near = df.join(F.broadcast(counts) if few else counts, group).filter(place < F.lit(2.0 * k) / F.col("_rows"))
     ranked = near.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(place, mixed)))
     return ranked.filter(F.col("_place") <= k).select(*df.columns)
 

@@ -104,7 +104,7 @@ def top_k(
     pivots = choose_pivots(rows)
 
     def make(ids: np.ndarray, vecs: np.ndarray) -> list[bytes]:
-        at = vectors.without_spare_copies(vecs, k + 1)
+        at = vectors.without_spare_copies(ids, vecs, k)
         table = distances(vecs[at], pivots.get(vecs.shape[1], np.zeros((0, 0))))
         return [ids[at].tobytes(), vecs[at].tobytes(), table.tobytes()]
 

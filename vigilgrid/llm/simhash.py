@@ -12,17 +12,9 @@ tiles is compared whole with exclusive-or and bit counts in numpy. What leaves a
 its links but a star per group of linked fingerprints, so a group of copies costs as many rows as it
 has members, not their square; no link between different texts is lost for the components.
 
-With ``min_similarity`` links are the pairs of sets of distinct shingles with that Jaccard similarity,
-exactly. Fingerprints and one-permutation minhash sketches (``SLOTS`` bytes, the value of the smallest
-hash of each slot) only propose pairs: of each pair of tiles the edges of a spanning forest, so a group
-of copies proposes as many pairs as it has members. Each is held against the shingle hashes themselves.
-``set_pairs`` then proposes all pairs that may be similar and are not in one component yet. It excludes
-by proof alone: sets of similarity s have sizes within the factor s and differ in at most
-(1 - s) / (1 + s) of their summed sizes, and the bits that count shingles modulo 2 differ in no more
-places than the sets do. These pairs are held against the shingle hashes as well, so no pair is lost
-and none is linked by an estimate.
-The work per set still grows with their number, as it must for a comparison of all that the bounds
-allow; its constant is a nanosecond for a pair and 64 bits.
+The work per fingerprint still grows with their number, as it must for a comparison of all that the
+bounds allow; its constant is a nanosecond for a pair and 64 bits. Pairs of tiles are dealt by the cell
+and by blocks of tiles on either side, so a crowded cell is the work of many tasks.
 
 Defined results: a null or empty text has the fingerprint zero, linked like any other; rows are
 taken as they are, so a repeated ``doc_id`` gives a row each and all its rows share a component; rows
@@ -32,7 +24,6 @@ table gives an empty table.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import product
 
@@ -41,9 +32,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import LongType
 
-from .common import map_texts, numbers, partitions, stage
+from ..functions.relational import first_per_group
+from .common import append_values, fresh_name, map_texts, numbers, partitions, stage
 from .components import components
 
 SEED = 42
@@ -51,10 +43,7 @@ TILE = 2048
 ROWS = 128  # rows of a tile that are compared at one time
 FINE_RADIUS = 4  # up to here four segments are counted
 LEADING_BITS = 26  # of the radius, for each word that is compared for all pairs (three sums of bits fit a byte)
-SLOTS = 256  # of a sketch
-SLACK = 0.03  # the share of equal slots has a standard deviation of 0.025 at a similarity of 0.8
-CHECKED = 8192  # pairs whose sketches are compared at one time
-SETS = 64  # pairs whose shingle hashes are compared at one time
+MEETING = 8  # tiles of a cell, on either side, whose pairs are one task's
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _OFFSETS = (256 * np.arange(8)).astype(np.uint16)
@@ -99,96 +88,32 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts.ravel() * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def set_sketch(hashes: np.ndarray) -> bytes:
-    """One byte per slot: of the smallest hash that falls into it, 1 to 255; 0 for an empty slot."""
-    ordered = np.unique(hashes)
-    slots, first = np.unique(ordered % np.uint64(SLOTS), return_index=True)
-    out = np.zeros(SLOTS, dtype=np.uint8)
-    out[slots.astype(np.intp)] = 1 + ordered[first] // np.uint64(SLOTS) % np.uint64(255)
-    return out.tobytes()
-
-
-def similar(a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
-    """Whether rows of sketches agree in at least ``share`` of the slots that either of them fills."""
-    equal = np.count_nonzero((a == b) & (a > 0), axis=1)
-    return equal >= share * np.count_nonzero(a | b, axis=1)
-
-
-def set_digest(ordered: np.ndarray) -> int:
-    """Signed 64-bit digest of a set of hashes in ascending order."""
-    digest = xxhash.xxh3_64_intdigest(ordered.tobytes())
-    return digest - (1 << 64) if digest >> 63 else digest
-
-
-def size_level(size: int, share: float) -> int:
-    """Class of a set by its size; similar sets are in the same class or in neighbouring ones."""
-    return math.floor(math.log(max(size, 1)) / -math.log(share) + 1e-9)
-
-
-def most_apart(sizes: float, share: float) -> float:
-    """Elements that two sets of these summed sizes have in one of them only, at most, if they are similar."""
-    return (1 - share) / (1 + share) * sizes + 1e-6
-
-
-def parity_words(level: int, share: float) -> int:
-    """64-bit words, a power of two, in which unlike sets of this class differ more than similar ones may."""
-    size = share ** -(level + 1.0)
-    most, words = most_apart(size + size / share, share), 1
-    while 32 * words - 20 * math.sqrt(words) < most:
-        words *= 2
-    return words
-
-
-def parities(hashes: np.ndarray, words: int) -> bytes:
-    """Bits of the numbers of distinct hashes, modulo 2, by their remainders. Half as many words are its halves' difference."""
-    bits = np.bincount((hashes % np.uint64(64 * words)).astype(np.intp), minlength=64 * words) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
-
-
 def fingerprints(
-    df: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    width: int = 3,
-    words: int = 1,
-    distinct: bool = False,
-    min_similarity: float | None = None,
+    df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, words: int = 1, distinct: bool = False
 ) -> DataFrame:
     """``key, w0 … , shingles``: fingerprint words as signed numbers and the number of shingles.
 
-    ``distinct`` counts a shingle once per text instead of with its repeats. ``min_similarity`` makes that
-    the number of distinct ones and adds, of the set of shingles, a digest, the size class, the parities
-    and the sketch.
+    ``distinct`` counts a shingle once per text instead of with its repeats.
     """
+    fields = [(name, LongType()) for name in [*[f"w{i}" for i in range(words)], "shingles"]]
+    return map_texts(df, key, text, fields, lambda: _printer(width, words, distinct))
 
-    def make():
-        def many(texts: list) -> tuple:
-            out = [[] for _ in range(words + (1 if min_similarity is None else 5))]
-            for value in texts:
-                hashes = np.array(shingle_hashes(value, width), dtype=np.uint64)
-                unique = np.unique(hashes) if distinct or min_similarity is not None else hashes
-                counted = unique if distinct else hashes
-                for i in range(words):
-                    out[i].append(majority(_mixed(counted, i)))
-                if min_similarity is None:
-                    out[words].append(len(counted))
-                    continue
-                level = size_level(len(unique), min_similarity)
-                bits = parities(unique, parity_words(level, min_similarity))
-                facts = (len(unique), set_digest(unique), level, bits, set_sketch(unique))
-                for column, fact in zip(out[words:], facts):
-                    column.append(fact)
-            return tuple(out)
-
-        return many
 
-    fields = [(name, LongType()) for name in [*[f"w{i}" for i in range(words)], "shingles"]]
-    if min_similarity is not None:
-        fields += [("set", LongType()), ("level", LongType()), ("parity", BinaryType()), ("sketch", BinaryType())]
-    return map_texts(df, key, text, fields, make)
+def _printer(width: int, words: int, distinct: bool):
+    def many(texts: list) -> tuple:
+        out = [[] for _ in range(words + 1)]
+        for value in texts:
+            hashes = np.array(shingle_hashes(value, width), dtype=np.uint64)
+            counted = np.unique(hashes) if distinct else hashes
+            for i in range(words):
+                out[i].append(majority(_mixed(counted, i)))
+            out[words].append(len(counted))
+        return tuple(out)
+
+    return many
 
 
-def _axes(words: int, radius: int, min_similarity: float | None) -> tuple[list[Column], list[tuple[int, ...]]]:
+def _axes(words: int, radius: int) -> tuple[list[Column], list[tuple[int, ...]]]:
     """Coordinates of a fingerprint's cell, and the half of the neighbouring cells that a pair may span."""
     if radius <= FINE_RADIUS and words == 1:
         segments, width = 4, 1
@@ -206,21 +131,17 @@ def _axes(words: int, radius: int, min_similarity: float | None) -> tuple[list[C
 
     reach = range(-radius, radius + 1) if width == 1 else range(-1, 2)
     steps = [s for s in product(reach, repeat=segments) if sum(map(least, s)) <= radius]
-    if min_similarity is not None:
-        size = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1))) / F.lit(-math.log(min_similarity)) + F.lit(1e-9))
-        axes.append(size.cast("int"))
-        steps = [(*s, z) for s in steps for z in (-1, 0, 1)]
     zero = (0,) * len(axes)
     return axes, [s for s in steps if s >= zero]
 
 
-def _tiles(groups: DataFrame, axes: list[Column], words: int, size: bool) -> DataFrame:
+def _tiles(groups: DataFrame, axes: list[Column], words: int) -> DataFrame:
     """One row per tile: its cell, its number in the cell, and its fingerprints."""
     placed = groups.withColumn("cell", F.array(*axes))
     counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
     tile = F.pmod(F.xxhash64("rep"), F.ceil(F.col("_n") / F.lit(TILE))).cast("int")
-    columns = ["rep", *[f"w{i}" for i in range(words)], *(["shingles", "sketch"] if size else [])]
-    # Bounded: 17 ** 4 cells of four segments, or the few bands of a wide radius times the size classes.
+    columns = ["rep", *[f"w{i}" for i in range(words)]]
+    # Bounded: 17 ** 4 cells of four segments, or the few bands of a wide radius.
     return (
         placed.join(F.broadcast(counts), "cell")
         .groupBy("cell", tile.alias("tile"))
@@ -228,18 +149,11 @@ def _tiles(groups: DataFrame, axes: list[Column], words: int, size: bool) -> Dat
     )
 
 
-Tile = tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]
-
-
-def _unpacked(cell: pa.Scalar, words: int, size: bool) -> Tile:
-    """Representatives, fingerprint words and, with sizes, numbers of shingles and sketches of a tile."""
+def _unpacked(cell: pa.Scalar, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Representatives and fingerprint words of a tile."""
     items = cell.values
-    reps = numbers(items.field("rep"), "i8")
     bits = np.stack([numbers(items.field(f"w{i}"), "i8") for i in range(words)]).view(np.uint64)
-    if not size:
-        return reps, bits, None, None
-    sketches = np.frombuffer(b"".join(items.field("sketch").to_pylist()), dtype=np.uint8)
-    return reps, bits, numbers(items.field("shingles"), "i8"), sketches.reshape(-1, SLOTS)
+    return numbers(items.field("rep"), "i8"), bits
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -265,14 +179,10 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.
 
 
 class Forest:
-    """Groups of positions that pairs have joined; the root of a group is its smallest position.
-
-    ``edges`` are the pairs that joined two groups, one less than a group has members.
-    """
+    """Groups of positions that pairs have joined; the root of a group is its smallest position."""
 
     def __init__(self, n: int):
         self.root = np.arange(n)
-        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
         while True:
@@ -283,9 +193,6 @@ class Forest:
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
             high, low = np.maximum(a, b), np.minimum(a, b)
             np.minimum.at(self.root, high, low)
-            won = np.flatnonzero(self.root[high] == low)
-            won = won[np.unique(high[won], return_index=True)[1]]
-            self.edges.append((i[won], j[won]))
             while True:
                 up = self.root[self.root]
                 if (up == self.root).all():
@@ -294,55 +201,49 @@ class Forest:
 
 
 def _meeting(tiles: DataFrame, steps: list[tuple[int, ...]]) -> DataFrame:
-    """``_items, items, own``: every pair of tiles whose cells are a step apart, once; ``own`` with itself."""
+    """``_items, items, own``: every pair of tiles whose cells are a step apart, once; ``own`` with itself.
+
+    A tile goes to each cell that it meets, once for each block of ``MEETING`` tiles there, and the tiles
+    there once for each such block of those that come, so a task has the pairs of two blocks.
+    """
     offsets = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
     moved = F.transform(offsets, lambda s: F.zip_with(F.col("cell"), s, lambda x, y: x + y))
-    n = 4 * partitions(tiles.sparkSession)
+    # Bounded: one row per cell.
+    last = F.floor(F.max("tile") / F.lit(MEETING)).cast("int")
+    there = tiles.groupBy(F.col("cell").alias("_at")).agg(last.alias("_blocks"))
+    places = tiles.select(F.explode(moved).alias("_at"), "tile")
+    coming = places.groupBy("_at").agg(last.alias("_comings")).withColumnRenamed("_at", "cell")
     left = tiles.select(
         F.explode(moved).alias("_at"), F.col("cell").alias("_cell"), F.col("tile").alias("_tile"), F.col("items").alias("_items")
-    ).repartition(n, "_at")
+    )
+    left = left.join(F.broadcast(there), "_at").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks"))))
+    left = left.withColumn("_coming", F.floor(F.col("_tile") / F.lit(MEETING)).cast("int"))
+    right = tiles.join(F.broadcast(coming), "cell").withColumn("coming", F.explode(F.sequence(F.lit(0), F.col("_comings"))))
+    right = right.withColumn("block", F.floor(F.col("tile") / F.lit(MEETING)).cast("int"))
+    n = 4 * partitions(tiles.sparkSession)
     same = (F.col("_cell") == F.col("cell")) & (F.col("_tile") > F.col("tile"))
-    pairs = left.join(tiles, F.col("_at") == F.col("cell")).filter(~same)
+    at = (F.col("_at") == F.col("cell")) & (F.col("_block") == F.col("block")) & (F.col("_coming") == F.col("coming"))
+    pairs = left.repartition(n, "_at", "_block", "_coming").join(right, at).filter(~same)
     return pairs.select("_items", "items", ((F.col("_cell") == F.col("cell")) & (F.col("_tile") == F.col("tile"))).alias("own"))
 
 
-def links(groups: DataFrame, radius: int, words: int = 1, min_similarity: float | None = None) -> DataFrame:
-    """``a, b``: a star of edges between representatives for every linked group within a pair of tiles.
-
-    With ``min_similarity`` the edges are pairs that were compared, and proposals.
-    """
-    size = min_similarity is not None
-    axes, steps = _axes(words, radius, min_similarity)
-    pairs = _meeting(stage(_tiles(groups, axes, words, size), "simhash-tiles"), steps)
+def links(groups: DataFrame, radius: int, words: int = 1) -> DataFrame:
+    """``a, b``: a star of edges between representatives for every linked group within a pair of tiles."""
+    axes, steps = _axes(words, radius)
+    pairs = _meeting(stage(_tiles(groups, axes, words), "simhash-tiles"), steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 own = batch.column(2)[row].as_py()
-                one = _unpacked(batch.column(0)[row], words, size)
-                other = one if own else _unpacked(batch.column(1)[row], words, size)
-                (reps_a, a, size_a, sketch_a), (reps_b, b, size_b, sketch_b) = one, other
+                one = _unpacked(batch.column(0)[row], words)
+                other = one if own else _unpacked(batch.column(1)[row], words)
+                (reps_a, a), (reps_b, b) = one, other
                 reps = reps_a if own else np.concatenate([reps_a, reps_b])
                 shift = 0 if own else len(reps_a)
                 forest = Forest(len(reps))
                 for i, j in close_pairs(a, b, radius):
-                    if not size:
-                        forest.join(i, j + shift)
-                        continue
-                    x, y = size_a[i], size_b[j]
-                    fits = np.minimum(x, y) >= min_similarity * np.maximum(x, y)
-                    i, j = i[fits], j[fits]
-                    for at in range(0, len(i), CHECKED):
-                        # What is joined already needs no check, so a group of copies costs few of them.
-                        x, y = i[at : at + CHECKED], j[at : at + CHECKED]
-                        apart = forest.root[x] != forest.root[y + shift]
-                        x, y = x[apart], y[apart]
-                        fits = similar(sketch_a[x], sketch_b[y], min_similarity - SLACK)
-                        forest.join(x[fits], y[fits] + shift)
-                if size:
-                    for i, j in forest.edges:
-                        yield pa.RecordBatch.from_arrays([pa.array(reps[i]), pa.array(reps[j])], names=["a", "b"])
-                    continue
+                    forest.join(i, j + shift)
                 at = np.flatnonzero(forest.root != np.arange(len(reps)))
                 if len(at):
                     yield pa.RecordBatch.from_arrays(
@@ -352,126 +253,6 @@ def links(groups: DataFrame, radius: int, words: int = 1, min_similarity: float
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _folded(bits: np.ndarray, words: int) -> np.ndarray:
-    """Parities (words by set) in fewer words."""
-    while len(bits) > words:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
-    return bits
-
-
-def possible_pairs(
-    a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, share: float
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all pairs whose sizes and parities allow the similarity, a few rows of ``a`` at a time."""
-    words = min(len(a), len(b))
-    a, b = _folded(a, words), _folded(b, words)
-    most = most_apart(float(size_a.max() + size_b.max()), share) if len(size_a) and len(size_b) else 0.0
-    leading = next((w for w in range(1, words) if 32 * w - 20 * math.sqrt(w) >= most), words)
-    for start in range(0, a.shape[1], ROWS):
-        first = np.zeros((min(ROWS, a.shape[1] - start), b.shape[1]), dtype=np.uint32)
-        for word in range(leading):
-            first += np.bitwise_count(a[word, start : start + ROWS, None] ^ b[word][None, :])
-        i, j = np.nonzero(first <= most)
-        apart = first[i, j].astype(np.int64)
-        i = i + start
-        for word in range(leading, words):
-            apart += np.bitwise_count(a[word, i] ^ b[word, j])
-        x, y = size_a[i], size_b[j]
-        fits = (apart <= most_apart(x + y, share)) & (np.minimum(x, y) >= share * np.maximum(x, y) - 1e-6)
-        yield i[fits], j[fits]
-
-
-def set_pairs(groups: DataFrame, min_similarity: float) -> DataFrame:
-    """``a, b``: all pairs of sets in different components that may have the similarity."""
-    counts = groups.groupBy("level").agg(F.count(F.lit(1)).alias("_n"))
-    tile = F.pmod(F.xxhash64("rep"), F.ceil(F.col("_n") / F.lit(TILE))).cast("int")
-    # Bounded: one row per size class.
-    tiles = (
-        groups.join(F.broadcast(counts), "level")
-        .groupBy(F.array(F.col("level").cast("int")).alias("cell"), tile.alias("tile"))
-        .agg(F.collect_list(F.struct("rep", "component", "shingles", "parity")).alias("items"))
-    )
-    pairs = _meeting(stage(tiles, "simhash-sets"), [(0,), (1,)])
-
-    def unpacked(cell: pa.Scalar) -> tuple[np.ndarray, ...]:
-        items = cell.values
-        bits = np.frombuffer(b"".join(items.field("parity").to_pylist()), dtype="<u8").reshape(len(items), -1)
-        named = (numbers(items.field(name), "i8") for name in ("rep", "component", "shingles"))
-        return *named, np.ascontiguousarray(bits.T)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                own = batch.column(2)[row].as_py()
-                one = unpacked(batch.column(0)[row])
-                other = one if own else unpacked(batch.column(1)[row])
-                (reps_a, in_a, size_a, a), (reps_b, in_b, size_b, b) = one, other
-                for i, j in possible_pairs(a, b, size_a, size_b, min_similarity):
-                    apart = (in_a[i] != in_b[j]) & ((i < j) if own else True)
-                    i, j = i[apart], j[apart]
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(reps_a[i]), pa.array(reps_b[j])], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long").distinct()
-
-
-def confirmed(docs: DataFrame, groups: DataFrame, pairs: DataFrame, width: int, min_similarity: float, label: str) -> DataFrame:
-    """The ``pairs`` of sets whose shingle hashes have the similarity. ``docs``: ``_key, _text``; ``groups``: ``rep, key``."""
-    pairs = stage(pairs, f"simhash-{label}-pairs")
-    nodes = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    wanted = groups.select("rep", "key").join(nodes, "rep")
-    texts = docs.join(wanted.select(F.col("key").alias("_key")).distinct(), "_key", "left_semi")
-
-    def make():
-        def many(texts: list) -> tuple:
-            sets = [np.unique(np.array(shingle_hashes(value, width), dtype=np.uint64)) for value in texts]
-            return [set_digest(s) for s in sets], [s.tobytes() for s in sets]
-
-        return many
-
-    found = map_texts(texts, "_key", "_text", [("set", LongType()), ("hashes", BinaryType())], make)
-    sets = stage(found.select("set", "hashes").join(nodes, F.col("set") == F.col("rep"), "left_semi").dropDuplicates(["set"]), f"simhash-{label}-hashes")
-    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("hashes").alias("_ha")), "a")
-    both = both.join(sets.select(F.col("set").alias("b"), F.col("hashes").alias("_hb")), "b").select("a", "b", "_ha", "_hb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, SETS):
-                part = batch.slice(start, SETS)
-                fits = []
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    fits.append(shared / max(1, len(x) + len(y) - shared) >= min_similarity)
-                yield part.select(["a", "b"]).filter(pa.array(fits))
-
-    return stage(both.mapInArrow(run, "a long, b long"), f"simhash-{label}-links")
-
-
-def _similar_sets(
-    df: DataFrame, key: str, text: str, width: int, radius: int, words: int, distinct: bool, min_similarity: float
-) -> DataFrame:
-    """``near_duplicates`` for ``min_similarity``: links are similar sets of shingles."""
-    columns = [f"w{i}" for i in range(words)]
-    docs = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
-    prints = stage(fingerprints(docs, "_key", "_text", width, words, distinct, min_similarity), "simhash-prints")
-    facts = [F.any_value(c).alias(c) for c in (*columns, "shingles", "level", "parity", "sketch")]
-    groups = prints.filter(F.col("_key").isNotNull()).groupBy(F.col("set").alias("rep"))
-    groups = stage(groups.agg(F.min(F.col("_key").cast("long")).alias("key"), *facts), "simhash-groups")
-    first = confirmed(docs, groups, links(groups, radius, words, min_similarity), width, min_similarity, "first")
-    joined = components(first, "a", "b", "simhash-first")
-    placed = groups.join(joined, groups["rep"] == joined["node"], "left")
-    placed = placed.select("rep", "level", "shingles", "parity", F.coalesce("component", "rep").alias("component"))
-    rest = confirmed(docs, groups, set_pairs(placed, min_similarity), width, min_similarity, "rest")
-    whole = components(first.unionByName(rest), "a", "b", "simhash-edges")
-    ids = groups.join(whole, groups["rep"] == whole["node"], "left")
-    ids = ids.select("rep", "key", F.coalesce("component", "rep").alias("component"))
-    least = ids.groupBy("component").agg(F.min("key").alias("component_id"))
-    ids = stage(ids.join(least, "component").select(F.col("rep").alias("set"), "component_id"), "simhash-ids")
-    component = F.when(F.col("_key").isNotNull(), F.col("component_id"))
-    return prints.join(ids, "set", "left").select(F.col("_key").alias(key), *columns, component.alias("component_id"))
-
-
 def near_duplicates(
     df: DataFrame,
     key: str = "doc_id",
@@ -480,15 +261,12 @@ def near_duplicates(
     radius: int = 2,
     words: int = 1,
     distinct: bool = False,
-    min_similarity: float | None = None,
 ) -> DataFrame:
     """``key, w0 …, component_id``: fingerprints of all rows and the smallest key reachable over links.
 
     Equal fingerprints become one representative (their smallest key) before the search, so exact
-    copies, however many, cost one row. With ``min_similarity`` equal sets of shingles do.
+    copies, however many, cost one row.
     """
-    if min_similarity is not None:
-        return _similar_sets(df, key, text, width, radius, words, distinct, min_similarity)
     group = columns = [f"w{i}" for i in range(words)]
     found = fingerprints(df, key, text, width, words, distinct)
     prints = stage(found.withColumnRenamed(key, "_key"), "simhash-prints")
@@ -504,12 +282,37 @@ def near_duplicates(
     return joined.select(F.col("_key").alias(key), *columns, component.alias("component_id"))
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows of ``df`` without the near copies: of each component the row with the smallest key.
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+    """Rows of ``df`` without the near copies: of each group of linked fingerprints one row.
 
-    Rows without a key stay. Of rows that repeat that key, one stays.
+    That is the row with the smallest key, then the smallest fingerprint; of rows that agree in both
+    the one whose text has the smallest hash. The groups are of fingerprints, not of keys: rows that
+    repeat a key with different texts are told apart, and each group keeps one. Rows without a key
+    stay. Keys may have any type that can be ordered.
     """
-    found = near_duplicates(df, key, text, **options)
-    kept = found.filter(F.col("component_id") == F.col(key)).select(F.col(key).cast("long").alias("_kept")).distinct()
-    rows = df.join(kept, F.col(f"`{key}`") == F.col("_kept"), "left_semi").dropDuplicates([key])
-    return rows.unionByName(df.filter(F.col(f"`{key}`").isNull()))
+    prints = stage(fingerprints(df, key, text, width).select(F.col(f"`{key}`").alias("_key"), "w0"), "simhash-prints")
+    known = prints.filter(F.col("_key").isNotNull())
+    groups = known.groupBy("w0").agg(F.min("_key").alias("_least")).withColumn("rep", F.col("w0"))
+    groups = stage(groups, "simhash-groups")
+    joined = components(links(groups.select("rep", "w0"), radius), "a", "b", "simhash-edges")
+    placed = groups.join(joined, groups["rep"] == joined["node"], "left")
+    component = F.coalesce("component", "rep").alias("_component")
+    best = placed.groupBy(component).agg(F.min(F.struct("_least", "w0")).alias("_best"))
+    # A row is found by its key alone, where that is not repeated; else its fingerprint decides.
+    repeated = stage(known.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select("_key"), "simhash-repeated")
+    best = stage(best.select(F.col("_best._least").alias("_kept"), F.col("_best.w0").alias("_print")), "simhash-kept")
+    named = F.col(f"`{key}`")
+    found = df.join(best.select("_kept").distinct(), named == F.col("_kept"), "left_semi")
+    single = found.join(repeated, named == F.col("_key"), "left_anti")
+    several = found.join(repeated, named == F.col("_key"), "left_semi")
+    name = fresh_name(df, "_fingerprint")
+    several = append_values(several, text, [(name, LongType())], lambda: _first(_printer(width, 1, False)))
+    several = several.join(best, (named == F.col("_kept")) & (F.col(name) == F.col("_print")), "left_semi")
+    hashed = fresh_name(several, "_hash")
+    several = several.withColumn(hashed, F.xxhash64(F.col(f"`{text}`")))
+    several = first_per_group(several, [f"`{key}`", name], [F.col(hashed).asc()]).drop(name, hashed)
+    return single.unionByName(several).unionByName(df.filter(named.isNull()))
+
+
+def _first(function):
+    return lambda values: function(values)[:1]

@@ -14,21 +14,21 @@ BLOCK_ROWS = 256
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id, vec, dim``: one vector per key, as doubles.
+    """``row, id, vec, dim``: the vectors as doubles, one row per row, also where a key is repeated.
 
     Vectors that are null, empty or hold null or non-finite components take no part, nor do null keys.
-    Of several vectors for one key the smallest (component by component) counts.
+    ``row`` tells rows with one key apart.
     """
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))  # NaN is above infinity
     rows = rows.filter(F.col("id").isNotNull() & (F.size("vec") > 0) & finite)
-    return rows.groupBy("id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", "vec", F.size("vec").alias("dim"))
 
 
 def _packed(rows: DataFrame, size: int, number: str, make: Callable[[np.ndarray, np.ndarray], list[bytes]], names: list[str]) -> DataFrame:
-    """``dim, number, names …``: rows dealt by a hash of their id into groups of about ``size``."""
+    """``dim, number, names …``: rows dealt by a hash of their number into groups of about ``size``."""
     n = max(1, -(-rows.count() // size))
-    dealt = rows.withColumn(number, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    dealt = rows.withColumn(number, F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         dim, at = table.column("dim")[0], table.column(number)[0]
@@ -79,16 +79,22 @@ def search(
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def without_spare_copies(vecs: np.ndarray, copies: int) -> np.ndarray:
-    """Positions of rows (sorted by id) without those that have ``copies`` equal rows before them.
+def without_spare_copies(ids: np.ndarray, vecs: np.ndarray, k: int) -> np.ndarray:
+    """Positions of rows (sorted by id) without those that cannot be among the ``k`` best of any query.
 
-    A query takes at most k rows, the smallest ids first among equals, so further copies cannot be
-    among its best.
+    A query takes the smallest ids first among equal vectors, and none of its own id. So a row is spare
+    if ``k`` equal rows come before it, not counting those of one id.
     """
     _, group = np.unique(vecs, axis=0, return_inverse=True)
-    order = np.argsort(group.ravel(), kind="stable")
-    sorted_ = group.ravel()[order]
+    group = group.ravel()
+    order = np.argsort(group, kind="stable")
+    sorted_ = group[order]
     first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
     sizes = np.diff(np.r_[first, len(sorted_)])
     rank = np.arange(len(sorted_)) - np.repeat(first, sizes)
-    return np.sort(order[rank < copies])
+    # The most rows that one id has in each group.
+    named = ids[order]
+    runs = np.flatnonzero(np.r_[True, (sorted_[1:] != sorted_[:-1]) | (named[1:] != named[:-1])])
+    most = np.zeros(len(first), dtype=np.int64)
+    np.maximum.at(most, sorted_[runs], np.diff(np.r_[runs, len(sorted_)]))
+    return np.sort(order[rank < k + most[sorted_]])

@@ -119,7 +119,7 @@ def nearest(
         return vectors.usable_vectors(frame, key, vector).filter((squares > 0) & (squares < float("inf")))
 
     def make(ids: np.ndarray, vecs: np.ndarray) -> list[bytes]:
-        at = vectors.without_spare_copies(vecs, k + 1)
+        at = vectors.without_spare_copies(ids, vecs, k)
         order, nodes, medians = build(_unit(vecs[at]))
         return [ids[at].tobytes(), vecs[at].tobytes(), order.tobytes(), nodes.tobytes(), medians.tobytes()]
 
