@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilgrid.functions.relational import first_per_group
@@ -13,7 +13,7 @@ from vigilgrid.model import HOST, SNAPSHOT
 from vigilgrid.operators import evaluate, fleet, ingest, ledger, quality, rules, timeline
 from vigilgrid.plans import incident as flow
 from vigilgrid.session import stage, staging_root
-from vigilgrid.sources import sinks
+from vigilgrid.sources import host_documents, sinks
 from vigilgrid.sources import snapshots as docs
 from vigilgrid.sources import testbed as tb
 from vigilgrid.streaming import detect as stream
@@ -817,19 +817,66 @@ def host_report(spark, sf):
 
 @query(
     "write_host_timelines",
-    "SELECT run_id, host_id, score AS severity, CAST(incidents AS INT) AS incidents FROM hs",
+    """
+    SELECT hs.run_id, hs.host_id, hs.user_id, hs.score AS severity, strftime(span.hi, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS last_event_ts,
+      strftime(hw.window_end, '%Y-%m-%dT%H:%M:%S') AS window_end, d.events, d.message_sum, CAST(hs.incidents AS INT) AS incidents,
+      coalesce(p.evidence, 0) AS evidence, coalesce(p.evidence_sum, 0) AS evidence_sum, coalesce(p.types, '') AS types,
+      coalesce(t.tickets, '') AS tickets
+    FROM hs JOIN span ON span.run_id = hs.run_id AND span.host_id = hs.host_id JOIN hw ON hw.run_id = hs.run_id AND hw.host_id = hs.host_id
+    JOIN (SELECT run_id, host_id, count(*) AS events, CAST(sum(place * (record_id + length(message))) AS BIGINT) AS message_sum
+          FROM (SELECT *, row_number() OVER (PARTITION BY run_id, host_id ORDER BY ts, ts_raw, snap_rank, pos) AS place FROM dd)
+          GROUP BY run_id, host_id) d ON d.run_id = hs.run_id AND d.host_id = hs.host_id
+    LEFT JOIN (SELECT run_id, host_id, count(*) AS evidence, CAST(sum(evidence_rank * (record_id + length(message))) AS BIGINT) AS evidence_sum,
+            string_agg(DISTINCT r.type, '|' ORDER BY r.type) AS types
+          FROM mr JOIN rule r ON r.rule_no = mr.rule_no AND mr.n >= r.min_n GROUP BY run_id, host_id) p ON p.run_id = hs.run_id AND p.host_id = hs.host_id
+    LEFT JOIN (SELECT 'run-' || strftime(ts, '%Y%m%d') AS run_id, 'HOST-' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS host_id,
+            string_agg('TICKET-' || lpad(CAST(event_id AS VARCHAR), 6, '0'), '|' ORDER BY event_id) AS tickets
+          FROM events WHERE event_type = 'signup' AND event_id % 9 <> 0 GROUP BY ALL) t ON t.run_id = hs.run_id AND t.host_id = hs.host_id
+    """,
 )
 def write_host_timelines(spark, sf):
+    """Whole documents written as lines, put together again and parsed."""
     windows, incidents = _tables(spark, sf)
-    events = tb.endpoint_events(spark, sf)
-    unique = stage(timeline.host_events(events), "host-events")
+    unique = stage(timeline.host_events(tb.endpoint_events(spark, sf)), "host-events")
     line = timeline.host_timeline(windows, unique, incidents)
-    evidence = rules.incident_evidence(unique, limit=3, redaction="off", deduplicated=True)
-    path = sinks.write_host_timelines(sinks.host_documents(line, incidents, evidence), _scratch(spark, "export"))
-    schema = "host_id string, severity int, incidents array<struct<incident_id string>>"
-    back = spark.read.schema("value string, run_id string").text(path)
-    parsed = back.select("run_id", F.from_json("value", schema).alias("d")).select("run_id", "d.*")
-    return parsed.select(*HOST, "severity", F.coalesce(F.size("incidents"), F.lit(0)).alias("incidents"))
+    evidence = rules.incident_evidence(unique, redaction="off", deduplicated=True)
+    tickets = ingest.tickets_by_host(tb.tickets(spark, sf))
+    lines = host_documents.document_lines(line, unique, incidents, evidence, as_of(), tickets)
+    path = host_documents.write_host_timelines(lines, _scratch(spark, "export"))
+    event = "array<struct<record_id: bigint, message: string>>"
+    schema = (
+        f"host_id string, user_id string, window struct<end: string>, last_event_ts string, severity int, events {event}, "
+        f"incidents array<struct<type: string, evidence: {event}>>, tickets array<struct<ticket_id: string>>"
+    )
+    parsed = read_documents(spark, path).select("run_id", F.from_json("document", schema).alias("d")).select("run_id", "d.*")
+    proofs = F.flatten(F.transform("incidents", lambda i: i["evidence"]))
+
+    def weighed(rows):
+        # Place by place, so that a wrong order shows.
+        return F.aggregate(
+            F.transform(rows, lambda e, i: (i + 1) * (e["record_id"] + F.length(e["message"]))), F.lit(0).cast("bigint"), lambda a, b: a + b
+        )
+
+    sums = F.transform("incidents", lambda i: weighed(i["evidence"]))
+    return parsed.select(
+        *HOST, "user_id", "severity", "last_event_ts", F.substring("window.end", 1, 19).alias("window_end"),
+        F.size("events").cast("bigint").alias("events"), weighed(F.col("events")).alias("message_sum"), F.size("incidents").alias("incidents"),
+        F.size(proofs).cast("bigint").alias("evidence"), F.aggregate(sums, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("evidence_sum"),
+        joined(F.array_sort(F.transform("incidents", lambda i: i["type"]))).alias("types"),
+        joined(F.transform("tickets", lambda t: t["ticket_id"])).alias("tickets"),
+    )
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``run_id, document``: the lines of each run in order of its files, cut at the first line of each host."""
+    lines = spark.read.schema("value string, run_id string").text(path).select(
+        "run_id", "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    )
+    order = Window.partitionBy("run_id").orderBy("file", "block", "at")
+    opens = F.col("value").startswith('{"schema_version":"1.0","host_id"').cast("int")
+    numbered = lines.withColumns({"n": F.sum(opens).over(order), "place": F.row_number().over(order)})
+    whole = numbered.groupBy("run_id", "n").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("lines"))
+    return whole.select("run_id", F.array_join(F.transform("lines", lambda x: x["value"]), "").alias("document"))
 
 
 @query("write_fleet", "SELECT run_id, overall_risk_score, executive_summary FROM fs")

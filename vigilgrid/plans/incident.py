@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import hash_user, iso_text, redact_message
 from ..operators import evaluate, fleet, ingest, ledger, quality, rules, timeline
 from ..session import stage, staging
-from ..sources import sinks
+from ..sources import host_documents, sinks
 
 
 @dataclass
@@ -180,8 +180,9 @@ def _write_attempt(
     entries.write.mode("append").parquet(f"{root.rstrip('/')}/runs")
     if export_json:
         passed = gate.filter("passed").select("run_id")
-        documents = sinks.host_documents(line, incidents, evidence)
-        sinks.write_host_timelines(documents.join(passed, "run_id", "left_semi"), root)
+        shown = [df.join(passed, "run_id", "left_semi") for df in (line, host_events, incidents, evidence)]
+        lines = host_documents.document_lines(*shown, as_of, tables.get("host_tickets"))
+        host_documents.write_host_timelines(lines, root)
         sinks.write_fleet(summary.join(passed, "run_id", "left_semi"), root)
 
 
