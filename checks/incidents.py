@@ -887,6 +887,36 @@ def write_fleet(spark, sf):
     return back.select("run_id", fields.alias("d")).select("run_id", "d.*")
 
 
+@query(
+    "retire_runs",
+    """
+    SELECT run_id, CASE WHEN day % 4 = 0 THEN 'a2' ELSE 'a1' END AS attempt, hosts,
+      CASE WHEN day + 1 < 21 THEN 1 ELSE 1 + CAST(day % 4 = 0 AS INT) + CAST(day % 3 = 0 AS INT) END AS kept
+    FROM (SELECT run_id, CAST(substr(run_id, 11) AS INT) AS day, count(DISTINCT host_id) AS hosts FROM sn GROUP BY run_id)
+    WHERE day + 1 >= 21 OR day % 5 = 0
+    """,
+)
+def retire_runs(spark, sf):
+    """Hosts of every run under one to three attempts; old runs and attempts are retired and deleted, pinned ones stay."""
+    root = _scratch(spark, "retention")
+    hosts = stage(tb.snapshots(spark, sf).select(*HOST).distinct(), "run-hosts")
+    day = F.substring("run_id", 11, 2).cast("int")
+    for attempt, status, wanted in (("a1", "success", F.lit(True)), ("a2", "success", day % 4 == 0), ("a3", "failure", day % 3 == 0)):
+        part = hosts.filter(wanted)
+        sinks.write_run_table(part, root, "run_hosts", attempt)
+        at = F.timestamp_add("DAY", day, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+        entries = part.select("run_id").distinct().select(
+            "run_id", F.lit(attempt).alias("attempt"), F.lit(status).alias("status"), at.alias("at"), F.lit(0).cast("long").alias("violations")
+        )
+        entries.write.mode("append").parquet(f"{root}/runs")
+    pinned = hosts.select("run_id").distinct().filter(day % 5 == 0)
+    sinks.retire_runs(spark, root, as_of(), 240, pinned=pinned, dry_run=False)
+    sinks.delete_retired(spark, root, as_of(), grace_hours=0, dry_run=False)
+    stored = spark.read.parquet(f"{root}/run_hosts").groupBy("run_id").agg(F.countDistinct("attempt").cast("int").alias("kept"))
+    shown_ = sinks.read_published(spark, root, "run_hosts").groupBy("run_id", "attempt").agg(F.count(F.lit(1)).alias("hosts"))
+    return shown_.join(stored, "run_id")
+
+
 @query(
     "append_audit",
     """

@@ -99,6 +99,8 @@ def run_incident_flow(
     export_json: bool = False,
     attempt: str | None = None,
     salt: str | None = None,
+    retention_hours: int | None = None,
+    pinned: DataFrame | None = None,
 ) -> str:
     """Process scanned snapshot documents (with ``run_id``), write all result tables, publish them.
 
@@ -107,11 +109,17 @@ def run_incident_flow(
     ``sinks.read_published``; JSON exports follow for the runs that passed. Every run with a document
     gets a ledger row and a summary, also if none was accepted. Runs are compared with the published run
     before them. Documents are parsed once; what is staged on the way is deleted at the end. ``strict``
-    redaction needs a ``salt``. Returns the attempt; a given one must sort after those before it.
+    redaction needs a ``salt``. With ``retention_hours`` older runs are retired at the end, pinned ones
+    (``run_id``) aside, and those retired an hour ago or earlier are deleted. Returns the attempt; a given
+    one must sort after those before it.
     """
     attempt = attempt or f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     with staging(snapshots.sparkSession):
         _write_attempt(snapshots, root, as_of, tickets, window_hours, mode, max_hosts, redaction, export_json, attempt, salt)
+    if retention_hours is not None:
+        spark = snapshots.sparkSession
+        sinks.retire_runs(spark, root, as_of, retention_hours, pinned=pinned, dry_run=False)
+        sinks.delete_retired(spark, root, as_of, dry_run=False)
     return attempt
 
 
