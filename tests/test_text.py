@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 from vigilgrid.functions import text as T
 
 
-# Fixed value: the salt of the golden pseudonym below.
-SALT = "preemptive-it-salt"
+SALT = "salt-of-the-tests"
 
 
 def one(spark, value, function, kind="string"):
@@ -36,7 +35,7 @@ def test_signature_of_missing_and_zero_ids(spark):
 
 
 def test_hash_user(spark):
-    assert one(spark, "user1", lambda c: T.hash_user(c, "strict", SALT)) == "user-87c6d7473a59"
+    assert one(spark, "user1", lambda c: T.hash_user(c, "strict", SALT)) == "user-6bb3e8349623"
     assert one(spark, "", lambda c: T.hash_user(c, "strict", SALT)) == ""
     assert one(spark, None, lambda c: T.hash_user(c, "strict", SALT)) is None
     assert one(spark, "user1", T.hash_user) == "user1"

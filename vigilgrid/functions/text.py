@@ -15,10 +15,14 @@ _SPACE_CHARS = (
 SPACE = f"[{_SPACE_CHARS}]"
 NON_SPACE = f"[^{_SPACE_CHARS}]"
 # White space that is not one plain blank: what collapsing to one blank really changes.
-UNEVEN_SPACE = f" {SPACE}+|[{_SPACE_CHARS.replace('-' + chr(92) + 'x20', '-' + chr(92) + 'x1f')}]{SPACE}*"
-TRIM_CHARS = "".join(
-    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
-) + "\u2028\u2029\u202f\u205f\u3000"
+UNEVEN_SPACE = (
+    rf" {SPACE}+|[\t-\r\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]{SPACE}*"
+)
+TRIM_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
+    "           "
+    "    　"
+)
 DIGIT = r"\p{Nd}"
 
 # Redaction patterns and placeholders, in the order in which they are applied.
