@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -122,6 +123,32 @@ def test_chats_are_read_back_as_they_were(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("step", "sizes"), [(1, (7, 3)), (3, (64, 16)), (256, (1 << 20, 1 << 12))])
+def test_long_chats_in_steps_and_segments(spark, monkeypatch, step, sizes):
+    monkeypatch.setattr(chat_format, "STEP", step)
+    monkeypatch.setattr(chat_format, "SEGMENTS", tuple(s // sizes[1] * sizes[1] for s in sizes))
+    rng = random.Random(9)
+    rows = [(c, i, rng.choice(["user", "assistant"]), rng.choice(["", "é😀", "</turn>", "x" * 40, "###&"])) for c in range(5) for i in range(rng.randint(1, 60))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    done = chat_format.format_chats(df)
+    read = done.select("conv_id", "formatted", "loss", chat_format.read_turns("formatted").alias("t"), chat_format.learned_texts("formatted", "loss").alias("l"))
+    for r in read.collect():
+        turns = [(role, text) for c, _, role, text in rows if c == r["conv_id"]]
+        assert [(t["role"], t["text"]) for t in r["t"]] == turns
+        assert r["l"] == [text for role, text in turns if role == "assistant"]
+        assert len(r["loss"]) == len(r["l"])
+
+
+def test_a_very_long_chat_takes_time_by_its_length(spark):
+    """100,000 turns in one conversation, formatted and read back."""
+    df = spark.range(100_000).selectExpr("1L AS conv_id", "id AS turn", "CASE WHEN id % 3 = 0 THEN 'user' ELSE 'assistant' END AS role", "concat('text ', id, ' </turn>') AS text")
+    begin = time.time()
+    done = chat_format.format_chats(df)
+    row = done.select(F.size(chat_format.read_turns("formatted")).alias("n"), F.array_join(chat_format.learned_texts("formatted", "loss"), "|").alias("l")).first()
+    assert row["n"] == 100_000 and row["l"] == "|".join(f"text {i} </turn>" for i in range(100_000) if i % 3)
+    assert time.time() - begin < 60  # quadratic work takes more than half an hour
+
+
 def test_no_python_in_chat_formatting(spark, sf_dir):
     plan = queries.QUERIES["op3_chat_format"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
