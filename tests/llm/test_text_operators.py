@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigilgrid.llm import byte_bpe, language_id, queries, simhash, toxicity
+from vigilgrid.llm import byte_bpe, common, language_id, queries, simhash, toxicity
 from vigilgrid.llm.components import components
 
 ODD = [
@@ -136,76 +136,93 @@ def test_simhash_odd_rows(spark, odd):
     assert kept.filter("doc_id is null").count() == 1
 
 
-def test_near_copies_go_and_others_stay(spark):
+def test_keep_one_keeps_each_group_once_whatever_ids_are_repeated(spark):
+    """Against brute force: groups are of fingerprints; the smallest id of each stays, with the text that belongs to it."""
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
-    texts = [[rng.choice(words) for _ in range(150)] for _ in range(30)]
-    near = [t[:60] + ["changed"] + t[61:] for t in texts[:10]]  # 141 of 151 five-word shingles are shared
-    # 106 of 186 shingles are shared: many are within the radius, but no near copies.
-    half = [t[:110] + [rng.choice(words) for _ in range(40)] for t in texts[10:20]]
-    docs = [(i, " ".join(t)) for i, t in enumerate(texts + near + half)]
+    texts = [" ".join(rng.choice(words) for _ in range(600)) for _ in range(40)]
+    near = [t + " end" for t in texts[:20]] + [t.replace(" ", "  ").upper() for t in texts[20:30]]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(near)]
+    docs += [(3, "A a a"), (5, "A a a"), (5, "B b b"), (5, "C c c"), (5, "C c c"), (200, texts[39]), (-1, texts[39] + " x"), (7, texts[8])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    kept = simhash.keep_one(df, width=5, words=4, radius=60, distinct=True, min_similarity=0.8)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(30), *range(40, 50)]
-
-
-@given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=300))
-@settings(max_examples=50, deadline=None)
-def test_sketches_estimate_similarity(shared, own):
-    a, b = (np.array(sorted(s), dtype=np.uint64) for s in (shared, shared | own))
-    x, y = (np.frombuffer(simhash.set_sketch(h), np.uint8)[None] for h in (a, b))
-    true = len(a) / max(1, len(b)) if len(b) else 1.0
-    assert simhash.similar(x, y, true - 0.35)[0] and (true > 0.65 or not simhash.similar(x, y, true + 0.35)[0])
-    assert simhash.similar(x, x, 1.0)[0]
-
-
-def test_near_copies_are_the_pairs_of_brute_force(spark):
-    """All pairs of Jaccard similarity 0.8 and no others, with the pipeline's parameters."""
-    rng = random.Random(31)
-    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
-
-    def cut(tokens, n):  # n words in one place, replaced
-        at = rng.randint(0, len(tokens) - n)
-        return tokens[:at] + [rng.choice(words) for _ in range(n)] + tokens[at + n :]
-
-    texts = []
-    for size in [8, 9, 10, 12, 15, 20] * 20 + [40, 94, 200, 500] * 12:
-        base = [rng.choice(words) for _ in range(size)]
-        texts += [base, base[:-1], base + [rng.choice(words)]]
-        texts += [cut(base, max(1, round(size * share))) for share in (0.05, 0.09, 0.1, 0.105, 0.11, 0.12, 0.13)]
-    sets = [set(simhash.shingle_hashes(" ".join(t), 5)) for t in texts]
-    root = list(range(len(sets)))
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for j, y in enumerate(sets):
-        for i in range(j - j % 10, j):  # texts of different bases share no shingle
-            if len(sets[i] & y) / len(sets[i] | y) >= 0.8:
-                a, b = sorted((top(i), top(j)))
-                root[b] = a
-    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, **corpus_pipeline.NEAR).collect()}
-    assert found == {i: top(i) for i in range(len(texts))}
-
-
-@given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 2**64 - 1), max_size=60))
-@settings(max_examples=80, deadline=None)
-def test_no_similar_sets_are_excluded(shared, one, other):
-    x, y = shared | one, shared | other
-    share = len(x & y) / max(1, len(x | y))
-    if not 0.3 < share < 1:
-        return
-    arrays = [np.array(sorted(s), dtype=np.uint64) for s in (x, y)]
-    bits = []
-    for a in arrays:
-        n = simhash.parity_words(simhash.size_level(len(a), share), share)
-        bits.append(np.frombuffer(simhash.parities(a, n), "<u8")[:, None])
-    sizes = [np.array([len(a)]) for a in arrays]
-    assert abs(simhash.size_level(len(x), share) - simhash.size_level(len(y), share)) <= 1
-    assert [len(i) for i, _ in simhash.possible_pairs(*bits, *sizes, share)] == [1]
+    prints = [_fingerprint(t) for _, t in docs]
+    expected = {}
+    for (doc_id, text), group, print_ in zip(docs, _groups(prints, 2), prints):
+        expected[group] = min(expected.get(group, (10**9,)), (doc_id, print_ - (print_ >> 63 << 64)))
+    kept = simhash.keep_one(df, **corpus_pipeline.NEAR).collect()
+    found = [(r["doc_id"], _fingerprint(r["text"])) for r in kept]
+    assert sorted((k, p - (p >> 63 << 64)) for k, p in found) == sorted(expected.values())
+    small = spark.createDataFrame([("3", "A"), ("5", "A"), ("5", "B")], "doc_id string, text string")  # keys of any type
+    assert sorted(tuple(r) for r in simhash.keep_one(small).collect()) == [("3", "A"), ("5", "B")]
+
+
+def test_crowded_cells_are_the_work_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 4)
+    monkeypatch.setattr(simhash, "MEETING", 2)
+    rng = random.Random(3)
+    # All fingerprints have the same population counts: one cell.
+    prints = list({sum(1 << (16 * s + b) for s in range(4) for b in rng.sample(range(6), 3)) for _ in range(150)})
+    groups = spark.createDataFrame(list(enumerate(prints)), "rep long, w0 long")
+    got = {r["node"]: r["component"] for r in components(simhash.links(groups, 2), "a", "b").collect()}
+    assert [got.get(i, i) for i in range(len(prints))] == _groups(prints, 2)
+    axes, steps = simhash._axes(1, 2)
+    tiles = simhash._tiles(groups, axes, 1).cache()
+    pairs = simhash._meeting(tiles, steps)
+    n = tiles.count()
+    assert tiles.select("cell").distinct().count() == 1 and pairs.count() == n * (n + 1) // 2
+    tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("t")).count().collect()]
+    assert len(tasks) >= 4 and max(tasks) < pairs.count() / 2
+
+
+def test_few_hashes_are_ranked_and_none_of_the_others_exchanged(spark):
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id % 2 END AS g", "xxhash64(id) AS h")
+    picked = common.smallest_hashes(rows, "g", "h", 50)
+    counts = {r["g"]: r["count"] for r in picked.groupBy("g").count().collect()}
+    assert sorted(counts) == [0, 1] and all(30 <= n <= 50 for n in counts.values())
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_lattices_that_are_not_decoded_have_no_known_reading():
+    rng = random.Random(4)
+    words = ["idiot", "scum", "trash", "moron", "stupid", "letter", "house", "reading"]
+    counts = np.zeros((27, 27, 27))
+    for word in words:
+        line = [0, 0, *[ord(c) - 96 for c in word], 0]
+        for x, y, z in zip(line, line[1:], line[2:]):
+            counts[x, y, z] += 50
+    costs = toxicity.language_model(counts.ravel())
+    model = toxicity.Model(costs, {"idiot": 2.0, "scum": 1.0, "mor-": 1.0, "trash": 1.5, "stup-": 1.0, "a": 0.5}, 0.0)
+    with_gate = toxicity.Restorer(costs, model.known, model.weights)
+    without = toxicity.Restorer(costs, model.known)
+    marks = list("0134@$!|+(*-._~,'\";:?[]{})") + ["\u200b", " ", "é", "х"]
+    refused = 0
+    for _ in range(4000):
+        letters = list(rng.choice(words) if rng.random() < 0.7 else "".join(rng.choice("abcdeilmorstu") for _ in range(rng.randint(1, 8))))
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(letters) + 1)
+            letters[at:at] = rng.choice([rng.choice(marks), letters[at - 1] if at else "x"])
+        token = "".join(letters)
+        assert with_gate.token(token) == without.token(token) == without.whole_token(token)
+        assert with_gate._known(with_gate._read(token)) == without._known(without._read(token))
+        refused += not with_gate.spelling.may(token)
+    assert refused > 500
+    for _ in range(2000):  # runs of short tokens are found wherever they are
+        tokens = [rng.choice(["i", "d", "ab", "!", "..", "word", "i.", "c!)", "ab.", "'", "x'y"]) for _ in range(rng.randint(1, 8))]
+        text = "".join(t + rng.choice([" ", "  ", "\n"]) for t in tokens)
+        for letters in (1, 2):
+            assert toxicity.spaced_runs_of(text, letters) == toxicity.spaced_runs(tokens, letters=letters)
+
+
+def test_sparse_regression_is_the_dense_one():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (200, 12)) * (rng.random((200, 12)) < 0.3)
+    y = (x @ rng.normal(size=12) + rng.normal(size=200) > 0).astype(float)
+    rows, columns = np.nonzero(x)
+    w = toxicity.logistic(rows, columns, x[rows, columns].astype(float), y, 12)
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    slope = np.append(x.T @ (p - y) + w[:-1], (p - y).sum() + 1e-3 * w[-1])
+    assert np.abs(slope).max() < 1e-5
 
 
 def test_components_of_chains_stars_and_nothing(spark):

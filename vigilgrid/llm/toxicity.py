@@ -7,16 +7,20 @@ known feature; while features are learned, a token with clear traces does. Compa
 of other scripts that look like ours are replaced before, format characters removed. In the lattice
 each character offers the letters it may stand for, or nothing. The Viterbi algorithm finds the most
 probable reading under a character trigram model, exactly, since a lattice has few states at a time.
-Tokens without traces are their own reading. The trigram model is counted over all texts.
+Tokens without traces are their own reading. The trigram model is counted over all texts. While toxicity
+is scored, only known features matter: a lattice in which no path spells one is not decoded, which
+changes no score (``Spelling``).
 
 The score comes from the words of the restored text: words themselves, and how many distinct words
-share a beginning (a stem takes many endings). Candidates are counted in a bounded sample of labelled
-rows (``SAMPLE_PER_LABEL``: of both labels the texts with the smallest hashes), and a logistic regression
-weighs them together, so that words which merely share texts with toxic words gain little. Its odds
-are set back from the sample's share of toxic texts to that of all labelled texts.
+share a beginning (a stem takes many endings). They are counted in a bounded sample of labelled rows
+(``SAMPLE_PER_LABEL``: of both labels the texts with the smallest hashes). All that occur in more of the
+toxic texts than of the others, by a likelihood-ratio test (``SIGNIFICANT``), are features. A logistic
+regression over their sparse counts weighs them together, so that words which merely share texts with
+toxic words gain little. Its odds are set back from the sample's share of toxic texts to that of all
+labelled texts.
 
 Counting and scoring run where the rows are; only narrow rows (key, hash, label) are exchanged. The
-driver sees 27 ** 3 counts, ``MAX_CANDIDATES`` features and the bounded sample's hits.
+driver sees 27 ** 3 counts and the features of the bounded sample.
 
 Defined results: null and empty texts get the score of texts without a known feature; without any
 labelled text of both kinds every score is 0; of several labels for one key the largest counts; rows with a null label teach
@@ -29,12 +33,13 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -42,7 +47,7 @@ from .common import SLICE_ROWS, append_values, fresh_name, map_texts, smallest_h
 
 SAMPLE_PER_LABEL = 4000
 THRESHOLD = 0.3
-MAX_CANDIDATES = 500
+SIGNIFICANT = 10.83  # of the likelihood ratio, one in a thousand by chance
 STEMS = (4, 5, 6, 7)  # lengths of the beginnings that count
 MOST_WORDS = 6  # of a stem, in one text
 CACHE_TOKENS = 300_000
@@ -67,6 +72,11 @@ _TRACE = re.compile(
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[^a-z]|([a-z])\1")
 _CLOSING = ".,;:?!\"')]}"
+# A word of a-z with nothing but marks around it that are no part of a disguise.
+_BARE = re.compile(r"[\"'.,;:?\-\[\]{})]*([a-z]+)[\"'.,;:?\-()\[\]{}]*")
+_TRIPLE = re.compile(r"([a-z])\1\1")
+# Where runs of short tokens may be: such tokens one after the other, the last one with closing marks or not.
+_SHORT = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}(?!\S))+(?:\s+\S{1,2}[.,;:?!\"')\]}]+(?!\S))?")
 # Cyrillic and Greek letters and the Latin ones that they look like.
 _SCRIPTS = str.maketrans(
     "авеікмнорстухјѕһԁԛԝъьпгαβεικνορτυχω",
@@ -126,6 +136,19 @@ def fit_language_model(df: DataFrame, text: str = "text") -> np.ndarray:
     return language_model(counts)
 
 
+@lru_cache(maxsize=4096)
+def _signs(ch: str) -> tuple[list[tuple[int, float]], float | None]:
+    base = _PLAIN.get(ord(ch))
+    if base is not None:
+        return [(ord(base) - 96, 0.0)], None
+    if ch.isspace():
+        return [(0, 0.0)], DROP_COST
+    if ch in LOOKALIKES:
+        cost = VEIL_COST if ch == "*" else SWAP_COST
+        return [(ord(x) - 96, cost) for x in LOOKALIKES[ch]], 2 * DROP_COST
+    return [], DROP_COST
+
+
 class Decoder:
     """Most probable reading of disguised tokens under a letter model."""
 
@@ -133,21 +156,9 @@ class Decoder:
         self.costs = costs.tolist()
 
     @staticmethod
-    def lattice(token: str) -> list[tuple[list[tuple[int, float]], float | None]]:
+    def lattice(token: str) -> Iterator[tuple[list[tuple[int, float]], float | None]]:
         """For each character the symbols it may stand for with their costs, and the cost of dropping it."""
-        out = []
-        for ch in token:
-            base = _PLAIN.get(ord(ch))
-            if base is not None:
-                out.append(([(ord(base) - 96, 0.0)], None))
-            elif ch.isspace():
-                out.append(([(0, 0.0)], DROP_COST))
-            elif ch in LOOKALIKES:
-                cost = VEIL_COST if ch == "*" else SWAP_COST
-                out.append(([(ord(x) - 96, cost) for x in LOOKALIKES[ch]], 2 * DROP_COST))
-            else:
-                out.append(([], DROP_COST))
-        return out
+        return map(_signs, token)
 
     def read(self, token: str) -> str:
         """Reading of a token or a run of spaced letters: words of a-z between single spaces."""
@@ -184,6 +195,49 @@ class Decoder:
         return "".join(" " if s == 0 else chr(96 + s) for s in reversed(symbols)).strip()
 
 
+class Spelling:
+    """Whether a lattice may spell a known word, or a longer one with a known beginning.
+
+    The features form a trie. All its nodes that the symbols read so far can lead to are followed at
+    once; most tokens leave it after a few characters. A node is a prefix of a feature, so there are
+    few at a time. What is refused has no reading with a known word; what is let through is decoded.
+    """
+
+    def __init__(self, names: Iterable[str]):
+        self.root: dict = {}
+        for name in names:
+            node = self.root
+            for letter in name.rstrip("-"):
+                node = node.setdefault(letter, {"": letter})
+            node["stem" if name.endswith("-") else "word"] = True
+
+    def may(self, token: str) -> bool:
+        nodes = {id(self.root): self.root}
+        one_word = not any(ch.isspace() for ch in token)
+        for options, drop in Decoder.lattice(token):
+            after = dict(nodes) if drop is not None else {}
+            if options and options[0][0] == 0:  # a word may end here and another one start
+                if any("word" in node for node in nodes.values()):
+                    return True
+                after[id(self.root)] = self.root
+            for node in nodes.values():
+                for symbol, _ in options:
+                    if symbol == 0:
+                        continue
+                    letter = chr(96 + symbol)
+                    if node.get("") == letter:  # one more of the letter before
+                        after[id(node)] = node
+                    child = node.get(letter)
+                    if child is not None:
+                        if "stem" in child:
+                            return True
+                        after[id(child)] = child
+            nodes = after
+            if one_word and not nodes:
+                return False
+        return any("word" in node for node in nodes.values())
+
+
 def _shown(text: str) -> str:
     """``_folded`` text as it looks: without format characters, compatibility forms and other scripts' look-alikes."""
     if text.isascii():
@@ -200,18 +254,37 @@ def _folded(text: str) -> str:
 class Restorer:
     """Words of restored texts; readings of tokens are remembered within a task."""
 
-    def __init__(self, costs: np.ndarray, keep: Callable[[str], bool] | None = None):
+    def __init__(self, costs: np.ndarray, keep: Callable[[str], bool] | None = None, names: Iterable[str] | None = None):
         self.decoder = Decoder(costs)
         self.keep = keep
+        self.spelling = None if names is None else Spelling(names)
         self.cache: dict[str, tuple[str, ...]] = {}
 
+    def _read(self, token: str) -> list[str]:
+        """Words of the most probable reading; none where no reading can have a known word."""
+        if self.spelling is not None and not self.spelling.may(token):
+            return []
+        return self.decoder.read(token).split()
+
     def _known(self, words: list[str]) -> tuple[str, ...]:
         return tuple(words) if self.keep is None else tuple(w for w in words if self.keep(w))
 
     def token(self, token: str) -> tuple[str, ...]:
+        """Known words of a token. Most tokens are plain words, for which little has to be looked at."""
+        if self.keep is not None and token.isascii():
+            lower = token.lower()
+            bare = _BARE.fullmatch(lower)
+            if bare and not _TRIPLE.search(lower):
+                word = bare.group(1)
+                if self.keep(word):
+                    return (word,)
+                return self._known(self._read(word)) if _ODD.search(word) else ()
+        return self.whole_token(token)
+
+    def whole_token(self, token: str) -> tuple[str, ...]:
         shown = _folded(token)
         traced = _TRACE.search(shown)
-        known = self._known(self.decoder.read(shown).split() if traced else _WORD.findall(token.lower()))
+        known = self._known(self._read(shown) if traced else _WORD.findall(token.lower()))
         if known or self.keep is None:
             return known
         looks = _shown(token)
@@ -220,7 +293,7 @@ class Restorer:
             return ()
         if not _ODD.search(core):
             return self._known([core]) if core != token.lower() else ()
-        return self._known(self.decoder.read(core).split()) or self._known(_WORD.findall(core))
+        return self._known(self._read(core)) or self._known(_WORD.findall(core))
 
     def words(self, texts: list[str]) -> list[set[str]]:
         """The distinct (known) words of each whole text after restoring it."""
@@ -229,8 +302,7 @@ class Restorer:
             cache.clear()
         out = []
         for text in texts:
-            tokens = text.split()
-            distinct = set(tokens)
+            distinct = set(text.split())
             found: set[str] = set()
             for t in distinct.difference(cache):
                 words = self.token(t)
@@ -241,9 +313,8 @@ class Restorer:
             for words in map(cache.get, distinct):
                 if words:
                     found.update(words)
-            if any(len(t) == 1 or len(t.rstrip(_CLOSING)) == 1 for t in distinct):
-                for run in spaced_runs(tokens, letters=1 if self.keep is None else 2):
-                    found.update(self._known(self.decoder.read(_folded(run)).split()))
+            for run in spaced_runs_of(text, letters=1 if self.keep is None else 2):
+                found.update(self._known(self._read(_folded(run))))
             out.append(found)
         return out
 
@@ -267,6 +338,11 @@ def spaced_runs(tokens: list[str], least: int = 3, letters: int = 1) -> list[str
     return runs
 
 
+def spaced_runs_of(text: str, letters: int) -> list[str]:
+    """``spaced_runs`` of the tokens of a text, from the few places where there may be any."""
+    return [run for m in _SHORT.finditer(text) for run in spaced_runs(m.group().split(), letters=letters)]
+
+
 def stems(word: str) -> list[str]:
     return [word[:n] + "-" for n in STEMS if len(word) > n]
 
@@ -297,22 +373,47 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, logit)))) if self.bias > -math.inf else 0.0
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weights of a logistic regression, the bias last, by Newton's method with a ridge."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.full(x.shape[1], ridge)
+def logistic(
+    rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, ridge: float = 1.0, rounds: int = 25
+) -> np.ndarray:
+    """Weights of a logistic regression on sparse features, the bias last, by Newton's method with a ridge.
+
+    Each step is found by conjugate gradients, so no matrix over the features is built.
+    """
+    penalty = np.full(width + 1, ridge)
     penalty[-1] = 1e-3
-    w = np.zeros(x.shape[1])
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, values * v[columns], minlength=len(y)) + v[-1]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(columns, values * r[rows], minlength=width), r.sum())
+
+    w = np.zeros(width + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + penalty * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), slope)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        curve = p * (1 - p)
+        rest = back(p - y) + penalty * w
+        step, way, size = np.zeros_like(w), rest.copy(), rest @ rest
+        for _ in range(500):
+            if size < 1e-14:
+                break
+            turned = back(curve * times(way)) + penalty * way
+            far = size / (way @ turned)
+            step += far * way
+            rest -= far * turned
+            size, before = rest @ rest, size
+            way = rest + size / before * way
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def _xlogx(x: Column, share: Column) -> Column:
+    return F.when(x > 0, x * F.log(x / share)).otherwise(0.0)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -355,30 +456,25 @@ def fit(
     named = distinct.select("h", "label", F.explode(F.array_compact(begins)).alias("name")).groupBy("h", "label", "name")
     named = named.agg(F.least(F.count(F.lit(1)), F.lit(MOST_WORDS)).alias("n"))
     counts = named.groupBy("name").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-    lift = ((F.col("toxic") + 0.5) / (size.get(1, 0) + 1)) / ((F.col("clean") + 0.5) / (size.get(0, 0) + 1))
-    gain = (F.col("toxic") * F.log(lift)).alias("gain")
-    best = counts.filter((F.col("toxic") >= 4) & (lift > 3)).select("name", gain)
-    best = best.orderBy(F.col("gain").desc(), "name").limit(MAX_CANDIDATES).select("name").collect()
-    names = {row["name"]: i for i, row in enumerate(best)}
-    listed = spark.createDataFrame([(n,) for n in names], "name string")
-    rows = named.join(F.broadcast(listed), "name").groupBy("h").agg(F.collect_list(F.struct("name", "n")).alias("found"))
-    rows = restored.select("h", "label").join(rows, "h", "left").select("label", "found").collect()
-    return _weighed(costs, names, [(row["label"], row["found"] or []) for row in rows], totals)
-
-
-def _weighed(costs: np.ndarray, names: dict[str, int], rows: list[tuple], totals: dict[int, int]) -> Model:
-    x = np.zeros((len(rows), len(names)))
-    y = np.array([label for label, _ in rows], dtype=float)
-    for i, (_, found) in enumerate(rows):
-        for name, n in found:
-            x[i, names[name]] = n
-    w = logistic(x, y)
+    # Likelihood ratio of the counts in toxic and other texts against equal rates.
+    share = size.get(1, 0) / (size.get(0, 0) + size.get(1, 0))
+    both = F.col("toxic") + F.col("clean")
+    ratio = 2 * (_xlogx(F.col("toxic"), both * share) + _xlogx(F.col("clean"), both * (1 - share)))
+    best = counts.filter((F.col("toxic") > both * share) & (ratio >= SIGNIFICANT)).select("name")
+    names = sorted(best.toArrow().column("name").to_pylist())
+    listed = spark.createDataFrame(pa.table({"name": pa.array(names, pa.string()), "at": pa.array(range(len(names)), pa.int32())}))
+    # Numbers only, as arrays: what the driver holds is bounded by the sample.
+    texts = restored.select("h", "label").toArrow().sort_by("h")
+    hits = named.join(listed, "name").select("h", "at", "n").toArrow()
+    hashes, y = (texts.column(c).to_numpy() for c in ("h", "label"))
+    rows = np.searchsorted(hashes, hits.column("h").to_numpy())
+    w = logistic(rows, hits.column("at").to_numpy(), hits.column("n").to_numpy().astype(float), y.astype(float), len(names))
     shift = math.log(totals[1] / totals[0]) - math.log(y.sum() / max(1.0, (1 - y).sum()))
-    return Model(costs, {name: float(w[i]) for name, i in names.items()}, float(w[-1]) + shift)
+    return Model(costs, dict(zip(names, w.tolist())), float(w[-1]) + shift)
 
 
 def _scorer(model: Model):
-    restorer = Restorer(model.costs, model.known)
+    restorer = Restorer(model.costs, model.known, model.weights)
 
     def many(texts: list) -> tuple:
         return ([model.score(words) for words in restorer.words(texts)],)
