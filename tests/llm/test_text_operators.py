@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -214,6 +215,15 @@ def test_lattices_that_are_not_decoded_have_no_known_reading():
             assert toxicity.spaced_runs_of(text, letters) == toxicity.spaced_runs(tokens, letters=letters)
 
 
+def test_signs_that_are_no_letters_are_of_no_language(monkeypatch):
+    names, scores = language_id._predictor(None)(["²½", "Ⅷ 12", "", "_ 7"])
+    assert names == [language_id.UNKNOWN] * 4 and scores == [0.0] * 4
+    read = []
+    monkeypatch.setattr(language_id, "document_probabilities", lambda net, texts: read.extend(texts) or np.ones((len(texts), 1)))
+    names, _ = language_id._predictor(SimpleNamespace(langs=["en"]))(["²½ Ⅷ", "é", "", "中"])
+    assert read == ["é", "中"] and names == [language_id.UNKNOWN, "en", language_id.UNKNOWN, "en"]
+
+
 def test_sparse_regression_is_the_dense_one():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 3, (200, 12)) * (rng.random((200, 12)) < 0.3)

@@ -17,7 +17,6 @@ are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +37,6 @@ READ_LENGTH = 128
 READ_WINDOWS = 4096
 SPACE = 0x20
 
-_LETTER = re.compile(r"[^\W\d_]")
 _LETTER_BYTES = np.zeros(256, dtype=bool)
 _LETTER_BYTES[ord("a") : ord("z") + 1] = True
 _LETTER_BYTES[0x80:] = True
@@ -277,7 +275,7 @@ FIELDS = [("lang_pred", StringType()), ("score", DoubleType())]
 def _predictor(net: Network | None):
     def many(texts: list) -> tuple:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        lettered = [i for i, text in enumerate(texts) if _LETTER.search(text)]
+        lettered = [i for i, text in enumerate(texts) if any(map(str.isalpha, text))]
         if net is not None and lettered:
             p = document_probabilities(net, [texts[i] for i in lettered])
             for i, row in zip(lettered, p, strict=True):
