@@ -68,8 +68,9 @@ def _with_targets(
         present = table.groupBy(dim).agg(F.sum("tokens").alias("_n")).join(given, dim, "left")
         share = F.when(F.col("_n") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0)
         present = present.select(dim, share.alias("share"))
-        scaled = present.withColumn("_total", F.sum("share").over(Window.partitionBy()))
-        table = table.join(scaled.select(dim, F.try_divide("share", "_total").alias(f"_t_{dim}")), dim, "left")
+        present = stage(present, f"mix-shares-{dim}")
+        total = F.lit(present.agg(F.sum("share")).first()[0]).cast("double")
+        table = table.join(present.select(dim, F.try_divide("share", total).alias(f"_t_{dim}")), dim, "left")
     return table
 
 
@@ -84,7 +85,7 @@ def rake(
     ``targets`` holds ``dim, share`` by dimension; a dimension without gets its observed shares to the
     power of its temperature (1 leaves them as they are).
     """
-    whole = F.sum("tokens").over(Window.partitionBy())
+    whole = F.lit(table.agg(F.sum("tokens")).first()[0]).cast(table.schema["tokens"].dataType)
     current = stage(
         _with_targets(table, dims, targets or {}, temperatures or {}).withColumn("_whole", whole).withColumn("factor", F.lit(1.0)), "mix-start"
     )
@@ -137,7 +138,7 @@ def with_probability(
     """Rows of ``df`` with the probability that a document of their cell is kept."""
     raked = rake(stage(cells(df, dims, tokens), "mix-cells"), list(dims), targets, temperatures)
     if budget is None:
-        most = F.max(F.when(F.col("tokens") > 0, F.col("factor"))).over(Window.partitionBy())
+        most = F.lit(raked.agg(F.max(F.when(F.col("tokens") > 0, F.col("factor")))).first()[0]).cast("double")
         kept = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("factor"), most), F.lit(1.0)))
     else:
         c = budget_scale(raked, budget)

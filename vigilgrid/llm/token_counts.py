@@ -28,6 +28,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.relational import salted_join
+
 CHANGES = "doc_id long, source string, lang string, version string, docs long, tokens long, batch long, attempt string"
 DELTAS = "source string, lang string, version string, docs long, tokens long, batch long, attempt string"
 COMMITS = "batch long, attempt string"
@@ -139,6 +141,11 @@ def counted_documents(df: DataFrame) -> DataFrame:
 
 
 def copies(df: DataFrame) -> DataFrame:
-    """``doc_id`` of every document whose whole text a document with a smaller id has."""
-    first = df.groupBy("digest").agg(F.min("doc_id").alias("_first"))
-    return df.join(first, "digest").filter(F.col("doc_id") > F.col("_first")).select("doc_id").distinct()
+    """``doc_id`` of every document whose whole text a document with a smaller id has.
+
+    Only digests that occur more than once are joined, and the rows of one digest are spread by their ids.
+    """
+    first = df.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    repeated = first.filter(F.col("_rows") > 1).drop("_rows")
+    joined = salted_join(df.select("digest", "doc_id"), repeated, ["digest"], ["doc_id"], "inner")
+    return joined.filter(F.col("doc_id") > F.col("_first")).select("doc_id").distinct()
