@@ -14,7 +14,7 @@ from ..session import stage
 
 SLICE_ROWS = 128  # rows whose texts are Python objects at one time
 
-__all__ = ["SLICE_ROWS", "append_values", "crc_bucket", "fresh_name", "map_texts", "numbers", "partitions", "smallest_hashes", "stage", "stage_small", "table"]
+__all__ = ["SLICE_ROWS", "append_values", "bound_batches", "crc_bucket", "fresh_name", "map_texts", "numbers", "partitions", "smallest_hashes", "stage", "stage_small", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,14 @@ Make = Callable[[], Callable[[list], tuple]]
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def bound_batches(spark: SparkSession, batch: str = "8m") -> None:
+    """Bound the bytes that tasks and their Python workers exchange at one time, from now on in this session.
+
+    For what is written later, by someone else.
+    """
+    spark.conf.set(BATCH_BYTES, batch)
+
+
 def stage_small(df: DataFrame, label: str, batch: str = "8m") -> DataFrame:
     """``stage`` with a bound on the bytes that a task and its Python worker exchange at one time.
 
