@@ -196,8 +196,9 @@ def apply_header_override(spark, sf):
     """
     SELECT a.sheet_id, 'Customer report' || CASE WHEN b.cells[1] <> '' THEN '_' || b.cells[1] ELSE '' END || '|'
            || array_to_string(list_transform([2, 3, 4], lambda i: a.cells[2] || coalesce('_' || b.filled[i], '')), '|') AS headers
-    FROM sr a JOIN (SELECT *, CASE WHEN len(cells) = 3 THEN [cells[1], cells[2], cells[3], NULL] ELSE cells END AS filled FROM sr) b
-      ON b.sheet_id = a.sheet_id AND a.row_idx = 0 AND b.row_idx = 1
+    FROM (SELECT * FROM sr WHERE row_idx = 0) a
+    JOIN (SELECT *, CASE WHEN len(cells) = 3 THEN [cells[1], cells[2], cells[3], NULL] ELSE cells END AS filled FROM sr WHERE row_idx = 1) b
+      ON b.sheet_id = a.sheet_id
     """,
 )
 def flatten_headers(spark, sf):
