@@ -13,7 +13,8 @@ rows is held. The rank file is read on the driver once and shipped with the func
 vocabulary, below ``MAX_RANK_BYTES``.
 
 Defined results: a null or empty text has no tokens; lone surrogates cannot occur in Spark strings;
-rows with the same key are encoded one by one; other columns are ignored.
+rows with the same key are encoded one by one; a very long text, or one match of the pattern in it, is
+encoded whole; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations

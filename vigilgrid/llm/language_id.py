@@ -11,8 +11,8 @@ language the texts with the smallest hash. The parameters of the network are a f
 travel with the task; no row moves for prediction.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; the same for every text
-if no labelled text is given; ties go to the language that sorts first; repeated rows give a row each; other columns
-are ignored.
+if no labelled text is given; ties go to the language that sorts first; repeated rows give a row each; very long texts
+are read whole, in windows; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ sees. Shards hold about ``vectors.SHARD_ROWS`` rows, whatever the table; of equa
 the k + 1 smallest ids can matter.
 
 Defined results: as in ``vectors.usable_vectors``; vectors meet those of their own length only; ties go to
-the smaller id; a query is not compared with its own id; an empty table gives an empty table.
+the smaller id; a query is not compared with rows of its own id; rows that repeat an id take part each
+with its vector; other columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ source is one row per task. Nothing reaches the driver but the commit log of the
 Defined results: of several events for one document and version in a batch the last counts (by ``seq``,
 then delete over revise over insert, then the largest count); a delete of an unknown document does
 nothing; a null count is 0; events without document or version are ignored; null sources and languages
-are groups of their own; other columns are ignored.
+are groups of their own; other columns are ignored; an empty batch is committed and changes nothing.
 """
 
 from __future__ import annotations

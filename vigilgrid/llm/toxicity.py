@@ -24,7 +24,8 @@ driver sees 27 ** 3 counts and the features of the bounded sample.
 
 Defined results: null and empty texts get the score of texts without a known feature; without any
 labelled text of both kinds every score is 0; of several labels for one key the largest counts; rows with a null label teach
-nothing; repeated rows get a row each; other columns are ignored.
+nothing; repeated rows get a row each; very long texts are scored whole; other columns are ignored; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ path beginnings (``judge_joined``), with the same result. With the trie no row m
 
 Defined results: host and path are empty for a null URL and for one without ``://``, and the default
 verdict holds; hosts are compared as written apart from A-Z; rules with a null host or verdict are
-ignored, a null path is empty; repeated rows get a row each; other columns are ignored.
+ignored, a null path is empty; repeated rows get a row each; very long URLs are judged whole; other
+columns are ignored; an empty table gives an empty table, an empty rule table the default for all.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ Every row is indexed. Scores are computed at the end from the original vectors.
 shard only the k + 1 smallest ids are kept, since no more can be among the best.
 
 Defined results: as in ``vectors.usable_vectors``; vectors of length zero take no part; vectors meet those
-with as many components only; ties go to the smaller id; a query is not compared with its own id.
+with as many components only; ties go to the smaller id; a query is not compared with rows of its own
+id; rows that repeat an id take part each with its vector; other columns are ignored, whatever their
+names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
