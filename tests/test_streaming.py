@@ -1,6 +1,7 @@
 """Streaming counts against the batch rules."""
 
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -97,3 +98,21 @@ def test_events_without_a_time_are_counted_as_in_the_batch(spark, tmp_path):
     assert whole == {r["type"]: r["event_count"] for r in rules.detect_incidents(batch).collect()}
     untimed = batch.filter(F.col("ts").isNull())
     assert {r["type"]: r["n"] for r in timeless.collect()} == {r["type"]: r["event_count"] for r in rules.detect_incidents(untimed).collect()}
+
+
+def test_state_of_untimed_events_levels_off(spark, tmp_path):
+    """A live stream: digests of events without a time expire, those within the delay still tell copies apart."""
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    kept = []
+    for number in range(7):
+        now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        events = [log(now, ["bsod"], message=f"timed {number}")] + 2 * [log("junk", ["bsod"], message=f"{number}-{i}") for i in range(20)]
+        (folder / f"{number}.json").write_text(json.dumps(document("HOST-001", "20260101T000000", events)))
+        docs = detect.snapshot_stream(spark, str(folder), layout="lines", max_files_per_trigger=1)
+        query = detect.stream_detect(detect.rule_counts(docs, delay="1 second", span="1 second"), out, state)
+        query.awaitTermination()
+        kept.append(max(op["numRowsTotal"] for op in query.lastProgress["stateOperators"]))
+    rows = spark.read.parquet(out).filter(F.col("window_start").isNull())
+    assert rows.agg(F.sum("event_count")).first()[0] == 7 * 20
+    assert kept[-1] <= 60 < 7 * 20

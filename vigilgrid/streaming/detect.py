@@ -47,8 +47,10 @@ def rule_counts(
     dropped. Counts combine on the map side before the stateful exchange.
 
     Events without a usable time are never late and have no window: each match is a row of its own with
-    null window ends, as soon as it arrives. Their digests stay in the state, those of matching events
-    only, and the documents are read once more for them.
+    null window ends, as soon as it arrives. Copies of them are told by the digests of what arrived
+    before; these expire by the time of arrival, ``delay`` after it, once the watermark of the stream has
+    passed that, so the state of a live stream does not grow without end. The documents are read once
+    more for them.
     """
     events = snapshots.select("host_id", F.explode("events").alias("e")).select(
         "host_id",
@@ -63,7 +65,11 @@ def rule_counts(
     windowed = counted.select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "host_id", "rule_no", F.col("count").alias("event_count")
     )
-    untimed = slim.filter(F.col("ts").isNull() & (F.size("numbers") > 0)).dropDuplicates(["host_id", "digest"])
+    # The watermark of arrival has to see every event, or it would hold back the other one where all have
+    # times: the condition names its column, so that it is not evaluated before.
+    arrived = slim.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", delay)
+    matching = F.when(F.col("arrived") > F.lit("1970-01-02").cast("timestamp"), F.col("ts").isNull() & (F.size("numbers") > 0))
+    untimed = arrived.filter(matching).dropDuplicatesWithinWatermark(["host_id", "digest"])
     never = F.lit(None).cast("timestamp")
     single = untimed.select(
         never.alias("window_start"), never.alias("window_end"), "host_id", F.explode("numbers").alias("rule_no"), F.lit(1).cast("long").alias("event_count")
