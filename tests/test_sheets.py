@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from vigilgrid.functions.relational import block_join, ranked_position, salted_join, split_position
+from vigilgrid.functions.relational import block_join, ranked_position, salted_join, split_position, spread_join
 from vigilgrid.model import SHEET_ROWS
 from vigilgrid.operators import grid, ledger, mapping, profile
 from vigilgrid.plans import onboarding
@@ -262,6 +262,43 @@ def test_salted_join_equals_plain_join(spark):
         assert sorted(plain.collect(), key=str) == sorted(salted.collect(), key=str)
 
 
+def _joins(df):
+    """Names of the joins that ran."""
+    df.collect()
+    return set(re.findall(r"(\w+Join)\b", df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]))
+
+
+def test_joins_go_by_the_size_of_exploded_rows_not_by_their_files(spark, tmp_path):
+    spark.range(3000).selectExpr("concat('k', id) AS key").coalesce(1).write.parquet(str(tmp_path / "few"))
+    few = spark.read.parquet(str(tmp_path / "few"))
+    many = few.select("key", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("w"))
+    rows = spark.range(30_000).selectExpr("concat('k', id) AS key", "id AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")  # the file is smaller, its 60,000 rows are not
+    try:
+        for joined in (salted_join(rows, many, ["key"], ["v"], "inner"), spread_join(rows, many, ["key"], ["v"])):
+            assert "SortMergeJoin" in _joins(joined)
+            assert joined.count() == 60_000
+        small = salted_join(rows, few.limit(3), ["key"], ["v"], "inner")
+        assert "SortMergeJoin" not in _joins(small) and small.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_spread_join_equals_plain_join_and_repeats_rows_of_frequent_keys_only(spark):
+    rows = spark.range(2000).selectExpr(
+        "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 < 3 THEN 'hot' ELSE concat('k', id) END AS key", "id AS v"
+    )
+    sides = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), (None, 4), ("k9999", 5)], "key string, w int")
+    for how in ("inner", "left", "right", "left_anti"):
+        shown = ["key", "v"] if how == "left_anti" else ["key", "v", "w"]
+        plain = rows.join(sides, "key", how).select(shown)
+        spread = spread_join(rows, sides, ["key"], ["v"], how, rows=100).select(shown)
+        assert sorted(plain.collect(), key=str) == sorted(spread.collect(), key=str)
+    # Of the copies of a frequent key those that meet no row go.
+    same = spread_join(rows.withColumn("s", F.lit(1)), sides, ["key"], ["s"], "right", rows=100)
+    assert same.filter("key = 'hot'").count() == 1600 and same.filter("v IS NULL").count() == 2
+
+
 def test_split_position_equals_plain_rank(spark):
     rows = spark.range(2000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 50) END AS key", "(id * 7919) % 1000 AS o", "id")
     placed = split_position(rows, ["key"], [F.col("o"), F.col("id")], F.floor(F.col("o") / 100), "p").collect()

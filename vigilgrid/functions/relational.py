@@ -87,16 +87,47 @@ def salted_join(
     """Equi-join whose keys may be very uneven on the ``big`` side.
 
     Rows of ``big`` with one key are spread over ``salts`` tasks by a hash of ``salt_from``; the
-    rows of ``small`` (unique or few per key) are repeated once per salt.
+    rows of ``small`` (unique or few per key) are repeated once per salt. They meet the salts in a cross
+    join: of exploded rows Spark's estimates know nothing, and a table far too large for the driver would
+    look small enough to broadcast.
     """
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    every = small.sparkSession.range(salts).select(F.col("id").cast("int").alias("_salt"))
+    right = small.crossJoin(F.broadcast(every))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 BLOCK_ROWS = 1 << 16
 
 
+def spread_join(
+    big: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    salt_from: Sequence[str],
+    how: str = "inner",
+    rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Equi-join like ``salted_join`` for a ``small`` side of very many keys, few of them frequent.
+
+    Only keys with more than ``rows`` rows in ``big`` are spread, and only their rows of ``small`` are
+    repeated, once per ``rows`` rows. There are at most as many such keys as ``rows`` fits into ``big``, so
+    that table may be broadcast. ``small`` never is, whatever its files or exploded rows make Spark think
+    of its size. ``big`` is read twice and should be cheap. ``how="right"`` keeps rows of
+    ``small`` without a partner once: frequent keys have partners, so their copies without one may go.
+    """
+    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+    frequent = F.broadcast(counts.select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = big.join(frequent, list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(*salt_from), salts).cast("int"))
+    right = small.join(frequent, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    right = right.withColumnRenamed("_salts", "_copies").hint("merge")
+    if how != "right":
+        return left.drop("_salts").join(right.drop("_copies"), [*keys, "_salt"], how).drop("_salt")
+    joined = left.withColumn("_met", F.lit(True)).drop("_salts").join(right, [*keys, "_salt"], how)
+    return joined.filter(F.col("_met") | F.col("_copies").isNull()).drop("_salt", "_met", "_copies")
+
+
 def block_join(
     rows: DataFrame, per_key: DataFrame, key: str, position: str, block: int = BLOCK_ROWS
 ) -> DataFrame:

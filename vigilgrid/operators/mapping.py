@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
-from ..functions.relational import block_join, salted_join
+from ..functions.relational import block_join, spread_join
 from ..session import stage
 from .grid import LABEL_ROWS, inside_region, region_plan, resolve_header_by_labels, rows_at
 
@@ -73,7 +73,7 @@ def apply_adapter(
         )
 
     # One adapter may serve most sheets, so its join is spread by sheet.
-    chosen = salted_join(sheet_specs, specs, ["spec_id"], ["sheet_id"], "inner")
+    chosen = spread_join(sheet_specs, specs, ["spec_id"], ["sheet_id"], "inner")
     plan = (
         region_plan(headers, regions)
         .join(chosen, "sheet_id", "inner")
@@ -93,8 +93,10 @@ def apply_adapter(
 def parse_recipe_fields(fields: DataFrame) -> DataFrame:
     """Recipe fields resolved to metadata cells or columns; what cannot be used gets a warning.
 
-    ``fields``: ``recipe_id, ord, target, source_pointer`` (JSON text), ``source_type, data_type``.
+    ``fields``: ``recipe_id, ord, target, source_pointer`` (JSON text), ``source_type, data_type``. They may
+    come from few files, so they are dealt out before their pointers are parsed.
     """
+    fields = fields.repartition("recipe_id", "ord")
     pointer = F.trim("source_pointer")
     is_object = pointer.startswith("{")
     is_text = pointer.startswith('"')
@@ -168,7 +170,7 @@ def extract_metadata(
     ``narrowed``: ``rows`` are cut to the rows in question already.
     """
     cells = parsed.filter(F.col("kind") == "metadata")
-    wanted = salted_join(sheet_recipes, cells, ["recipe_id"], ["sheet_id"], "inner").select(
+    wanted = spread_join(sheet_recipes, cells, ["recipe_id"], ["sheet_id"], "inner").select(
         "sheet_id", "recipe_id", "ord", "target", F.col("row").cast("bigint").alias("row_idx"), "col", "data_type"
     )
     near = rows if narrowed else rows_at(rows, wanted)
@@ -191,12 +193,12 @@ def apply_recipe(rows: DataFrame, sheet_recipes: DataFrame, recipes: DataFrame,
     ``(target, data_type, number, date, text)`` in output order. A plan per sheet (column positions
     and cleaned metadata) is built from the top rows and joined to the data rows once.
     """
-    parsed = parse_recipe_fields(fields).filter(F.col("kind").isNotNull())
+    parsed = stage(parse_recipe_fields(fields).filter(F.col("kind").isNotNull()), "recipe-fields")
     # Rows that may be headers or hold metadata.
     explicit = recipes.select("recipe_id", F.col("header_row").try_cast("int").alias("row_idx"))
     named = explicit.union(parsed.filter(F.col("kind") == "metadata").select("recipe_id", "row"))
     named = named.filter(F.col("row_idx") >= LABEL_ROWS).distinct()
-    wanted_rows = salted_join(sheet_recipes, named, ["recipe_id"], ["sheet_id"], "inner")
+    wanted_rows = spread_join(sheet_recipes, named, ["recipe_id"], ["sheet_id"], "inner")
     near = stage(rows_at(rows, wanted_rows, top=LABEL_ROWS), "near-rows")
     column = F.struct("ord", "target", "column_name", "column_index", "data_type")
     by_recipe = (
@@ -205,8 +207,8 @@ def apply_recipe(rows: DataFrame, sheet_recipes: DataFrame, recipes: DataFrame,
         .agg(F.sort_array(F.collect_list(column)).alias("_columns"))
     )
     # One recipe may serve most sheets, so its join is spread by sheet.
-    whole = recipes.join(by_recipe, "recipe_id", "inner")
-    usable = salted_join(sheet_recipes, whole, ["recipe_id"], ["sheet_id"], "inner")
+    whole = recipes.hint("merge").join(by_recipe, "recipe_id", "inner")
+    usable = spread_join(sheet_recipes, whole, ["recipe_id"], ["sheet_id"], "inner")
     wanted = usable.select(
         "sheet_id",
         "header_row",
@@ -313,8 +315,8 @@ def recipe_schema(sheet_recipes: DataFrame, recipes: DataFrame, parsed: DataFram
         return F.struct(name.alias("target"), name.alias("source"), F.coalesce(found["data_type"], F.lit("string")).alias("data_type"))
 
     columns = F.transform("_columns", lambda c: F.struct(c["target"].alias("target"), c["source"].alias("source"), c["data_type"].alias("data_type")))
-    plans = recipes.join(kinds, "recipe_id").select("recipe_id", F.concat(columns, F.transform(merged, merged_field)).alias("_fields"))
-    per_sheet = salted_join(sheet_recipes, plans, ["recipe_id"], ["sheet_id"], "inner")
+    plans = recipes.hint("merge").join(kinds, "recipe_id").select("recipe_id", F.concat(columns, F.transform(merged, merged_field)).alias("_fields"))
+    per_sheet = spread_join(sheet_recipes, plans, ["recipe_id"], ["sheet_id"], "inner")
     fields = per_sheet.select("sheet_id", F.posexplode("_fields").alias("out_idx", "_f"))
     cells = clean.join(sheet_recipes.select("sheet_id"), "sheet_id", "left_semi").select("sheet_id", F.posexplode("cells").alias("out_idx", "_v"))
     filled = cells.groupBy("sheet_id", "out_idx").agg(F.bool_and(~C.blank(F.col("_v"))).alias("_full"))
@@ -368,12 +370,12 @@ def recall_recipe(hashes: DataFrame, index: DataFrame) -> DataFrame:
     Many sheets may share a structure, so the join is spread by sheet.
     """
     known = index.select("structural_hash", "recipe_key")
-    return salted_join(hashes, known, ["structural_hash"], ["sheet_id"], "inner")
+    return spread_join(hashes, known, ["structural_hash"], ["sheet_id"], "inner")
 
 
 def unmatched_sheets(hashes: DataFrame, index: DataFrame) -> DataFrame:
     known = index.select("structural_hash")
-    return salted_join(hashes, known, ["structural_hash"], ["sheet_id"], "left_anti")
+    return spread_join(hashes, known, ["structural_hash"], ["sheet_id"], "left_anti")
 
 
 def apply_confirmations(sheets: DataFrame, candidates: DataFrame, confirmations: DataFrame) -> DataFrame:
