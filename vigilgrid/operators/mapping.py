@@ -173,6 +173,8 @@ def extract_metadata(
     wanted = spread_join(sheet_recipes, cells, ["recipe_id"], ["sheet_id"], "inner").select(
         "sheet_id", "recipe_id", "ord", "target", F.col("row").cast("bigint").alias("row_idx"), "col", "data_type"
     )
+    if not narrowed:
+        wanted = stage(wanted, "metadata-cells")
     near = rows if narrowed else rows_at(rows, wanted)
     located = wanted.join(near, ["sheet_id", "row_idx"], "left")
     empty = F.array().cast("array<string>")
