@@ -270,6 +270,19 @@ def test_tickets_are_read_and_attached(spark, tmp_path):
     assert sorted(r["host_id"] for r in tickets.collect()) == ["HOST-001", "HOST-001", "unknown"]
 
 
+def test_hosts_are_not_repeated_for_their_tickets(spark):
+    hosts = spark.range(300).selectExpr("'r' AS run_id", "concat('H', id) AS host_id")
+    tickets = spark.range(900).selectExpr("'r' AS run_id", "concat('H', id % 200) AS host_id", "concat('T', id) AS ticket_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        attached = timeline.attach_tickets(hosts, tickets)
+        assert attached.count() == 1000 and attached.filter("ticket_id IS NULL").count() == 100
+        plan = attached._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.split("== Initial Plan ==")[0].count("SortMergeJoin") == 1 and "LeftAnti" not in plan
+
+
 def test_clean_tables_are_written_with_a_manifest(spark, tmp_path):
     rows = spark.range(50).selectExpr("concat('s', id % 3) AS sheet_id", "id AS v")
     for fmt in ("csv", "parquet"):

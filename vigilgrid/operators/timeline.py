@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.relational import ranked_position, salted_join
+from ..functions.relational import ranked_position, spread_join
 from ..model import HOST
 from .rules import dedup_events, event_order
 
@@ -96,9 +96,7 @@ def attach_tickets(hosts: DataFrame, tickets: DataFrame) -> DataFrame:
     """
     columns = [c for c in tickets.columns if c not in HOST]
     known = hosts.select(*HOST)
-    matched = salted_join(tickets.select(*HOST, *columns), known, list(HOST), ["ticket_id"], "inner")
-    rest = known.join(tickets.select(*HOST).distinct(), list(HOST), "left_anti")
-    return matched.select(*HOST, *columns).unionByName(rest, allowMissingColumns=True)
+    return spread_join(tickets.select(*HOST, *columns), hosts.select(*HOST), list(HOST), ["ticket_id"], "right")
 
 
 def host_timeline(windows: DataFrame, events: DataFrame, incidents: DataFrame) -> DataFrame:
