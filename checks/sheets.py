@@ -800,8 +800,9 @@ def scan_large_csv(spark, sf):
         F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("z"),
     )
     rows = tb.table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", cells.alias("cells"))
-    lines = rows.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey")
-    lines.select("o_orderpriority", _csv_line().alias("value")).write.partitionBy("o_orderpriority").text(path)
+    lines = rows.select("o_orderpriority", "o_orderkey", _csv_line().alias("value"))
+    lines = lines.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey")
+    lines.select("o_orderpriority", "value").write.partitionBy("o_orderpriority").text(path)
     found = files.scan_large_csv(spark, path, pattern="*.txt")
     name = F.regexp_extract("sheet_id", "o_orderpriority=([^/]+)", 1)
     return found.select(F.url_decode(F.regexp_replace(name, r"\+", "%2B")).alias("priority"), "row_idx", joined("cells", "#").alias("cells"))
@@ -821,10 +822,10 @@ def scan_quoted_csv(spark, sf):
     broken = F.concat(F.expr("repeat('\"\n,', CAST(o_orderkey % 7 AS INT))"), "o_orderstatus")
     cells = F.array(F.col("o_orderkey").cast("string"), broken)
     rows = tb.table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", cells.alias("cells"))
-    lines = rows.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey")
-    # A quote inside an unquoted cell opens nothing.
-    line = F.concat(_csv_line(), F.lit(',a"b'))
-    lines.select("o_orderpriority", line.alias("value")).write.partitionBy("o_orderpriority").text(path)
+    # A quote inside an unquoted cell opens nothing. Lines are made before a task gets the whole of a file.
+    lines = rows.select("o_orderpriority", "o_orderkey", F.concat(_csv_line(), F.lit(',a"b')).alias("value"))
+    lines = lines.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey")
+    lines.select("o_orderpriority", "value").write.partitionBy("o_orderpriority").text(path)
     found = files.scan_large_csv(spark, path, pattern="*.txt")
     name = F.regexp_extract("sheet_id", "o_orderpriority=([^/]+)", 1)
     return found.select(F.url_decode(F.regexp_replace(name, r"\\+", "%2B")).alias("priority"), "row_idx", joined("cells", "#").alias("cells"))

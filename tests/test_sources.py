@@ -93,6 +93,24 @@ def test_states_of_lines_are_those_of_the_csv_module(text, cut):
         assert (end, first + second) == large_csv.effect(lines, start)[:2]
 
 
+@settings(max_examples=500, deadline=None)
+@given(text=CSV_TEXT)
+def test_both_starts_of_a_chunk_are_found_in_one_pass(text):
+    lines = text.encode().split(b"\n")
+    out, in_ = large_csv.effects(lines)
+    assert out[:2] == large_csv.effect(lines, False)[:2] and in_ == large_csv.effect(lines, True)
+
+
+def test_a_file_in_one_split_is_decoded_by_several_tasks(spark, tmp_path, monkeypatch):
+    write_csv(tmp_path / "one.csv", [[str(i), "a\n" * (i % 4), "x"] for i in range(3000)])
+    with open(tmp_path / "one.csv", newline="", encoding="utf-8") as handle:
+        expected = [("one.csv", i, cells) for i, cells in enumerate(csv.reader(handle))]
+    monkeypatch.setattr(large_csv, "CHUNK_BYTES", 700)
+    found = files.scan_large_csv(spark, str(tmp_path))
+    assert grid_of(found) == expected
+    assert found.groupBy(F.spark_partition_id().alias("task")).count().count() > 1
+
+
 def test_sheets_that_cannot_be_read_are_told_and_left_out(spark, tmp_path):
     write_csv(tmp_path / "good.csv", ROWS)
     (tmp_path / "latin.csv").write_bytes("größe,ok\n1,2\n".encode("latin-1"))

@@ -19,7 +19,9 @@ import csv
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,21 @@ def effect(lines: list[bytes], inside: bool) -> tuple[bool, int, int]:
     return inside, started, carried
 
 
+def effects(lines: list[bytes]) -> tuple[tuple[bool, int, int], tuple[bool, int, int]]:
+    """``effect`` from outside and from inside quotes; both go on as one where they meet."""
+    out, started, in_, started_in, carried, open_before = False, 0, True, 0, 0, True
+    for place, line in enumerate(lines, 1):
+        carried += open_before
+        started_in += not (open_before or in_)
+        started += not out
+        out, in_ = after_line(out, line), after_line(in_, line)
+        open_before = open_before and in_
+        if out == in_ and not open_before:
+            end, more, _ = effect(lines[place:], out)
+            return (end, started + more, 0), (end, started_in + more, carried)
+    return (out, started, 0), (in_, started_in, carried)
+
+
 def _chunks(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """``sheet_id, block, chunk, data``: consecutive lines of a split of a file, about ``CHUNK_BYTES`` each."""
     lines = (
@@ -65,7 +82,7 @@ def _chunks(spark: SparkSession, path: str, pattern: str) -> DataFrame:
         .select(
             key_below(F.col("_metadata.file_path"), path).alias("sheet_id"),
             F.col("_metadata.file_block_start").alias("block"),
-            F.col("value").cast("binary").alias("line"),
+            F.concat("value", F.lit("\n")).cast("binary").alias("line"),
         )
     )
 
@@ -74,17 +91,31 @@ def _chunks(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
         def flushed() -> pa.RecordBatch:
             columns = [pa.array([x]) for x in (place[0], place[1], number)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([b"\n".join(held)], pa.binary())], names=["sheet_id", "block", "chunk", "data"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array([b"".join(held)[:-1]], pa.binary())], names=["sheet_id", "block", "chunk", "data"])
 
         for batch in batches:
-            for sheet, block, line in zip(*(column.to_pylist() for column in batch.columns)):
-                if held and ((sheet, block) != place or size + len(line) > CHUNK_BYTES):
+            sheets, blocks, column = batch.columns
+            # The lines of a batch lie one after the other, so consecutive ones are taken as one piece.
+            at = np.frombuffer(column.buffers()[1], "int64" if pa.types.is_large_binary(column.type) else "int32")
+            at = at[column.offset : column.offset + len(column) + 1].astype("int64")
+            data, start = memoryview(column.buffers()[2] or b""), 0
+            ends = {n for x in (sheets, blocks) for n in pc.run_end_encode(x).run_ends.to_pylist()}
+            for end in sorted(ends):
+                here = (sheets[start].as_py(), blocks[start].as_py())
+                if held and here != place:
                     yield flushed()
-                    number = number + 1 if (sheet, block) == place else 0
-                    held, size = [], 0
-                place = (sheet, block)
-                held.append(line)
-                size += len(line) + 1
+                    number, held, size = 0, [], 0
+                place = here
+                while start < end:
+                    fits = min(int(np.searchsorted(at, at[start] + CHUNK_BYTES - size + 1, "right")) - 1, end)
+                    if held and fits <= start:
+                        yield flushed()
+                        number, held, size = number + 1, [], 0
+                        continue
+                    fits = max(fits, start + 1)
+                    held.append(bytes(data[at[start] : at[fits]]))
+                    size += int(at[fits] - at[start])
+                    start = fits
         if held:
             yield flushed()
 
@@ -108,7 +139,7 @@ def _facts(chunks: DataFrame) -> DataFrame:
                     data.decode("utf-8")
                 except UnicodeDecodeError as reason:
                     error = f"not UTF-8: {reason.reason}"
-                out, in_ = effect(lines, False), effect(lines, True)
+                out, in_ = effects(lines)
                 whole = in_[2] == len(lines) and in_[0] and len(data) > 4 * MAX_CELL
                 row = (sheet, block, chunk, out[0], in_[0], out[1], in_[1], whole, error)
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row[:-1]] + [pa.array([error], pa.string())], names=_FACTS_NAMES)
@@ -185,7 +216,9 @@ def _records(sheet: str, data: bytes, inside: bool, first: int, place: int) -> I
 
 def decode(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """``sheet_id, row_idx, cells, error``: rows of all files; sheets that can't be read have errors among them."""
-    chunks = _chunks(spark, path, pattern)
+    # Cut once and dealt out: few large files would leave all later work to few tasks.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    chunks = stage(_chunks(spark, path, pattern).repartition(n, "sheet_id", "block", "chunk"), "csv-chunks")
     plan = stage(_plan(_facts(chunks)), "csv-plan")
     broken = plan.filter(F.col("error").isNotNull()).groupBy("sheet_id").agg(F.min("error").alias("error"))
     good = plan.join(broken, "sheet_id", "left_anti").drop("error")
