@@ -174,3 +174,14 @@ def test_a_job_that_fails_leaves_nothing_visible(spark, tmp_path, monkeypatch):
     assert output(spark, root, "a") == (None, []) and store.recipe_index(spark, root).count() == 0
     onboarding.run_onboarding_flow(sheets(spark, a=META), root, at(), attempt="2")
     assert states(spark, root)["a"][1] == "continue_to_schema"
+
+
+def test_recipes_that_no_sheet_takes_are_left_aside(spark, tmp_path, monkeypatch):
+    root, seen = str(tmp_path), []
+    whole = onboarding.mapping.apply_recipe
+    monkeypatch.setattr(onboarding.mapping, "apply_recipe", lambda *a: seen.append({r[0] for r in a[3].select("recipe_id").collect()}) or whole(*a))
+    others = [("other", *f[1:]) for f in FIELDS]
+    told = tables(spark, sheet_recipes=[("a", "r")], recipes=[("r", "1", None, True), ("other", "1", None, True)], fields=FIELDS + others)
+    onboarding.run_onboarding_flow(sheets(spark, a=META), root, at(), told, attempt="1")
+    onboarding.run_onboarding_flow(sheets(spark, b=META), root, at(), attempt="2")
+    assert seen == [{"1/r"}, {"1/r"}] and len(output(spark, root, "b")[1]) == 2

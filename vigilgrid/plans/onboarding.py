@@ -193,11 +193,13 @@ def _publish_sheets(
     recalled = evidence.recalled.join(given, "sheet_id", "left_anti")
     recalled = recalled.select("sheet_id", F.col("recipe_key").alias("recipe_id"), F.lit(True).alias("recalled"))
     sheet_recipes = stage(given.join(hashes, "sheet_id", "left_semi").unionByName(recalled), "sheet-recipes")
-    wanted = sheet_recipes.filter("recalled").select("recipe_id").distinct()
+    # Recipes that no sheet of this job takes are not looked at.
+    wanted = stage(sheet_recipes.select("recipe_id", "recalled").distinct(), "wanted-recipes")
     def with_recalled(name: str, table: str) -> DataFrame:
         stored = store.read_all(spark, root, table).withColumnRenamed("recipe_key", "recipe_id").drop("attempt")
-        both = told[name].withColumn("recipe_id", key).unionByName(stored.join(wanted, "recipe_id", "left_semi"))
-        return stage(both, f"all-{name}")
+        stored = stored.join(wanted.filter("recalled"), "recipe_id", "left_semi")
+        given = told[name].withColumn("recipe_id", key).join(wanted.filter("NOT recalled"), "recipe_id", "left_semi")
+        return stage(given.unionByName(stored), f"all-{name}")
 
     recipes, fields = with_recalled("recipes", "recipes"), with_recalled("fields", "recipe_fields")
 
@@ -210,7 +212,7 @@ def _publish_sheets(
 
     # Sheets with a recipe.
     by_recipe = stage(ready.filter(F.col("header_source") == "recipe").select("sheet_id", "recipe_id"), "by-recipe")
-    parsed = mapping.parse_recipe_fields(fields)
+    parsed = stage(mapping.parse_recipe_fields(fields), "parsed-fields")
     values = mapping.apply_recipe(rows, by_recipe, recipes, fields)
     recipe_tables = values.select(
         "sheet_id", "row_idx", F.transform("values", lambda v: v["target"]).alias("headers"), F.transform("values", mapping.shown_value).alias("cells")
