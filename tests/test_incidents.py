@@ -309,3 +309,21 @@ def test_host_report_text(spark):
     assert "- [85] Detected blue screen or unexpected shutdown events (type=bsod, confidence=0.75)" in reports["HOST-001"]
     assert "None" not in reports["HOST-001"]
     assert reports["HOST-002"].endswith("No incidents detected.")
+
+
+def test_staged_matches_give_the_same_incidents_and_evidence_without_secrets(spark):
+    rows = [
+        event(tags=["bsod"], message="password=abc at C:/tmp/x", record_id=1, pos=1),
+        event(tags=["bsod"], message="password=abc at C:/tmp/x", record_id=1, pos=1, rank=1),
+        event(tags=["bsod", "disk_full"], message="mail a@b.example", record_id=2, pos=2, ts=None),
+        event(host=None, tags=["disk_full"], message=None, provider=None, pos=3),
+        event(provider="Service Control Manager", source="disk", message="x", record_id=4, pos=4),
+    ]
+    events = events_of(spark, rows)
+    matches = rules.staged_matches(events)
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(rules.detect_incidents(matches, matched=True)) == key(rules.detect_incidents(events))
+    for limit in (1, None):
+        assert key(rules.incident_evidence(matches, limit=limit, matched=True)) == key(rules.incident_evidence(events, limit=limit))
+    stored = " ".join(r["message"] for r in matches.select("body.message").collect())
+    assert "abc" not in stored and "a@b" not in stored and matches.count() == 6

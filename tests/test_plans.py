@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from vigilgrid.functions.relational import block_join
 from vigilgrid.operators import fleet, rules, timeline
+from vigilgrid.plans import incident as flow
 from vigilgrid.sources import testbed as tb
 
 
@@ -105,3 +106,25 @@ def test_block_join_moves_the_rows_once(spark, no_broadcast):
     joined = block_join(rows, sides, "key", "pos")
     # rows by (key, block); extents by key, the other side by key, and their join by (key, block)
     assert exchanges(joined) == 4
+
+
+def test_a_report_deduplicates_events_once(spark, sf_dir, monkeypatch):
+    calls = []
+    matched = rules.matched_events
+    monkeypatch.setattr(rules, "matched_events", lambda *args: calls.append(1) or matched(*args))
+    report = entry.queries()["host_report"](spark, sf_dir)
+    assert len(calls) == 1 and "sha2" not in plan_of(report)
+
+
+def test_rules_and_users_of_snapshots_are_found_without_lambdas_and_sorts(spark, sf_dir):
+    assert "lambdafunction" not in plan_of(tb.endpoint_events(spark, sf_dir).select(rules.rule_matches()))
+    assert "SortAggregate" not in plan_of(tb.snapshots(spark, sf_dir))
+
+
+def test_hosts_are_scored_once_for_the_ranking(spark, sf_dir, monkeypatch):
+    plans = []
+    action = fleet.host_action
+    monkeypatch.setattr(fleet, "host_action", lambda top, *rest: plans.append(plan_of(top)) or action(top, *rest))
+    tables = flow.incident_table(tb.endpoint_events(spark, sf_dir), tb.snapshots(spark, sf_dir))
+    flow.fleet_view(*tables, tb.runs(spark, sf_dir))
+    assert len(plans) == 1 and "Window" not in plans[0] and "Exchange" not in plans[0]

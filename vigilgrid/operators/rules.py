@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.relational import first_per_group, ranked_position
 from ..model import HOST
+from ..session import stage
 
 
 @dataclass(frozen=True)
@@ -139,8 +140,9 @@ def rule_matches(rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
             hit = hit | source.contains(rule.source_contains)
         if rule.provider_contains:
             hit = hit | provider.contains(rule.provider_contains)
-        hits.append(F.when(hit, F.lit(number)))
-    return F.filter(F.array(*hits), lambda number: number.isNotNull())
+        hits.append(F.when(hit, F.lit(number)).otherwise(F.lit(0)))
+    # No lambda here: Spark would interpret it, and all that it reads, for every event.
+    return F.array_remove(F.array(*hits), 0)
 
 
 def rule_field(number: Column, rules: Sequence[Rule], field: str, kind: str) -> Column:
@@ -227,7 +229,8 @@ def matched_events(
         F.when(F.size("_rules") > 0, F.struct("ts", "ts_raw", payload.alias("body"))).alias("_event"),
     )
     order = [F.col("snap_rank").asc(), F.col("pos").asc()]
-    first = slim if deduplicated else first_per_group(slim, [*HOST, "_digest"], order)
+    # The digest comes first because sorts begin with it: it tells rows apart, names of runs and hosts rarely do.
+    first = slim if deduplicated else first_per_group(slim, ["_digest", *HOST], order)
     return first.filter(F.size("_rules") > 0).select(
         *HOST,
         F.explode("_rules").alias("rule_no"),
@@ -239,6 +242,22 @@ def matched_events(
     )
 
 
+def staged_matches(
+    events: DataFrame,
+    rules: Sequence[Rule] = DEFAULT_RULES,
+    redaction: str = "balanced",
+    path_patterns: str = "legacy",
+) -> DataFrame:
+    """Matched events, staged for operators that are called with ``matched=True``.
+
+    Deduplication moves all events, so it should happen once where incidents and their evidence are
+    both wanted. Redacted first: what is staged must not hold more than what is published.
+    """
+    clean = text.redact_message(F.col("body.message"), redaction, path_patterns)
+    matches = matched_events(events, rules).withColumn("body", F.col("body").withField("message", clean))
+    return stage(matches, "matched-events")
+
+
 def detect_incidents(
     events: DataFrame,
     windows: DataFrame | None = None,
@@ -246,16 +265,19 @@ def detect_incidents(
     redaction: str = "balanced",
     path_patterns: str = "legacy",
     deduplicated: bool = False,
+    matched: bool = False,
 ) -> DataFrame:
     """Incidents of every host of every run, one row per host and rule that fires.
 
     Counts and first events are combined on the map side, so no task holds the events of a host.
     Redaction and signatures are computed once per incident, on its first event. For events whose
-    messages are redacted already pass ``redaction='off'``.
+    messages are redacted already pass ``redaction='off'``. ``matched`` events are rows of
+    ``staged_matches``: matched by the same rules, deduplicated and redacted.
     """
+    redaction = "off" if matched else redaction
+    matches = events if matched else matched_events(events, rules, deduplicated)
     per_rule = (
-        matched_events(events, rules, deduplicated)
-        .groupBy(*HOST, "rule_no")
+        matches.groupBy(*HOST, "rule_no")
         .agg(
             F.count(F.lit(1)).alias("event_count"),
             F.min_by("body", _order_struct()).alias("_first"),
@@ -306,13 +328,16 @@ def incident_evidence(
     redaction: str = "balanced",
     limit: int | None = None,
     deduplicated: bool = False,
+    matched: bool = False,
 ) -> DataFrame:
     """Evidence rows of every incident, ranked in event order.
 
     With ``limit`` only the first rows per incident are kept. Without it all are ranked, by ranges of
-    the whole order, so a host with very many matches is not sorted by one task.
+    the whole order, so a host with very many matches is not sorted by one task. ``matched`` as for
+    ``detect_incidents``.
     """
-    matches = matched_events(events, rules, deduplicated)
+    redaction = "off" if matched else redaction
+    matches = events if matched else matched_events(events, rules, deduplicated)
     keys = [*HOST, "rule_no"]
     needed = rule_field(F.col("rule_no"), rules, "min_events", "bigint")
     if limit is None:

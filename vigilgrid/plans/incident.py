@@ -36,15 +36,20 @@ def incident_table(
     rule_set: Sequence[rules.Rule] = rules.DEFAULT_RULES,
     prepared: bool = False,
     salt: str | None = None,
+    matches: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Host windows and incidents, staged because every later step reads them several times.
 
-    ``prepared`` events are deduplicated and redacted already.
+    ``prepared`` events are deduplicated and redacted already. ``matches`` are the ``rules.staged_matches``
+    of the events, where other steps need them too.
     """
     windows = timeline.host_windows(snapshots, events, as_of)
     windows = stage(windows.withColumn("user_id", hash_user(F.col("user_id"), redaction, salt)), "windows")
     mode = "off" if prepared else redaction
-    found = rules.detect_incidents(events, windows, rule_set, mode, deduplicated=prepared)
+    known = matches is not None
+    found = rules.detect_incidents(
+        matches if known else events, windows, rule_set, mode, deduplicated=prepared, matched=known
+    )
     return windows, stage(found, "incidents")
 
 
@@ -62,7 +67,8 @@ def fleet_view(
     """
     found = fleet.cluster_status(fleet.clusters(incidents), runs, old_clusters)
     clusters = stage(found, "clusters")
-    ranked = fleet.top_hosts(windows, incidents)
+    # The few ranked hosts are read twice; without staging all hosts would be scored twice.
+    ranked = stage(fleet.top_hosts(windows, incidents), "ranked-hosts")
     top = stage(fleet.host_action(ranked, clusters, runs, old_scores), "top-hosts")
     summary = fleet.fleet_summary(windows, incidents, clusters, top, current)
     return FleetView(windows, incidents, clusters, top, summary)
