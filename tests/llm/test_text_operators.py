@@ -72,6 +72,19 @@ def test_bpe_query_and_odd_rows(spark, sf_dir, odd, tokens, other):
     assert byte_bpe.encode(odd.limit(0), tokens, public_tokenizers.PATTERN).count() == 0
 
 
+def test_round_trip_is_encoding_and_decoding_in_one_worker(spark, sf_dir, odd, tokens):
+    one = byte_bpe.with_round_trip(odd, tokens, public_tokenizers.PATTERN)
+    two = byte_bpe.with_decoded(byte_bpe.with_ids(odd, tokens, public_tokenizers.PATTERN), tokens)
+    assert one.dtypes == two.dtypes
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert byte_bpe.with_round_trip(odd.limit(0), tokens, public_tokenizers.PATTERN).count() == 0
+    with pytest.raises(ValueError, match="decoded"):
+        byte_bpe.with_round_trip(odd.withColumn("Decoded", F.lit(1)), tokens, public_tokenizers.PATTERN)
+    stage = corpus_pipeline.to_tokens(spark, odd, sf_dir)
+    for df in (stage, queries.QUERIES["op5_byte_bpe"](spark, sf_dir)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def _fingerprint(text, width=3):
     words = text.encode().lower().split()
     runs = [words[i : i + width] for i in range(len(words) - width + 1)] if len(words) >= width else [words] * bool(words)

@@ -9,7 +9,7 @@ bytes of their tokens. The split pattern must be one whose pre-tokens hold a spa
 in runs of white space only, as those of byte-level vocabularies do.
 
 Everything happens within a task (``mapInArrow``): no row moves and nothing but the text of a few
-rows is held. The rank file is read on the driver once and shipped with the function; it is a fixed
+rows is held. Where ids are decoded again, ``with_round_trip`` does both in one Python worker. The rank file is read on the driver once and shipped with the function; it is a fixed
 vocabulary, below ``MAX_RANK_BYTES``.
 
 Defined results: a null or empty text has no tokens; lone surrogates cannot occur in Spark strings;
@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType
 
-from .common import append_values, map_texts
+from .common import append_in_turn, append_values, map_texts
 
 MAX_RANK_BYTES = 64 << 20
 CACHE_CHUNKS = 300_000
@@ -201,19 +201,33 @@ def with_ids(df: DataFrame, tokens: list[bytes], pattern: str, text: str = "text
     return append_values(df, text, FIELDS, lambda: _encoder(tokens, pattern))
 
 
+def _decoder(tokens: list[bytes]):
+    def many(lists: list) -> tuple:
+        found = [b"".join(map(tokens.__getitem__, np.frombuffer(i, dtype="<u4").tolist())) for i in lists]
+        return (found,)
+
+    return many
+
+
+def _refuse(df: DataFrame, name: str) -> None:
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {name} already")
+
+
 def with_decoded(df: DataFrame, tokens: list[bytes], ids: str = "ids", name: str = "decoded") -> DataFrame:
     """Add the bytes of every id list, the exact inverse of ``encode``; null lists count as empty.
 
     A table that already has a column ``name`` is refused.
     """
-    if name.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"the table has a column {name} already")
+    _refuse(df, name)
+    return append_values(df, ids, [(name, BinaryType())], lambda: _decoder(tokens))
 
-    def make():
-        def many(lists: list) -> tuple:
-            found = [b"".join(map(tokens.__getitem__, np.frombuffer(i, dtype="<u4").tolist())) for i in lists]
-            return (found,)
 
-        return many
+def with_round_trip(df: DataFrame, tokens: list[bytes], pattern: str, text: str = "text", name: str = "decoded") -> DataFrame:
+    """``with_decoded`` of ``with_ids``: every text is encoded and its ids are decoded, by one Python worker per task.
 
-    return append_values(df, ids, [(name, BinaryType())], make)
+    A table that already has a column ``name`` is refused.
+    """
+    _refuse(df, name)
+    encoding = (text, FIELDS, lambda: _encoder(tokens, pattern))
+    return append_in_turn(df, [encoding, ("ids", [(name, BinaryType())], lambda: _decoder(tokens))])

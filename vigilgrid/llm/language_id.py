@@ -204,7 +204,9 @@ def sample_windows(
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not picked:
         return np.zeros((0, TRAIN_LENGTH), np.uint8), np.zeros(0, np.int64), []
-    names = df.sparkSession.createDataFrame([tuple(row) for row in picked], "_lang string, _h long")
+    # Made from Arrow: from Python rows Spark makes tables in more Python workers, which linger.
+    columns = {"_lang": pa.array([row["_lang"] for row in picked], pa.string()), "_h": pa.array([row["_h"] for row in picked], pa.int64())}
+    names = df.sparkSession.createDataFrame(pa.table(columns))
     rows = usable.join(F.broadcast(names), ["_lang", "_h"], "left_semi").select("_lang", "_h", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,8 +53,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tokens = byte_bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, tokens, public_tokenizers.PATTERN)
-    both = byte_bpe.with_decoded(encoded, tokens)
+    both = byte_bpe.with_round_trip(docs, tokens, public_tokenizers.PATTERN)
     return both.select(
         "doc_id",
         "n_tokens",

@@ -436,7 +436,9 @@ def fit(
     if not totals.get(0) or not totals.get(1):
         return Model(costs, {}, -math.inf)
     picked = smallest_hashes(known, "_label", "_h", per_label).select("_h", "_label").collect()
-    names = spark.createDataFrame([tuple(row) for row in picked], "_h long, _label int")
+    # Made from Arrow: from Python rows Spark makes tables in more Python workers, which linger.
+    columns = {"_h": pa.array([row["_h"] for row in picked], pa.int64()), "_label": pa.array([row["_label"] for row in picked], pa.int32())}
+    names = spark.createDataFrame(pa.table(columns))
     texts = docs.select(F.col(f"`{text}`").alias("_text")).withColumn("_h", F.xxhash64("_text"))
     texts = texts.join(F.broadcast(names), "_h").select("_h", "_label", "_text")
 
