@@ -273,3 +273,69 @@ def test_the_pipeline_mix_keeps_its_budget_beside_a_tiny_source(spark):
     rows = [(i, "word " * 20, "en", "hot" if i % 3 else "rare") for i in range(3000)] + [(5000, "word " * 20, "en", "one")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert corpus_pipeline.mix_sources(spark, df, "").count() > 0.9 * len(rows)
+
+
+def mixed(df):
+    """Expected token shares, rows with their expected copies and growth of a whole mix of ``doc_id, source, lang, n``."""
+    dims = ("source", "lang")
+    rated = mixing.with_probability(df, {d: F.col(d) for d in dims}, F.col("n"), temperatures={"lang": 1.0}, name="copies", whole=True).collect()
+    weight, total = {}, sum(r["n"] * r["copies"] for r in rated)
+    for r in rated:
+        for d in dims:
+            weight[d, r[d]] = weight.get((d, r[d]), 0) + r["n"] * r["copies"] / total
+    return weight, rated, total / sum(r["n"] for r in rated)
+
+
+def test_a_whole_mix_keeps_every_document_and_meets_the_targets(spark):
+    rows = [(i, "hot" if i % 20 else "mid", "en" if i % 3 else "de", 100) for i in range(4000)] + [(9000 + i, "few", "en", 20) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n long")
+    weight, rated, growth = mixed(df)
+    n = {s: sum(r[3] for r in rows if r[1] == s) for s in ("hot", "mid", "few")}
+    root = sum(v**0.5 for v in n.values())
+    for s, v in n.items():
+        assert weight["source", s] == pytest.approx(v**0.5 / root, rel=1e-6)
+    for lang in ("en", "de"):
+        assert weight["lang", lang] == pytest.approx(sum(r[3] for r in rows if r[2] == lang) / sum(n.values()), rel=1e-6)
+    assert min(r["copies"] for r in rated) >= 1.0 and growth == pytest.approx(n["hot"] / sum(n.values()) * root / n["hot"] ** 0.5)
+    drawn = mixing.sample(df, {"source": F.col("source"), "lang": F.col("lang")}, F.col("n"), temperatures={"lang": 1.0}, whole=True)
+    got = {r["doc_id"]: r["count"] for r in drawn.groupBy("doc_id").count().collect()}
+    expected = {r["doc_id"]: r["copies"] for r in rated}
+    assert set(got) == {r[0] for r in rows} and all(abs(got[i] - expected[i]) < 1 for i in got)
+    assert drawn.columns == [*df.columns, "probability"]
+    total = sum(got[r[0]] * r[3] for r in rows)
+    for s, v in n.items():
+        assert sum(got[r[0]] * r[3] for r in rows if r[1] == s) / total == pytest.approx(v**0.5 / root, rel=0.05)
+
+
+def test_a_whole_mix_stays_bounded_if_targets_contradict_each_other(spark):
+    """A tiny source makes up most of a rare language, so its target and that of the language cannot both be met."""
+    rows = [(i, "hot", "en", 100) for i in range(2000)] + [(5000, "hot", "xx", 10), (5001, "tiny", "xx", 50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n long")
+    _, rated, growth = mixed(df)
+    assert 1.0 <= growth <= 2**0.5 and all(1.0 <= r["copies"] < 1000 for r in rated)
+
+
+def test_a_whole_mix_of_odd_rows(spark):
+    rows = [(i, None if i % 4 == 0 else "a", "en", 10) for i in range(40)] + [(100, "empty", "en", 0), (101, "a", None, None), (None, "a", "en", 10), (7, "a", "en", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n long")
+    dims = {"source": F.col("source"), "lang": F.col("lang")}
+    drawn = mixing.sample(df, dims, F.col("n"), temperatures={"lang": 1.0}, whole=True)
+    assert drawn.count() >= len(rows) and drawn.filter("doc_id IN (100, 101)").count() == 2 and drawn.filter("doc_id IS NULL").count() > 0
+    assert mixing.sample(df.limit(0), dims, F.col("n"), whole=True).count() == 0
+    assert mixing.sample(df.withColumn("n", F.lit(0)), dims, F.col("n"), whole=True).count() == len(rows)
+    only = {"source": spark.createDataFrame([("a", 1.0)], "source string, share double")}
+    assert {r["source"] for r in mixing.sample(df.filter("n > 0"), dims, F.col("n"), targets=only, whole=True).collect()} == {"a"}
+
+
+def test_the_pipeline_mix_leaves_no_document_out(spark):
+    def mix(sources):
+        rows = [(i, "word " * 20, "en", s) for i, s in enumerate(sources)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        return rows, corpus_pipeline.mix_sources(spark, df, "").collect()
+
+    rows, got = mix(["one"] * 600)
+    assert sorted(r["doc_id"] for r in got) == [r[0] for r in rows]  # nothing to mix, nothing lost
+    rows, got = mix(["hot" if i % 20 else "mid" for i in range(3000)])
+    assert {r["doc_id"] for r in got} == {r[0] for r in rows}
+    share = sum(r["source"] == "mid" for r in got) / len(got)
+    assert share == pytest.approx(150**0.5 / (150**0.5 + 2850**0.5), rel=0.1)

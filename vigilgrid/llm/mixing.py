@@ -7,6 +7,11 @@ sample whose expected token weights have the target shares without repeating a d
 sets the size of that sample. With ``budget``, the share of all tokens that is expected to stay, it does
 not: the probability is min(1, c * factor), with c such that the budget is met. Cells that reach 1 give all
 they have, fall short of their targets by the rest, and the others take that rest by their factors.
+``whole`` leaves no document out and meets the targets nevertheless: each stays once, and documents of values
+that have less than their share are repeated. The mix is the smallest in which every value has its target share
+and no value less than its own tokens; the tokens to be added are raked to what the targets are short of.
+So its size is known before, however small a source is: the largest quotient of observed and target share, which
+for tempered sources is at most the square root of their number.
 
 Cells are a Spark table and are never collected; a sweep over the dimensions is a window
 for each, and every few sweeps end in a written table, so plans stay short and a lost executor repeats
@@ -126,6 +131,42 @@ def budget_scale(raked: DataFrame, budget: float) -> float | None:
     return None if c is None or c == float("inf") else c
 
 
+def expected_copies(
+    table: DataFrame,
+    dims: Sequence[str],
+    targets: Mapping[str, DataFrame] | None = None,
+    temperatures: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """``dims …, copies``: how often documents of each cell are wanted, 1 at least, for marginals with the target shares.
+
+    What is added to the documents is raked, not the documents, so contradicting targets make neither a cell
+    vanish nor the mix grow. Values with a target of 0 are not wanted at all; cells without tokens stay as they are.
+    """
+    rated = stage(_with_targets(table, dims, targets or {}, temperatures or {}), "mix-targets")
+    refused = F.lit(False)
+    for d in dims:
+        refused = refused | F.coalesce(F.col(f"_t_{d}") == 0, F.lit(False))
+    refused = refused & (F.col("tokens") > 0)
+    fitted = rated.filter(~refused & (F.col("tokens") > 0))
+    scale, short = 1.0, {}
+    for d in dims:
+        present = stage(fitted.groupBy(d).agg(F.sum("tokens").alias("_n"), F.max(f"_t_{d}").alias("_t")), f"mix-present-{d}")
+        n, t, most = present.agg(F.sum("_n"), F.sum("_t"), F.max(F.try_divide("_n", "_t"))).first()
+        if most is not None:
+            scale = max(scale, most * t / n)
+            short[d] = (present, n, t)
+    others = rated.filter(refused | (F.col("tokens") <= 0)).select(*dims, F.when(refused, 0.0).otherwise(1.0).alias("copies"))
+    if scale - 1.0 < TOLERANCE:
+        return fitted.select(*dims, F.lit(1.0).alias("copies")).unionByName(others)
+    wanted = {
+        d: present.select(d, F.greatest(F.lit(0.0), F.col("_t") * F.lit(scale / t) - F.col("_n") / F.lit(n)).alias("share"))
+        for d, (present, n, t) in short.items()
+    }
+    added = rake(fitted.select(*dims, "tokens"), dims, wanted)
+    copies = F.lit(1.0) + F.coalesce(F.col("factor"), F.lit(0.0)) * F.lit(scale - 1.0)
+    return added.select(*dims, copies.alias("copies")).unionByName(others)
+
+
 def with_probability(
     df: DataFrame,
     dims: Mapping[str, Column],
@@ -134,10 +175,14 @@ def with_probability(
     temperatures: Mapping[str, float] | None = None,
     name: str = "probability",
     budget: float | None = None,
+    whole: bool = False,
 ) -> DataFrame:
-    """Rows of ``df`` with the probability that a document of their cell is kept."""
-    raked = rake(stage(cells(df, dims, tokens), "mix-cells"), list(dims), targets, temperatures)
-    if budget is None:
+    """Rows of ``df`` with the probability that a document of their cell is kept; if ``whole``, with its expected copies."""
+    table = stage(cells(df, dims, tokens), "mix-cells")
+    raked = expected_copies(table, list(dims), targets, temperatures) if whole else rake(table, list(dims), targets, temperatures)
+    if whole:
+        kept = F.col("copies")
+    elif budget is None:
         most = F.lit(raked.agg(F.max(F.when(F.col("tokens") > 0, F.col("factor")))).first()[0]).cast("double")
         kept = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("factor"), most), F.lit(1.0)))
     else:
@@ -163,10 +208,21 @@ def sample(
     seed: int = 11,
     name: str = "probability",
     budget: float | None = None,
+    whole: bool = False,
 ) -> DataFrame:
-    """Documents drawn by their calibrated probabilities, with them."""
-    rated = with_probability(df, dims, tokens, targets, temperatures, name, budget)
-    return rated.filter(uniform(F.col(f"`{key}`"), seed) < F.col(name))
+    """Documents drawn by their calibrated probabilities, with them.
+
+    If ``whole``, a document comes as often as the whole part of its expected copies says, and once more with
+    the rest as probability.
+    """
+    rated = with_probability(df, dims, tokens, targets, temperatures, name, budget, whole)
+    drawn = uniform(F.col(f"`{key}`"), seed)
+    if not whole:
+        return rated.filter(drawn < F.col(name))
+    floor = F.floor(F.col(name))
+    times = (floor + F.when(drawn < F.col(name) - floor, 1).otherwise(0)).cast("int")
+    copy = fresh_name(rated, "_copy")
+    return rated.filter(times > 0).select("*", F.explode(F.sequence(F.lit(1), times)).alias(copy)).drop(copy)
 
 
 def form_topic(text: Column) -> Column:
